@@ -59,3 +59,8 @@ def training_rows(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has at most ``limit`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
