@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import line_dedup, media, mixing, near_dedup
+from folioscope.llm import fingerprints, line_dedup, media, mixing, near_dedup
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(read(spark, sf_dir, "documents"), k=4)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("copies")
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_media_columns": op3_media_columns,
     "op6_near_dedup": op6_near_dedup,
+    "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
 }
 
