@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import fingerprints, line_dedup, media, mixing, near_dedup
+from folioscope.llm import fingerprints, line_dedup, media, mixing, near_dedup, repeats
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(read(spark, sf_dir, "documents"), k=4)
 
@@ -35,6 +39,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_media_columns": op3_media_columns,
+    "op5_repeats": op5_repeats,
     "op6_near_dedup": op6_near_dedup,
     "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
