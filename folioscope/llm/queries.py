@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import fingerprints, line_dedup, media, mixing, near_dedup, repeats
+from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, repeats, token_counts
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.sentencepiece_encode(read(spark, sf_dir, "documents"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_dedup(read(spark, sf_dir, "documents"))
 
@@ -36,13 +40,19 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_media_columns": op3_media_columns,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_repeats": op5_repeats,
     "op6_near_dedup": op6_near_dedup,
     "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
