@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, repeats, token_counts
+from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.page_line_dedup(read(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op3_media_columns": op3_media_columns,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_repeats": op5_repeats,
