@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import saved
+from folioscope.llm.common import saved, small
 
 #: A source's ranks are cut into cells of about CELL_ROWS documents, MAX_CELLS at most; only the
 #: cell that holds the cut is put in order row by row.
@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, max_repeat: float, weights: tuple[int, ...]
 
     With level x, a source gets min(weight * x, max_repeat * size); the x at which the shares sum
     to all sizes is where resharing ends. Sources are in order of the level at which they are
-    full, so running sums give it.
+    full. If the sources before one are full, running sums give the level of the rest; it is
+    the one wanted at the first source that is not full at it. Levels only fall from there on.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -39,59 +40,85 @@ def source_targets(sizes: DataFrame, max_repeat: float, weights: tuple[int, ...]
     before = by_full.rowsBetween(Window.unboundedPreceding, -1)
     every = by_full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(every))
     return s.select("source", "source_size", "n_docs", F.least(F.col("weight") * F.col("level"), F.col("most")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for each row of ``docs``.
+def sized(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with _size, its words, and _u, a random number in (0, 1) from a hash of seed and doc_id."""
+    random = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
+    return docs.withColumns({"_size": n_words(F.col("text")), "_u": (random + 0.5) / F.lit(float(2**48))})
 
-    ``taken`` is size times copies. The sum of a source's taken words is as near its target as the
-    last documents let it: where the cut falls inside a document, the one of the later documents
-    in the cut's cell whose size is nearest to the words still missing is taken, if that comes nearer.
 
-    Null texts have size 0 and are never taken beyond the certain copies; null sources are a source
-    of their own, last in order. Rows with equal ids get equal random numbers and are put in order
-    by size. An empty table gives none. The random number of a row is a hash of seed and id, so
-    reruns agree whatever the partitions.
-    """
-    random = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), ((random + 0.5) / F.lit(float(2**48))).alias("u"))
-    d = saved(d, "sizes")
-    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(sizes, max_repeat, weights)
-    targets = saved(targets.withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), "targets")
-    # Shares within a rounding error of a whole number are whole.
-    t = targets.withColumn("whole", F.floor(F.col("want") + 1e-9)).withColumn("part", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
-    t = t.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    odds = lambda p: p / (1 - p)
-    d = d.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("rank", F.when(F.col("part") > 0, odds(F.col("u")) / odds(F.col("part"))))
-    # The inclusion odds are the same throughout a source, so cells of u are cells of rank.
+def cell() -> Column:
+    """The cell of a row's rank. The inclusion odds are the same throughout a source, so cells of _u are cells of rank."""
     n_cells = F.least(F.ceil(F.col("n_docs") / CELL_ROWS), F.lit(MAX_CELLS))
-    d = d.withColumn("cell", F.when(F.col("rank").isNotNull(), F.floor(F.col("u") * n_cells).cast("int")))
-    cells = d.where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-    up_to = Window.partitionBy("source").orderBy("cell")
+    return F.when(F.col("part") > 0, F.floor(F.col("_u") * n_cells).cast("int"))
+
+
+def plan(docs: DataFrame, max_repeat: float, weights: tuple[int, ...], seed: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, chosen): each source's target, certain copies and cut, and the (source, doc_id, size) taken in the cut cells."""
+    d = saved(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    totals = d.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    t = source_targets(totals, max_repeat, weights)
+    t = t.withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    # Shares within a rounding error of a whole number are whole.
+    t = t.withColumn("whole", F.floor(F.col("want") + 1e-9)).withColumn("part", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
+    t = saved(t.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source"), "targets")
+    d = d.join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell()).where("cell is not null")
+    cells = d.groupBy("_source", "cell").agg(F.sum("_size").alias("words"), F.first("left").alias("left"))
+    up_to = Window.partitionBy("_source").orderBy("cell")
     cells = cells.withColumn("before", F.coalesce(F.sum("words").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cut = cells.where((F.col("before") + F.col("words") > F.col("left")) & (F.col("before") <= F.col("left")))
     # Cells without words can share the cut's place: the last is the one that is cut.
-    cut = cut.groupBy("source").agg(F.max(F.struct("cell", "before")).alias("x")).select(F.col("source").alias("s"), F.col("x.cell").alias("cut"), F.col("x.before").alias("before"))
-    cut = saved(cut, "cuts")
-    d = d.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    inside = d.where(F.col("cell") == F.col("cut"))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
-    inside = inside.withColumn("reach", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.groupBy("_source").agg(F.max(F.struct("cell", "before")).alias("x"))
+    cut = saved(cut.select(F.col("_source").alias("_cut_source"), F.col("x.cell").alias("cut"), F.col("x.before").alias("before")), "cuts")
+    odds = lambda p: p / (1 - p)
+    inside = d.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")) & (F.col("cell") == F.col("cut")))
+    inside = inside.withColumn("rank", odds(F.col("_u")) / odds(F.col("part")))
+    order = Window.partitionBy("_source").orderBy("rank", "doc_id", "_size")
+    inside = inside.withColumn("reach", F.col("before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("fits", F.col("reach") <= F.col("left"))
-    whole_source = Window.partitionBy("source")
-    inside = inside.withColumn("missing", F.col("left") - F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))).over(whole_source), F.col("before")))
-    nearest = Window.partitionBy("source", "fits").orderBy(F.abs(F.col("size") - F.col("missing")), "rank", "doc_id", "size")
-    inside = inside.withColumn("more", F.when(F.col("fits"), F.lit(1)).otherwise(((F.row_number().over(nearest) == 1) & (F.abs(F.col("size") - F.col("missing")) < F.col("missing"))).cast("int")))
-    outside = d.where(~F.coalesce(F.col("cell") == F.col("cut"), F.lit(False)))
-    outside = outside.withColumn("more", F.coalesce((F.col("cell") < F.col("cut")) | (F.col("cell").isNotNull() & F.col("cut").isNull()), F.lit(False)).cast("int"))
-    cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies")]
-    out = inside.select(*cols).unionByName(outside.select(*cols))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("source")
+    missing = F.col("left") - F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))).over(Window.partitionBy("_source")), F.col("before"))
+    inside = inside.withColumn("missing", missing)
+    nearest = Window.partitionBy("_source", "fits").orderBy(F.abs(F.col("_size") - F.col("missing")), "rank", "doc_id", "_size")
+    better = (F.row_number().over(nearest) == 1) & (F.abs(F.col("_size") - F.col("missing")) < F.col("missing"))
+    inside = inside.withColumn("taken", F.col("fits") | better).where("taken")
+    chosen = inside.select(F.col("_source").alias("_c_source"), F.col("doc_id").alias("_c_id"), F.col("_size").alias("_c_size"), F.lit(1).alias("_more")).distinct()
+    sources = t.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source", "want", "left", "before")
+    return saved(sources, "sources"), saved(chosen, "chosen")
+
+
+def with_copies(docs: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` with _size, source_size, target and copies; no text is moved while the plan's tables have few rows.
+
+    The sum of a source's taken words is as near its target as the last documents let it: where
+    the cut falls inside a document, the one of the later documents in the cut's cell whose size
+    is nearest to the words still missing is taken, if that comes nearer.
+
+    Null texts have size 0; null sources are a source of their own, last in order. Rows with equal
+    ids get equal random numbers, and rows of equal id, source and size are decided alike. An
+    empty table gives none. Reruns agree whatever the partitions.
+    """
+    sources, chosen = plan(docs, max_repeat, weights, seed)
+    d = sized(docs, seed).join(small(sources, broadcast_rows), F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell())
+    same = F.col("doc_id").eqNullSafe(F.col("_c_id")) & F.col("source").eqNullSafe(F.col("_c_source")) & (F.col("_size") == F.col("_c_size"))
+    d = d.join(small(chosen, broadcast_rows), same & (F.col("cell") == F.col("cut")), "left")
+    below = F.coalesce(F.when(F.col("cut").isNull(), F.col("cell").isNotNull()).otherwise(F.col("cell") < F.col("cut")), F.lit(False))
+    d = d.withColumn("copies", (F.col("whole") + below.cast("int") + F.coalesce("_more", F.lit(0))).cast("long"))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "source_size", "target", "copies")
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of ``docs``; taken is size times copies."""
+    out = with_copies(docs.select("doc_id", "source", "text"), **options)
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it; columns as they are. Rows of no copies go."""
+    out = with_copies(docs, **options)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The query over documents in DuckDB.
@@ -107,7 +134,7 @@ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 +
 f AS (SELECT *, source_size * CAST(3 AS DOUBLE) / weight AS full_at, source_size * CAST(3 AS DOUBLE) AS most FROM w),
 v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t0 AS (SELECT source, source_size, n_docs, least(weight * (SELECT min(level) FROM v WHERE level <= full_at), most) AS target FROM v),
+t0 AS (SELECT source, source_size, n_docs, least(weight * (SELECT max(level) FROM v WHERE level <= full_at), most) AS target FROM v),
 t1 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS want FROM t0),
 t AS (SELECT *, floor(want + 1e-9) AS whole, greatest(want - floor(want + 1e-9), 0) AS part,
              target - floor(want + 1e-9) * source_size AS missing0,
