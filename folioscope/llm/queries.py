@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts
+from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts, toxicity
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,13 +41,17 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
