@@ -67,18 +67,18 @@ def line_dedup(
     broadcast_lines: int = 500_000,
     salts: int = 32,
 ) -> DataFrame:
-    """``df`` with ``kept_lines`` (array) and ``n_lines``, ``n_dropped`` (long).
+    """(row, kept, n_lines, n_dropped): each row of ``df`` as a struct, and the lines it keeps.
 
     Null hosts form one host of their own. A null or empty text has the lines that ``lines``
     gives it; blank lines are never boilerplate. Repeated rows are pages of their own, a line
     repeated within a page counts once and is dropped wherever it stands. An empty table gives
-    an empty table. Other columns pass through; the names _host, _lines, _drop and _salt are
-    taken for the time of the work.
+    an empty table. Other columns pass through inside the struct, so no name can clash.
 
     The boilerplate lines are written once. Up to ``broadcast_lines`` of them are broadcast;
     beyond, they are joined by host and salt, so that a host with most pages is dealt out.
     """
-    own = df.select([F.col(f"`{c}`") for c in df.columns] + [F.coalesce(host, F.lit("\0null")).alias("_host"), lines.alias("_lines")])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    own = df.select(row.alias("row"), F.coalesce(host, F.lit("\0null")).alias("_host"), lines.alias("_lines"))
     bad = saved(boilerplate(own, ratio, min_pages, copies_count_once), "boilerplate")
     n_bad = bad.agg(F.sum(F.size("_drop"))).first()[0] or 0
     if n_bad <= broadcast_lines:
@@ -86,32 +86,28 @@ def line_dedup(
     else:
         each = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         dealt = own.withColumn("_salt", F.pmod(F.xxhash64("_lines"), F.lit(salts)).cast("int"))
-        joined = dealt.join(each, ["_host", "_salt"], "left").drop("_salt")
+        joined = dealt.join(each, ["_host", "_salt"], "left")
     keep = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", F.xxhash64(x))))
-    out = joined.withColumn("kept_lines", keep)
-    return out.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        "kept_lines",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("kept_lines")).cast("long").alias("n_dropped"),
-    )
+    out = joined.withColumn("kept", keep)
+    return out.select("row", "kept", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def page_line_dedup(pages: DataFrame, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of ``pages``: page_id, url, html."""
     out = line_dedup(pages.select("page_id", "url", "html"), url_host(F.col("url")), page_lines(F.col("html")), ratio, min_pages)
-    return out.select("page_id", url_host(F.col("url")).alias("host"), "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
+    return out.select("row.page_id", url_host(F.col("row.url")).alias("host"), "n_lines", "n_dropped", F.array_join("kept", "\n").alias("text"))
 
 
-def document_line_dedup(docs: DataFrame, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def document_line_dedup(docs: DataFrame, ratio: float = 0.2, min_pages: int = 3, **options) -> DataFrame:
     """``docs`` with boilerplate lines gone from text; the source is the host, and exact copies count once.
 
     No row goes: a document of boilerplate alone is kept with an empty text. A null text becomes
     empty. n_chars follows the text.
     """
-    out = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, copies_count_once=True)
-    kept = out.withColumn("text", F.array_join("kept_lines", "\n")).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, copies_count_once=True, **options)
+    text = F.array_join("kept", "\n")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select([new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: The query over pages in DuckDB.

@@ -90,35 +90,37 @@ def plan(docs: DataFrame, max_repeat: float, weights: tuple[int, ...], seed: str
 
 
 def with_copies(docs: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", broadcast_rows: int = 500_000) -> DataFrame:
-    """``docs`` with _size, source_size, target and copies; no text is moved while the plan's tables have few rows.
+    """(row, size, source_size, target, copies): each row of ``docs`` as a struct, and how often it is taken.
 
-    The sum of a source's taken words is as near its target as the last documents let it: where
-    the cut falls inside a document, the one of the later documents in the cut's cell whose size
-    is nearest to the words still missing is taken, if that comes nearer.
+    No text is moved while the plan's tables have few rows. The sum of a source's taken words is
+    as near its target as the last documents let it: where the cut falls inside a document, the
+    one of the later documents in the cut's cell whose size is nearest to the words still missing
+    is taken, if that comes nearer.
 
     Null texts have size 0; null sources are a source of their own, last in order. Rows with equal
     ids get equal random numbers, and rows of equal id, source and size are decided alike. An
     empty table gives none. Reruns agree whatever the partitions.
     """
     sources, chosen = plan(docs, max_repeat, weights, seed)
-    d = sized(docs, seed).join(small(sources, broadcast_rows), F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell())
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    d = sized(own, seed).join(small(sources, broadcast_rows), F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell())
     same = F.col("doc_id").eqNullSafe(F.col("_c_id")) & F.col("source").eqNullSafe(F.col("_c_source")) & (F.col("_size") == F.col("_c_size"))
     d = d.join(small(chosen, broadcast_rows), same & (F.col("cell") == F.col("cut")), "left")
     below = F.coalesce(F.when(F.col("cut").isNull(), F.col("cell").isNotNull()).otherwise(F.col("cell") < F.col("cut")), F.lit(False))
-    d = d.withColumn("copies", (F.col("whole") + below.cast("int") + F.coalesce("_more", F.lit(0))).cast("long"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "source_size", "target", "copies")
+    copies = (F.col("whole") + below.cast("int") + F.coalesce("_more", F.lit(0))).cast("long")
+    return d.select("row", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of ``docs``; taken is size times copies."""
     out = with_copies(docs.select("doc_id", "source", "text"), **options)
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it; columns as they are. Rows of no copies go."""
     out = with_copies(docs, **options)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The query over documents in DuckDB.
