@@ -5,8 +5,8 @@ kept; an empty bin takes the value of the bin that its own sequence of random bi
 first. Groups of four slots are the keys of 32 buckets. In each bucket, the most central document
 is linked to all others, so candidates are as many as bucket members. Candidates are confirmed
 on their full shingle sets. What the stars leave apart is compared once more, members outside a
-bucket's largest component against all of the bucket, by signatures in blocks, so that no link
-between different texts is lost.
+star's largest component against all of the star, in blocks inside tasks that let only links
+out, so that no link between different texts is lost.
 
 A link of similarity 0.8 is missed by all 32 buckets with a chance of about 5 in 10^8.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import saved, small
@@ -27,10 +27,8 @@ from folioscope.llm.words import BASE, Words, distinct, lower_ascii, mix, pieces
 
 BINS, BAND = 128, 4
 TRIES = 512
-#: Signatures that agree in less than this share of their slots are not confirmed: over six
-#: standard deviations below similarity 0.8. Small sets are confirmed whatever their signatures.
-AGREE, SMALL = 0.55, 64
-BLOCK = 4096
+#: Shingles of a block in the comparison of what the stars leave apart.
+BLOCK = 1 << 20
 
 
 def random_bins() -> np.ndarray:
@@ -72,7 +70,7 @@ def shingle_sets(column: pa.Array, k: int, words: Words) -> Iterator[tuple[int,
 
 
 def sketch(k: int):
-    """For mapInArrow on (doc_id, text): size, hash of the whole set, bucket keys and signature bytes."""
+    """For mapInArrow on (doc_id, text): size, hash of the whole set and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -94,7 +92,6 @@ def sketch(k: int):
                     bands[:, b] = acc
                 some = n > 0
                 offsets = np.concatenate([[0], np.cumsum(some * (BINS // BAND))]).astype(np.int32)
-                sig = slots.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -102,9 +99,8 @@ def sketch(k: int):
                         pa.array(keys[0]),
                         pa.array(keys[1]),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].ravel().view(np.int64))),
-                        pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    ["doc_id", "n", "k1", "k2", "bands", "sig"],
+                    ["doc_id", "n", "k1", "k2", "bands"],
                 )
 
     return run
@@ -123,40 +119,74 @@ def full_sets(k: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, broadcast_ids: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with den * shared >= num * united on their full sets.
+def shingle_table(ids: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
+    """(doc_id, shingles) for the documents in ``ids``, written once.
 
     Up to ``broadcast_ids`` ids are broadcast to pick their texts; beyond, the texts are joined by id.
     """
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    own = docs.join(small(ids, broadcast_ids), "doc_id", "left_semi")
-    sets = saved(own.mapInArrow(full_sets(k), "doc_id long, shingles array<long>"), "sets")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    shared = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    own = docs.join(small(saved(ids.distinct(), "ids"), broadcast_ids), "doc_id", "left_semi")
+    return saved(own.mapInArrow(full_sets(k), "doc_id long, shingles array<long>"), "sets")
+
+
+def confirmed(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (hub, rep) of ``star`` with den * shared >= num * united on their full sets."""
+    met = star.join(sets.toDF("hub", "x"), "hub").join(sets.toDF("rep", "y"), "rep").withColumn("shared", F.size(F.array_intersect("x", "y")))
     united = F.size("x") + F.size("y") - F.col("shared")
-    return met.where(F.lit(den) * F.col("shared") >= F.lit(num) * united).select("a", "b").distinct()
+    return met.where(F.lit(den) * F.col("shared") >= F.lit(num) * united).select("hub", "rep").distinct()
 
 
 def compare_blocks(num: int, den: int):
-    """For cogroups of (outsiders, members) of a bucket: pairs of different components whose signatures agree."""
+    """For cogroups of (outsiders, members) of a hub: links between different components, confirmed on full sets.
+
+    A small inverted index of the members' shingles counts what an outsider shares with each. Of
+    the links of an outsider to one component, one goes out.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        out = []
         if len(left) and len(right):
-            ys = np.frombuffer(b"".join(right.sig), np.uint8).reshape(-1, BINS)
-            ids, comps, ns = right.rep.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-            for rep, comp, n, sig in zip(left.rep, left.comp, left.n, left.sig):
-                agree = (ys == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                near = (comps != comp) & (den * np.minimum(ns, n) >= num * np.maximum(ns, n)) & ((agree >= AGREE) | (np.minimum(ns, n) < SMALL))
-                found = ids[near]
-                a.append(np.minimum(found, rep))
-                b.append(np.maximum(found, rep))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+            sizes = right.shingles.map(len).to_numpy()
+            flat = np.concatenate(right.shingles.to_list())
+            order = np.argsort(flat, kind="stable")
+            flat, member = flat[order], np.repeat(np.arange(len(right)), sizes)[order]
+            comps, reps = right.comp.to_numpy(), right.rep.to_numpy()
+            for rep, comp, own in zip(left.rep, left.comp, left.shingles):
+                first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = last - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(member[at], minlength=len(right))
+                linked = (den * shared >= num * (sizes + len(own) - shared)) & (comps != comp)
+                _, one = np.unique(comps[linked], return_index=True)
+                out += [(rep, x) for x in reps[linked][one]]
+        return pd.DataFrame(out, columns=["hub", "rep"], dtype="int64")
 
     return run
 
 
+def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (hub, rep) between members of a star that confirmation left in different components.
+
+    Documents that share a bucket share its hub, so any pair of a bucket is a pair of a star. In
+    stars that hold several components, the members outside the largest one meet all members, in
+    blocks of about ``BLOCK`` shingles by as many that are dealt out by hub and block.
+    """
+    own = star.union(star.select("hub", "hub").distinct()).join(comps, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    per = own.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per.groupBy("hub").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    met = own.join(mixed.select("hub", F.col("top.comp").alias("main")), "hub").join(sets.withColumn("n", F.size("shingles")), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    met = saved(met.dropDuplicates(["hub", "rep"]), "residual")
+    outside = F.col("comp") != F.col("main")
+    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(1)) / BLOCK).cast("int")
+    sizes = met.groupBy("hub").agg(blocks(F.when(outside, F.col("n"))).alias("lefts"), blocks(F.col("n")).alias("rights"))
+    met = met.join(sizes, "hub")
+    spread = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols, key = ["hub", "i", "j", "rep", "comp", "shingles"], ["hub", "i", "j"]
+    left = met.where(outside).withColumn("i", spread("lefts")).withColumn("j", each("rights")).selectExpr(*cols)
+    right = met.withColumn("j", spread("rights")).withColumn("i", each("lefts")).selectExpr(*(f"{c} as {c}" for c in cols))
+    return saved(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare_blocks(num, den), "hub long, rep long"), "rest")
+
+
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``: doc_id, text.
 
@@ -171,27 +201,24 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(docs.mapInArrow(sketch(k), "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"), "sketches")
+    rows = saved(docs.mapInArrow(sketch(k), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
     some = rows.where("n > 0 and doc_id is not null")
     # Equal sets are one representative, told by size and two hashes.
     key = ["n", "k1", "k2"]
-    reps = saved(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "representatives")
+    reps = saved(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "representatives")
     keyed = reps.select("rep", F.explode("bands").alias("band"))
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = saved(keyed.join(sizes, "band"), "buckets")
     central = buckets.groupBy("rep").agg(F.sum("c").alias("central"))
     ranked = buckets.join(central, "rep").select("band", "rep", F.struct("central", (-F.col("rep")).alias("r")).alias("rank"))
     hubs = ranked.groupBy("band").agg((-F.max("rank")["r"]).alias("hub"))
-    star = ranked.join(hubs, "band").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = saved(confirmed(saved(star, "stars"), docs, k, num, den, broadcast_ids), "confirmed")
-    comps = saved(components(links, "a", "b"), "components")
-    more = rest(buckets, reps, comps, num, den)
-    if not more.isEmpty():
-        links = links.union(confirmed(more, docs, k, num, den, broadcast_ids))
+    star = saved(ranked.join(hubs, "band").where("rep != hub").select("hub", "rep").distinct(), "stars")
+    sets = shingle_table(star.select(F.col("rep").alias("doc_id")).union(star.select("hub")), docs, k, broadcast_ids)
+    links = saved(confirmed(star, sets, num, den), "confirmed")
+    links = links.union(rest(star, sets, components(links, "hub", "rep"), num, den))
     # Rows of one id with different texts tie their representatives together.
-    tied = some.join(reps.select(*key, "rep"), key).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    again = tied.where("a != b").select("a", "b")
-    comps = saved(components(links.union(again), "a", "b"), "components")
+    tied = some.join(reps.select(*key, "rep"), key).groupBy("doc_id").agg(F.min("rep").alias("hub"), F.max("rep").alias("rep"))
+    comps = components(links.union(tied.where("hub != rep").select("hub", "rep")), "hub", "rep")
     groups = reps.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     groups = groups.withColumnsRenamed({"n": "n_", "k1": "k1_", "k2": "k2_"})
     out = rows.select("doc_id", *key).join(groups, (F.col("n") == F.col("n_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & F.col("doc_id").isNotNull(), "left")
@@ -199,34 +226,10 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def rest(buckets: DataFrame, reps: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of a bucket that the stars left in different components and whose signatures agree.
-
-    Only buckets that still hold several components take part. In each, the members outside
-    its largest component meet all members, in blocks of 4096 by 4096 that are dealt out by bucket
-    and block; signatures are compared inside the task, and only near pairs leave it.
-    """
-    own = buckets.select("band", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    per = own.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = per.groupBy("band").agg(F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = mixed.select("band", "members", (F.col("members") - F.col("top.m")).alias("outside"), F.col("top.comp").alias("main"))
-    all_of = own.join(mixed, "band").join(reps.select("rep", "n", "sig"), "rep")
-    all_of = saved(all_of, "residual")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    spread = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    left = all_of.where("comp != main").withColumn("i", spread("outside")).withColumn("j", each("members"))
-    right = all_of.withColumn("j", spread("members")).withColumn("i", each("outside"))
-    cols = ["band", "i", "j", "rep", "comp", "n", "sig"]
-    key = ["band", "i", "j"]
-    pairs = left.select(*cols).groupBy(*key).cogroup(right.select(*cols).groupBy(*key)).applyInPandas(compare_blocks(num, den), "a long, b long")
-    return saved(pairs.distinct(), "rest")
-
-
 def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its near-duplicate component; columns as they are.
 
     Rows without an id or without words are kept; rows that repeat a kept id are kept with it.
     """
     gone = saved(near_components(docs, k, num, den, broadcast_ids).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, broadcast_ids), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.alias("d").join(small(gone, broadcast_ids).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
