@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Vowels, and the endings in the order in which they are tried.
 VOWELS = "аеиоуыэюя"
@@ -73,7 +74,7 @@ def stem(word: str | None) -> str | None:
     return w if len(w) >= 3 else folded
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_column(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``stem`` over Arrow batches. Apply it to distinct words."""
     for batch in words:

@@ -47,13 +47,13 @@ def write_records(df: DataFrame, path: str, key: list[str], per_file: int = 20_0
     df.write.option("maxRecordsPerFile", per_file).mode("append").json(path)
 
 
-def read_pages_list(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a JSON array of pages."""
-    return spark.read.schema(PAGES).option("multiLine", True).json(path)
+def read_pages_list(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """The entries of a JSON array of pages, or of one JSON record a line, which can be split between tasks."""
+    return spark.read.schema(PAGES).option("multiLine", array).json(path)
 
 
 def write_pages_list(pages: DataFrame, path: str) -> None:
-    """Page entries as JSON records; Spark reads them back as it reads arrays."""
+    """Page entries as JSON records, one a line."""
     pages.write.mode("overwrite").json(path)
 
 
