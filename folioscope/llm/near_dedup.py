@@ -28,7 +28,7 @@ from folioscope.llm.words import BASE, Words, distinct, lower_ascii, mix, pieces
 BINS, BAND = 128, 4
 TRIES = 512
 #: Shingles of a block in the comparison of what the stars leave apart.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def random_bins() -> np.ndarray:
