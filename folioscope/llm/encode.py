@@ -39,29 +39,56 @@ def shared_prefix(a: str, b: str) -> int:
 
 def encode_words(words: list[str], forward: Forward) -> dict[str, tuple[int, ...]]:
     """The ids of each of ``words``, which are distinct."""
+    return _unigram_words(words, forward) if forward.model.unigram else _bpe_words(words, forward)
+
+
+def _unigram_words(words: list[str], forward: Forward) -> dict[str, tuple[int, ...]]:
     model, out = forward.model, {}
     state: list = [("", 0, np.float32(0))]
     last = ""
+    for word in sorted(words):
+        del state[shared_prefix(last, word) + 1 :]
+        for end in range(len(state), len(word) + 1):
+            candidates = ((s, p) for s in range(max(0, end - model.longest), end) if (p := word[s:end]) in model.ids)
+            state.append(forward.best(candidates, state, end, word[end - 1]))
+        last, found, at = word, [], len(word)
+        while at:
+            found.append(state[at][0])
+            at = state[at][1]
+        out[word] = tuple(i for p in reversed(found) for i in ([model.ids[p]] if p in model.ids else model.unknown(p)))
+    return out
+
+
+def _bpe_words(words: list[str], forward: Forward) -> dict[str, tuple[int, ...]]:
+    """A prefix's state is the id of its last piece, -1 for an unknown character, and where that begins."""
+    model, apart, stay_apart, endings, out = forward.model, forward.apart, forward.stay_apart, forward.endings, {}
+    ids, starts = [-1], [0]
+    last = ""
     for word in sorted(words):
         if not forward.simple(word):
-            found = forward.plain(word)
-        else:
-            del state[shared_prefix(last, word) + 1 :]
-            for end in range(len(state), len(word) + 1):
-                candidates = ((s, p) for s in range(max(0, end - model.longest), end) if (p := word[s:end]) in model.ids)
-                state.append(forward.best(candidates, state, end, word[end - 1]))
-            last, found, at = word, [], len(word)
-            while at:
-                found.append(state[at][0])
-                at = state[at][1]
-            found.reverse()
-        ids: list[int] = []
-        for p in found:
-            if (i := model.ids.get(p)) is None:
-                ids += model.unknown(p)
+            out[word] = tuple(i for p in forward.plain(word) for i in ([model.ids[p]] if p in model.ids else model.unknown(p)))
+            continue
+        shared = shared_prefix(last, word) + 1
+        del ids[shared:], starts[shared:]
+        for end in range(shared, len(word) + 1):
+            start = end - 1
+            while start >= 0 and (piece := endings.get(word[start:end])) is not None:
+                if piece >= 0 and ((before := ids[start]) < 0 or (apart[k] if (k := before << 32 | piece) in apart else stay_apart(before, piece))):
+                    ids.append(piece)
+                    starts.append(start)
+                    break
+                start -= 1
+            else:
+                ids.append(-1)
+                starts.append(end - 1)
+        last, found, at = word, [], len(word)
+        while at:
+            if (i := ids[at]) >= 0:
+                found.append(i)
             else:
-                ids.append(i)
-        out[word] = tuple(ids)
+                found += model.unknown(word[at - 1])[::-1]
+            at = starts[at]
+        out[word] = tuple(found[::-1])
     return out
 
 
@@ -88,6 +115,8 @@ def encoder(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward = Forward(model)
         known: dict[str, tuple[int, ...]] = {}
+        lossy: set[str] = set()
+        names = forward.names.get
         pieces = {i: p for p, i in model.ids.items()} | {model.unknown_id: " ⁇ "}
         bytes_of = {i: b for b, i in enumerate(model.byte_ids)}
         for batch in batches:
@@ -96,8 +125,14 @@ def encoder(model: Model):
                 split = [model.marked_words(t) for t in texts]
                 if len(known) > REMEMBERED:
                     known.clear()
-                new = {w for words in split for w in words} - known.keys()
-                known |= encode_words(list(new), forward)
+                    lossy.clear()
+                new = encode_words(list({w for words in split for w in words} - known.keys()), forward)
+                known |= new
+                # A character's bytes never leave its word, so texts are read back word by word.
+                for w, x in new.items():
+                    parts = [names(i) for i in x]
+                    if None in parts and decode(x, pieces, bytes_of, False) != w.replace(SPACE, " ") or None not in parts and "".join(parts) != w:
+                        lossy.add(w)
                 flat, lengths, exact = array("i"), [], []
                 for text, words in zip(texts, split):
                     ids: list[int] = []
@@ -105,7 +140,7 @@ def encoder(model: Model):
                         ids += known[w]
                     flat.extend(ids)
                     lengths.append(len(ids))
-                    exact.append(decode(ids, pieces, bytes_of, model.prefix) == text)
+                    exact.append(SPACE not in text and (not lossy or lossy.isdisjoint(words)))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32))), pa.array(lengths, pa.int64()), pa.array(exact)],

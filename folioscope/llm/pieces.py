@@ -112,36 +112,42 @@ class Forward:
 
     def __init__(self, model: Model):
         self.model = model
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.names = {i: p for p, i in model.ids.items()}
+        self.endings = {} if model.unigram else self._endings()
         self.least = np.float32(min(model.scores.values())) - np.float32(UNKNOWN_PENALTY)
 
-    def stay_apart(self, a: str, b: str) -> bool:
-        """Whether a and b side by side are left as they are by BPE.
+    def _endings(self) -> dict[str, int]:
+        """Every ending of a BPE piece, with the piece's id where it is a piece itself, else -1."""
+        out = {p[i:]: -1 for p in self.model.right_edge for i in range(1, len(p))}
+        return out | {p: self.model.ids[p] for p in self.model.right_edge if p in self.model.ids}
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether the pieces a and b side by side are left as they are by BPE; remembered.
 
         As merges go on, the symbols on either side of the border grow along a's right edge and
         b's left edge. They would join if their union's rank came before what absorbs either;
         of equal ranks the leftmost merge is first.
         """
-        known = self.apart.get((a, b))
-        if known is None:
-            right, left = self.model.right_edge[a], self.model.left_edge[b]
-            i = j = 0
-            known = True
-            while True:
-                (u, u_next), (v, v_next) = right[i], left[j]
-                r = self.model.ranks.get(u + v, NEVER)
-                if r < u_next and r <= v_next and r < NEVER:
-                    known = False
-                    break
-                if u_next == v_next == NEVER:
-                    break
-                if u_next <= v_next:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.apart) >= 2_000_000:
-                self.apart.clear()
-            self.apart[a, b] = known
+        right, left = self.model.right_edge[self.names[a]], self.model.left_edge[self.names[b]]
+        ranks = self.model.ranks
+        i = j = 0
+        known = True
+        while True:
+            (u, u_next), (v, v_next) = right[i], left[j]
+            r = ranks.get(u + v, NEVER)
+            if r < u_next and r <= v_next and r < NEVER:
+                known = False
+                break
+            if u_next == v_next == NEVER:
+                break
+            if u_next <= v_next:
+                i += 1
+            else:
+                j += 1
+        if len(self.apart) >= 2_000_000:
+            self.apart.clear()
+        self.apart[a << 32 | b] = known
         return known
 
     def simple(self, word: str) -> bool:
@@ -153,26 +159,19 @@ class Forward:
         return [p[0] for p in merge(word, self.model.ranks)]
 
     def best(self, ends: Iterator[tuple[int, str]], state: list, end: int, char: str) -> tuple:
-        """The state at ``end``, (piece, its start, score), from candidate (start, piece), longest first.
+        """A unigram model's state at ``end``, (piece, its start, score), from candidate (start, piece), longest first.
 
         ``state`` holds the states of the shorter prefixes; state[0] is the empty one.
         """
-        if self.model.unigram:
-            top = None
-            single = False
-            for start, piece in ends:
-                single |= end - start == 1
-                score = np.float32(state[start][2] + np.float32(self.model.scores[piece]))
-                if top is None or score > top[2]:
-                    top = (piece, start, score)
-            if not single:
-                score = np.float32(state[end - 1][2] + self.least)
-                if top is None or score > top[2]:
-                    top = (char, end - 1, score)
-            return top
+        top = None
+        single = False
         for start, piece in ends:
-            if piece in self.model.right_edge:
-                before = state[start][0]
-                if not before or before not in self.model.right_edge or self.stay_apart(before, piece):
-                    return piece, start, 0.0
-        return char, end - 1, 0.0
+            single |= end - start == 1
+            score = np.float32(state[start][2] + np.float32(self.model.scores[piece]))
+            if top is None or score > top[2]:
+                top = (piece, start, score)
+        if not single:
+            score = np.float32(state[end - 1][2] + self.least)
+            if top is None or score > top[2]:
+                top = (char, end - 1, score)
+        return top
