@@ -187,24 +187,25 @@ def cut_segments(min_bytes: int):
 class SuffixArray:
     """The enhanced suffix array of segments laid end to end: order, and common-prefix lengths of neighbours.
 
-    Ranks double in width from 8 bytes to 256, so any two suffixes of segments of at most 256 bytes
-    compare by ranks; a common prefix is summed up from the widest equal ranks downwards and
-    never reaches past a segment's end. Only suffixes of ``least`` bytes or more are kept.
+    A suffix ends with its segment, and an end comes before every byte. Ranks double in width from
+    7 symbols until they span the longest segment; a common prefix is summed up from the widest
+    equal ranks downwards. Only suffixes of ``least`` bytes or more are kept.
     """
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, least: int):
         n = len(text)
         room = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)
-        padded = np.concatenate([text, np.zeros(8, np.uint8)])
-        packed = np.zeros(n, np.uint64)
-        for b in range(8):
-            packed = (packed << np.uint64(8)) | padded[b : b + n]
-        ranks, width = [np.unique(packed, return_inverse=True)[1].astype(np.int64)], 8
+        symbols = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+        packed, width = np.zeros(n, np.uint64), 7
+        for b in range(width):
+            packed = (packed << np.uint64(9)) | np.where(room > b, symbols[b : b + n], np.uint64(0))
+        ranks = [np.unique(packed, return_inverse=True)[1].astype(np.int64)]
         longest = int(room.max(initial=0))
         while width < longest:
             r = ranks[-1]
             after = np.zeros(n, np.int64)
-            after[: n - width] = r[width:] + 1 if n > width else 0
+            going = np.flatnonzero(room > width)
+            after[going] = r[going + width] + 1
             ranks.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
             width *= 2
         own = np.flatnonzero(room >= least)
@@ -212,15 +213,14 @@ class SuffixArray:
         a, b = self.order[:-1].copy(), self.order[1:].copy()
         lcp, most = np.zeros(len(a), np.int64), np.minimum(room[a], room[b])
         for r in reversed(ranks):
-            same = (a < n) & (b < n)
+            same = lcp < most
             same[same] = r[a[same]] == r[b[same]]
             a, b, lcp = a + same * width, b + same * width, lcp + same * width
             width //= 2
-        for _ in range(7):
-            same = (a < n) & (b < n)
+        for _ in range(6):
+            same = lcp < most
             same[same] = text[a[same]] == text[b[same]]
-            going = same & (lcp < most)
-            a, b, lcp = a + going, b + going, lcp + going
+            a, b, lcp = a + same, b + same, lcp + same
         self.lcp = np.minimum(lcp, most)
 
 

@@ -1,0 +1,123 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from folioscope.llm import quality as q
+from folioscope.llm import toxicity as tx
+from folioscope.llm.words import Words
+
+DOCS, LABELS = "doc_id long, text string, extra int", "doc_id long, quality int, toxic int"
+WORDS = "the of and house river stone green walks under bright morning people garden letter".split()
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(600):
+        words = [rnd.choice(WORDS) for _ in range(rnd.randint(20, 60))]
+        toxic, good = i % 5 == 0, i % 3 != 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(["blockhead", "scoundrel"]))
+        text = " ".join(words) if good else " | ".join(w.upper() + "!!" for w in words)
+        docs.append((i, text, 0))
+        labels.append((i, int(good), int(toxic)))
+    odd = [(1000, None, 0), (1001, "", 0), (None, "the house", 0), (1002, "word " * 200_000, 0), (1003, "You bl0ckhead", 0), (1003, "You bl0ckhead", 0)]
+    return spark.createDataFrame(docs + odd, DOCS), spark.createDataFrame(labels + [(7, None, None), (None, 1, 1), (8, 1, 0)], LABELS), labels
+
+
+def test_held_out_quality(data):
+    docs, labels, truth = data
+    got = q.quality_scores(docs, labels).collect()
+    assert len(got) == 606
+    score = {r.doc_id: r for r in got}
+    for r in got:
+        if r.doc_id is not None:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [(score[i].predicted, good) for i, good, _ in truth if score[i].held_out]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_held_out_toxicity(data):
+    docs, labels, truth = data
+    got = tx.toxicity_scores(docs, labels).collect()
+    score = {r.doc_id: r for r in got}
+    held = [(score[i].predicted, toxic) for i, _, toxic in truth if score[i].held_out]
+    assert len(got) == 606 and np.mean([a == b for a, b in held]) > 0.97
+    assert score[1003].n_terms == 1  # a misspelled term
+    assert score[1001].n_terms == 0 and score[1000].score == score[1001].score
+    kept = tx.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
+
+
+def test_without_labels(spark, data):
+    docs, labels, _ = data
+    none = labels.limit(0)
+    assert {r.score for r in q.quality_scores(docs, none).collect() if r.doc_id == 1001} == {0.5}
+    assert {r.score for r in tx.toxicity_scores(docs, none).collect()} == {0.5}
+    assert tx.without_toxic(docs, none).count() == docs.count()
+    assert q.quality_scores(docs.limit(0), labels).count() == 0
+    assert tx.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def edit_distance_to_a_beginning(stem, word):
+    """By the whole table: the fewest edits from the stem to any beginning of the word."""
+    row = list(range(len(stem) + 1))
+    best = row[-1]
+    for c in word:
+        new = [row[0] + 1]
+        for i, s in enumerate(stem, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (s != c)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_automaton_against_brute_force():
+    rnd = random.Random(1)
+    stems = ["abba", "abcab", "cabbage", "bacacabaca", "aaaaa", "cab"]
+    lexicon = tx.Lexicon(stems)
+    for _ in range(4000):
+        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 13)))
+        near = [(d, i) for i, s in enumerate(stems) if (d := edit_distance_to_a_beginning(s, word)) <= tx.allowed_edits(s)]
+        found = lexicon.find(word)
+        assert (found is None) == (not near)
+        if near:
+            assert found[0] == min(near)[0]
+
+
+def test_quotation_counts_less():
+    lexicon, weights = tx.Lexicon(["blockhead"]), np.full((1, 3), 3.0)
+    features = [tx.window_features(tx.occurrences(t, lexicon, {}), weights, 5) for t in ("he said „blockhead“ there", "he is a blockhead there")]
+    assert 0 < features[0][0] < features[1][0]
+
+
+def test_discriminant_against_the_density():
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(200, len(q.NAMES)))
+    y = (x[:, 0] ** 2 > 0.7).astype(int)
+    m = q.fit(x, y, 0.2, 0.05)
+    z = (x - m.centre) / m.scale
+    logs = []
+    for c in (0, 1):
+        own = z[y == c]
+        pooled = sum(np.cov(z[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / len(y)
+        s = 0.8 * np.cov(own.T, bias=True) + 0.2 * pooled
+        s = 0.95 * s + 0.05 * np.trace(s) / len(s) * np.eye(len(s))
+        d = z - own.mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(((y == c).sum() + 1) / (len(y) + 2)))
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
+def test_statistics_do_not_depend_on_the_batch():
+    texts = ["A b\nA b\n", "", "ÄÖ 12 x!", "word word", "\n\n"]
+    words = Words()
+    together = np.concatenate([x for _, _, x in q.over_batches(pa.array(texts), words)])
+    alone = np.concatenate([x for t in texts for _, _, x in q.over_batches(pa.array([t]), words)])
+    assert np.allclose(together, alone) and np.isfinite(together).all()
