@@ -24,7 +24,8 @@ def automaton(model: Model):
 
     a = ahocorasick.Automaton()
     for piece in model.ids:
-        a.add_word(piece, piece)
+        if model.unigram or piece in model.right_edge:
+            a.add_word(piece, (len(piece), model.ids[piece]))
     a.make_automaton()
     return a
 
@@ -34,19 +35,47 @@ def count_word(word: str, matches, forward: Forward) -> int:
     model = forward.model
     if not forward.simple(word):
         return sum(1 if p in model.ids else len(model.unknown(p)) for p in forward.plain(word))
+    return _unigram_count(word, matches, forward) if model.unigram else _bpe_count(word, matches, forward)
+
+
+def _unigram_count(word: str, matches, forward: Forward) -> int:
+    model = forward.model
     state: list = [("", 0, np.float32(0))]
     counts = [0]
     ends: list[list[tuple[int, str]]] = [[] for _ in word]
-    for end, piece in matches.iter(word):
-        ends[end].append((end + 1 - len(piece), piece))
+    for end, (size, piece) in matches.iter(word):
+        ends[end].append((end + 1 - size, forward.names[piece]))
     for end, found in enumerate(ends, 1):
-        found.sort()
-        best = forward.best(iter(found), state, end, word[end - 1])
+        best = forward.best(iter(sorted(found)), state, end, word[end - 1])
         state.append(best)
         counts.append(counts[best[1]] + (1 if best[0] in model.ids else len(model.unknown(best[0]))))
     return counts[-1]
 
 
+def _bpe_count(word: str, matches, forward: Forward) -> int:
+    """A prefix's state is the id of its last piece, -1 for an unknown character and -2 for none yet, and the count."""
+    apart, stay_apart = forward.apart, forward.stay_apart
+    n = len(word)
+    ids, counts = [-2] * (n + 1), [0] * (n + 1)
+    ids[0], done = -1, 0
+    for end, (size, piece) in matches.iter(word):
+        end += 1
+        while done < end - 1:  # ends that no piece fits
+            done += 1
+            if ids[done] == -2:
+                ids[done], counts[done] = -1, counts[done - 1] + len(forward.model.unknown(word[done - 1]))
+        if ids[end] == -2:
+            start = end - size
+            before = ids[start]
+            if before < 0 or (apart[k] if (k := before << 32 | piece) in apart else stay_apart(before, piece)):
+                ids[end], counts[end] = piece, counts[start] + 1
+    while done < n:
+        done += 1
+        if ids[done] == -2:
+            ids[done], counts[done] = -1, counts[done - 1] + len(forward.model.unknown(word[done - 1]))
+    return counts[n]
+
+
 def counter(model: Model):
     """For mapInArrow on (doc_id, text): (doc_id, n_chars, n_words, n_tokens)."""
 
