@@ -233,3 +233,21 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broad
     """
     gone = saved(near_components(docs, k, num, den, broadcast_ids).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.alias("d").join(small(gone, broadcast_ids).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+
+
+#: The query over documents with shingles of four words, in DuckDB: all pairs that share a shingle.
+DOCUMENTS_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM t UNION SELECT l.b, r.m FROM r JOIN l ON r.doc_id = l.a WHERE r.m < l.b),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
+FROM t JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

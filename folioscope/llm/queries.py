@@ -67,5 +67,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.PAGES_SQL,
+    "op5_repeats": repeats.DOCUMENTS_SQL,
+    "op6_near_dedup": near_dedup.DOCUMENTS_SQL,
     "op8_source_mix": mixing.DOCUMENTS_SQL,
 }

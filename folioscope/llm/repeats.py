@@ -366,3 +366,22 @@ def repeat_dedup(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_0
     none = F.lit(None).cast("array<int>")
     free = docs.join(ids, F.col("doc_id") == F.col("id"), "left_anti").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
     return hit.mapInArrow(take_out, KEPT).unionByName(free.mapInArrow(take_out, KEPT))
+
+
+#: The query over documents in DuckDB, by every window of 100 bytes in hexadecimal.
+DOCUMENTS_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS g
+      FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0))) AS s FROM h)),
+d AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+m AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER o <= 100 THEN 0 ELSE 1 END AS new FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM m),
+r AS (SELECT doc_id, i, min(s) AS a, max(s) + 100 AS b FROM k GROUP BY doc_id, i),
+c AS (SELECT h.doc_id, r.i, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY i), 0) + 1,
+             2 * (a - coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY i), 0))) AS y FROM h JOIN r USING (doc_id)),
+g AS (SELECT doc_id, string_agg(y, '' ORDER BY i) AS y FROM c GROUP BY doc_id),
+v AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN v USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
