@@ -19,10 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import held_out, saved, training_rows
+from folioscope.llm.near_dedup import shingle_sets
+from folioscope.llm.words import Words, mix
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Letters and digits that stand in for letters, as a fixed value: what is read as what.
@@ -133,32 +135,79 @@ class Lexicon:
 NEVER = 1 << 30
 
 
+def copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow on (y, text): (y, text, k0, k1, k2), the smallest of a text's shingles of five words in three orders.
+
+    Near copies have most of these in common, other texts have none. Texts without words have
+    their hash.
+    """
+    words = Words()
+    for batch in batches:
+        for i, j, rows, h in shingle_sets(batch.column(1), 5, words):
+            n = np.bincount(rows, minlength=j - i)
+            keys = []
+            for k in range(3):
+                key = np.full(j - i, np.iinfo(np.int64).max)
+                if len(h):
+                    key[n > 0] = np.minimum.reduceat(mix(h ^ np.uint64(k + 1)), (np.cumsum(n) - n)[n > 0]).view(np.int64)
+                keys.append(pa.array(key))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *keys], ["y", "text", "k0", "k1", "k2"])
+
+
+def without_copies(train: DataFrame) -> DataFrame:
+    """The rows (y, text) of ``train``, of copies and most near copies only the one of smallest hash."""
+    out = train.mapInArrow(copy_keys, "y int, text string, k0 long, k1 long, k2 long")
+    for k in ("k0", "k1", "k2"):
+        nth = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64("text"), "text", "y"))
+        out = out.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return out.select("y", "text")
+
+
+COUNTS = ("toxic", "clean", "toxic_twice", "clean_twice")
+
+
 def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow on (y, text): in how many documents of each class words begin with each prefix."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """For mapInArrow on (y, text): in how many documents of each class words begin with each prefix, once and twice."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(TOKEN.findall(normal(text or "")))
-            counts[bool(y)].update({w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)})
-    for y in (0, 1):
-        items = list(counts[y].items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([n if y else 0 for _, n in part], pa.int64()), pa.array([0 if y else n for _, n in part], pa.int64())], ["prefix", "toxic", "clean"])
+            words = Counter(TOKEN.findall(normal(text or "")))
+            own: Counter = Counter()
+            for w, times in words.items():
+                for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+                    own[w[:n]] += times
+            for p, times in own.items():
+                c = counts.setdefault(p, [0, 0, 0, 0])
+                c[1 - y] += 1
+                c[3 - y] += times > 1
+    items = list(counts.items())
+    for i in range(0, len(items), 50_000):
+        part = items[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), *[pa.array([c[k] for _, c in part], pa.int64()) for k in range(4)]], ["prefix", *COUNTS])
 
 
 def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float, max_stems: int) -> list[str]:
-    """The stems whose words are in ``least`` toxic documents or more and ``ratio`` times as often as in clean ones.
+    """The stems of words in ``least`` toxic documents and a hundredth of them or more, ``ratio`` times as often as in clean ones.
 
-    Counts are summed by Spark; the best ``max_stems`` candidates come to the driver. Of the
-    prefixes of one word, the longest with nearly the same toxic documents stands for the
-    shorter ones, and a chosen stem for all that continue it.
+    Either documents with such words count or, for stems that clean text has by chance,
+    documents with several. Counts are summed by Spark; the best ``max_stems`` candidates come to the driver. Of the
+    prefixes of one word, the longest with nearly the same toxic documents, or most of them and
+    half the clean ones, stands for the shorter ones, and a chosen stem for all that continue it.
     """
-    counts = train.select("y", "text").mapInArrow(prefix_counts, "prefix string, toxic long, clean long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = (F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0) / ((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
-    rows = counts.where((F.col("toxic") >= least) & (odds >= ratio)).orderBy(F.col("toxic").desc(), F.length("prefix"), "prefix").limit(max_stems).collect()
-    toxic = {r.prefix: r.toxic for r in rows}
-    grown = {p[:-1] for p, n in toxic.items() if len(p) > SHORTEST and n >= 0.95 * toxic.get(p[:-1], NEVER)}
+    counts = train.select("y", "text").mapInArrow(prefix_counts, ", ".join(["prefix string", *(f"{c} long" for c in COUNTS)]))
+    counts = counts.groupBy("prefix").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+    def tells(toxic: str, clean: str) -> Column:
+        odds = (F.col(toxic) + 0.5) / F.lit(n_toxic + 1.0) / ((F.col(clean) + 0.5) / F.lit(n_clean + 1.0))
+        return (F.col(toxic) >= max(least, n_toxic / 100)) & (odds >= ratio)
+
+    found = counts.where(tells("toxic", "clean") | tells("toxic_twice", "clean_twice"))
+    rows = found.orderBy(F.col("toxic").desc(), F.length("prefix"), "prefix").limit(max_stems).collect()
+    toxic, clean = {r.prefix: r.toxic for r in rows}, {r.prefix: r.clean for r in rows}
+    grown = set()
+    for p, n in toxic.items():
+        if (short := p[:-1]) in toxic and (n >= 0.95 * toxic[short] or n >= 0.8 * toxic[short] and clean[p] < 0.5 * clean[short]):
+            grown.add(short)
     chosen: set[str] = set()
     for p in sorted(toxic, key=len):
         if p not in grown and not any(p[:n] in chosen for n in range(SHORTEST, len(p))):
@@ -228,12 +277,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, least: int = 5, ratio: float = 20.0, max_stems: int = 5_000) -> Detector:
     """Learns stems, weights and the logistic model from at most ``max_rows`` labelled rows that are not held out.
 
-    Their ids are broadcast, so no text is moved. The driver gets the candidate stems, and the
+    Of near copies among them one counts, else their chance words would pass for signs. Their ids are broadcast, so no text is moved. The driver gets the candidate stems, and the
     occurrences in each training document. Weights are log odds of a document's class given the
     stem at that many edits, of the other training documents: each document's own is left out.
     """
     rows = saved(training_rows(labels, label, max_rows), "training")
-    own = saved(docs.join(F.broadcast(rows), "doc_id").select("y", "text"), "training-texts")
+    own = docs.join(F.broadcast(rows), "doc_id").select("y", "text")
+    own = saved(without_copies(own), "training-texts")
     n = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     stems = learn_stems(own, n_toxic, n_clean, least, ratio, max_stems) if n_toxic else []
