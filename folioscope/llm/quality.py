@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import held_out, training_rows
 from folioscope.llm.words import Words, mix, pieces
 
+#: The statistics; shares start from a text of 60 bytes and 12 words of ordinary prose, so that a few words are not far off.
 NAMES = (
-    "log_bytes", "log_words", "log_lines", "mean_word", "upper", "digit", "blank", "closing", "mark", "high",
-    "shouted", "bare", "distinct", "top", "repeated_line",
+    "mean_word", "upper", "digit", "blank", "closing", "mark", "high", "shouted", "marked", "again", "stutter", "top", "repeated_line", "long_line",
 )
+PRIOR_BYTES, PRIOR_WORDS = 60.0, 12.0
+ORDINARY = {"upper": 0.03, "blank": 0.16, "closing": 0.03, "high": 0.02, "again": 0.1}
 CLOSING, MARKS = b".,;:?'\"()-", b"!#$%&*+/<=>@[\\]^_`{|}~"
 
 
 def statistics(data: np.ndarray, at: np.ndarray, words: Words) -> np.ndarray:
-    """The transformed statistics (n_rows, 15) of texts laid end to end.
+    """The transformed statistics, a row for each of the texts laid end to end.
 
-    Sizes go in as logarithms and shares as square roots, which brings both nearer to a normal
-    distribution. Texts without bytes or words have zeros for the shares that they lack.
+    Lengths go in as logarithms and shares as square roots, which brings both nearer to a normal
+    distribution. A text without bytes has those of ordinary prose.
     """
     n = len(at) - 1
     size = np.diff(at).astype(float)
@@ -46,7 +48,7 @@ def statistics(data: np.ndarray, at: np.ndarray, words: Words) -> np.ndarray:
     kind[list(b" \t\n\x0b\x0c\r")], kind[list(CLOSING)], kind[list(MARKS)] = 3, 4, 5
     kinds = kind[data]
     upper, digit, blank, closing, mark, high = (count(kinds == k) for k in range(1, 7))
-    lines = count(data == 10) + (size > 0)
+    lines = count(data == 10) + 1
     row, starts, ends = words.find(data, at)
     n_words = np.bincount(row, minlength=n).astype(float)
     each = np.zeros(len(data) + 1, np.int64)
@@ -59,6 +61,7 @@ def statistics(data: np.ndarray, at: np.ndarray, words: Words) -> np.ndarray:
     shouted = np.bincount(row, (of(each) >= 2) & (of(lower) == 0), minlength=n)
     bare = np.bincount(row, of(marks) >= 1, minlength=n)
     h = words.hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    stutter = np.bincount(row[1:], (row[1:] == row[:-1]) & (h[1:] == h[:-1]), minlength=n)
     order = np.lexsort((h, row))
     new = np.ones(len(h), bool)
     new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
@@ -77,15 +80,14 @@ def statistics(data: np.ndarray, at: np.ndarray, words: Words) -> np.ndarray:
         again = np.zeros(len(lh), bool)
         again[1:] = (line_row[order][1:] == line_row[order][:-1]) & (lh[order][1:] == lh[order][:-1])
         repeated = np.bincount(line_row[order], again * (last - first)[order], minlength=n)
-    share = lambda a, b: np.sqrt(np.divide(a, b, out=np.zeros(n), where=b > 0))
     letters = np.maximum(size - blank, 0)
-    return np.column_stack(
-        [
-            np.log1p(size), np.log1p(n_words), np.log1p(lines), np.log1p(np.divide(letters, n_words, out=np.zeros(n), where=n_words > 0)),
-            share(upper, size), share(digit, size), share(blank, size), share(closing, size), share(mark, size), share(high, size),
-            share(shouted, n_words), share(bare, n_words), share(distinct, n_words), share(top, n_words), share(repeated, size),
-        ]
-    )
+    of_bytes = {"upper": upper, "digit": digit, "blank": blank, "closing": closing, "mark": mark, "high": high, "repeated_line": repeated}
+    of_words = {"shouted": shouted, "marked": bare, "again": n_words - distinct, "stutter": stutter, "top": np.maximum(top - 1, 0)}
+    columns = {name: np.sqrt((a + PRIOR_BYTES * ORDINARY.get(name, 0.0)) / (size + PRIOR_BYTES)) for name, a in of_bytes.items()}
+    columns |= {name: np.sqrt((a + PRIOR_WORDS * ORDINARY.get(name, 0.0)) / (n_words + PRIOR_WORDS)) for name, a in of_words.items()}
+    columns["mean_word"] = np.log((letters + PRIOR_BYTES) / (n_words + PRIOR_WORDS))
+    columns["long_line"] = np.log1p(size / lines)
+    return np.column_stack([columns[name] for name in NAMES])
 
 
 @dataclass
