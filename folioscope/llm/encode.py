@@ -19,8 +19,8 @@ from folioscope.llm.words import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task remembers between batches.
-REMEMBERED = 400_000
-PART = 2 << 20
+REMEMBERED = 250_000
+PART = 1 << 20
 
 
 def shared_prefix(a: str, b: str) -> int:

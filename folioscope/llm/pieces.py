@@ -145,7 +145,7 @@ class Forward:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) >= 2_000_000:
+        if len(self.apart) >= 400_000:
             self.apart.clear()
         self.apart[a << 32 | b] = known
         return known

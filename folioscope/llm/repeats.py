@@ -29,7 +29,7 @@ GRAM = 32
 HOT = 256
 BLOCK = 16
 #: Bytes of text that are hashed at a time.
-LONG = 4 << 20
+LONG = 1 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer row is a run of its own."""
     data, at = buffers(column)
     i, n = 0, len(column)
@@ -64,7 +64,7 @@ class Words:
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(data) >= len(self.up):
-            self.up, self.down = powers(max(len(data), 4 << 20))
+            self.up, self.down = powers(max(len(data), 1 << 20))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * self.down[starts]
