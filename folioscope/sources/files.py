@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ def read_records(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFr
 
 def write_records(df: DataFrame, path: str, key: list[str], per_file: int = 20_000) -> None:
     """Adds the rows whose ``key`` is not at ``path`` yet, in files of ``per_file`` records."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        df = df.join(spark.read.schema(df.schema).json(path).select(*key), key, "left_anti")
+    try:
+        df = df.join(df.sparkSession.read.schema(df.schema).json(path).select(*key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     df.write.option("maxRecordsPerFile", per_file).mode("append").json(path)
 
 
