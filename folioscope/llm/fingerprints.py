@@ -127,7 +127,7 @@ def range_number(doc_id: Column, cuts: list[int]) -> Column:
     return block + count(F.slice(ids(cuts), block + 1, step))
 
 
-def fingerprints(docs: DataFrame, rows_per_range: int = 4_000, max_ranges: int = 65_536) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_per_range: int = 1_000, max_ranges: int = 65_536) -> DataFrame:
     """``COLUMNS`` for each row of ``docs``: doc_id, text; the next document is the one of next smaller id.
 
     Rows are dealt to ranges of doc_id by quantiles. Each range borrows the first row of the next
