@@ -16,8 +16,18 @@ from folioscope.llm.near_dedup import near_dedup
 from folioscope.llm.toxicity import without_toxic
 
 
+#: The largest batch of rows that a Python worker is given, in bytes: its memory stays small beside the executor's heap.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH``; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity detector rejects."""
+    small_batches(spark)
     return without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -28,6 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of smallest id, of each group of near duplicates."""
+    small_batches(spark)
     return near_dedup(docs)
 
 
@@ -38,6 +49,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text."""
+    small_batches(spark)
     return sentencepiece_encode(docs)
 
 

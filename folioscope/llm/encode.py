@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +131,12 @@ def encoder(model: Model):
                 known |= new
                 # A character's bytes never leave its word, so texts are read back word by word.
                 for w, x in new.items():
-                    parts = [names(i) for i in x]
+                    parts = list(map(names, x))
                     if None in parts and decode(x, pieces, bytes_of, False) != w.replace(SPACE, " ") or None not in parts and "".join(parts) != w:
                         lossy.add(w)
                 flat, lengths, exact = array("i"), [], []
                 for text, words in zip(texts, split):
-                    ids: list[int] = []
-                    for w in words:
-                        ids += known[w]
+                    ids = list(chain.from_iterable(map(known.__getitem__, words)))
                     flat.extend(ids)
                     lengths.append(len(ids))
                     exact.append(SPACE not in text and (not lossy or lossy.isdisjoint(words)))

@@ -331,7 +331,7 @@ def scorer(model: Detector):
         x, n = [], []
         for text in texts:
             low = normal(text or "")
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             found = occurrences(low, lexicon, known)
             n.append(len(found))
