@@ -8,7 +8,9 @@ suffix array; a stack scan over its common-prefix lengths gives the interval tre
 whose occurrences differ on the left are the maximal repeats, with all occurrences.
 
 Before anything is shuffled, segments that equal an earlier one of the same batch become spans
-right away, so a passage on a third of all documents is a few rows of each batch.
+right away, so a passage on a third of all documents is a few rows of each batch. Keys that many
+different segments share all the same are taken apart down to single windows, each settled by a
+partially aggregated minimum, so only keys of bounded size reach a suffix array.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ GRAM = 32
 #: Anchors with more distinct segments than this are split by what their windows share.
 HOT = 256
 BLOCK = 16
+#: Blocks of hot anchors with more rows than this under one key are taken apart into windows.
+FULL = 1024
 #: Bytes of text that are hashed at a time.
 LONG = 1 << 20
 
@@ -285,9 +289,6 @@ def later_occurrences(min_bytes: int, chunk: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, starts, texts, size, last = [], [], [], 0, None
         for batch in batches:
-            known = batch.filter(batch.column(3).is_null())
-            yield known.select(["doc_id", "start", "end"])
-            batch = batch.filter(batch.column(3).is_valid())
             for key, doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if size >= chunk and key != last:
                     yield spans(docs, starts, texts)
@@ -303,6 +304,53 @@ def later_occurrences(min_bytes: int, chunk: int = 1 << 20):
     return run
 
 
+WINDOWS = "window binary, doc_id long, start int, end int"
+
+
+def cut_windows(min_bytes: int):
+    """For mapInArrow on (doc_id, start, bytes): a row of ``WINDOWS`` for each window, by the hash of its bytes.
+
+    Of equal windows of a batch only the first goes out under its hash; the others are known to
+    repeat and go out as spans: without a hash, with their end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts: dict[bytes, tuple[int, int]] = {}
+            again: list[tuple[int, int]] = []
+            for doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for i in range(len(raw) - min_bytes + 1):
+                    own = (doc_id, start + i)
+                    window = hashlib.blake2b(raw[i : i + min_bytes], digest_size=16).digest()
+                    other = firsts.setdefault(window, own)
+                    if other != own:
+                        again.append(max(own, other))
+                        firsts[window] = min(own, other)
+            doc, first = np.array(again, np.int64).reshape(-1, 2).T
+            d, s, e = merged(doc, first, first + min_bytes)
+            rows = [(window, *own, None) for window, own in firsts.items()]
+            rows += [(None, *span) for span in zip(d.tolist(), s.tolist(), e.tolist())]
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["window", "doc_id", "start", "end"])
+
+    return run
+
+
+def later_windows(hot: DataFrame, min_bytes: int) -> DataFrame:
+    """``REPEATS`` of the rows (doc_id, start, bytes) of ``hot``, window by window.
+
+    All occurrences of a window have one key, so all are in ``hot`` or were settled before. The
+    minimum is aggregated before the shuffle, and the join is one that Spark can split.
+    """
+    rows = saved(hot.mapInArrow(cut_windows(min_bytes), WINDOWS), "windows")
+    known = rows.where("end is not null").select("doc_id", "start", "end")
+    each = rows.where("end is null").select("window", F.struct("doc_id", "start").alias("at"))
+    first = each.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last")
+    later = each.join(first, "window").where("at != first")
+    return known.unionByName(later.select("at.doc_id", "at.start", (F.col("at.start") + min_bytes).alias("end")))
+
+
 def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, start, end): bytes covered by a string of ``min_bytes`` bytes that also starts earlier.
 
@@ -324,8 +372,18 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1
     found = saved(found, "open")
     own = docs.join(small(found.select("doc_id"), broadcast_ids), "doc_id", "left_semi")
     cut = own.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(cut_segments(min_bytes), "key long, doc_id long, start int, bytes binary, end int")
-    told = cut.repartition("key").sortWithinPartitions("key").mapInArrow(later_occurrences(min_bytes), REPEATS)
-    return known.unionByName(again).unionByName(told)
+    cut = saved(cut, "cut")
+    told = cut.where("end is not null").select("doc_id", "start", "end")
+    rest = cut.where("end is null").select("key", "doc_id", "start", "bytes")
+    full = saved(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL).select("key"), "full")
+    spans = known.unionByName(again).unionByName(told)
+    if not full.isEmpty():
+        full = small(full, broadcast_ids)
+        hot = rest.join(full, "key", "left_semi").select("doc_id", "start", "bytes")
+        spans = spans.unionByName(later_windows(hot, min_bytes))
+        rest = rest.join(full, "key", "left_anti")
+    met = rest.repartition("key").sortWithinPartitions("key").mapInArrow(later_occurrences(min_bytes), REPEATS)
+    return spans.unionByName(met)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

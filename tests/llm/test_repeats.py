@@ -56,6 +56,54 @@ def test_long_texts_go_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in rp.repeat_dedup(df, broadcast_ids=0).collect()) == sorted(brute(rows, 100))
 
 
+def varied_surroundings(n):
+    """Texts that have one passage of 150 bytes between words of their own."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    passage = word(150)
+    return [(i, word(130) + passage + word(130)) for i in range(n)]
+
+
+def test_no_key_of_many_rows_is_gathered(spark, monkeypatch):
+    """The blocks at a passage's ends have a text each under one key: none may reach one task whole."""
+    monkeypatch.setattr(rp, "HOT", 8)
+    monkeypatch.setattr(rp, "FULL", 20, raising=False)
+    whole = rp.later_occurrences
+
+    def bounded(min_bytes):
+        inner = whole(min_bytes)
+
+        def run(batches):
+            sizes = {}
+
+            def watched():
+                for batch in batches:
+                    for key, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                        sizes[key] = sizes.get(key, 0) + (raw is not None)
+                    assert max(sizes.values()) <= 20
+                    yield batch
+
+            return inner(watched())
+
+        return run
+
+    monkeypatch.setattr(rp, "later_occurrences", bounded)
+    rows = varied_surroundings(200)
+    got = rp.repeat_dedup(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows, 100))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij klmn", "ab", "aä€"])
+def test_windows_against_brute_force(spark, monkeypatch, letters):
+    monkeypatch.setattr(rp, "HOT", 1)
+    monkeypatch.setattr(rp, "FULL", 1)
+    rows = texts(len(letters), letters) + [(200 + i, t) for i, t in varied_surroundings(40)]
+    rows += [(1000, "x" * 400), (1001, "x" * 130), (None, rows[0][1]), rows[3], rows[3]]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(3)
+    got = sorted((tuple(r) for r in rp.repeat_dedup(df).collect()), key=repr)
+    assert got == sorted(brute(rows, 100), key=repr)
+
+
 def test_empty(spark):
     assert rp.repeat_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
