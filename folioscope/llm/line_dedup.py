@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import saved
+from folioscope.llm.common import saved, small
+from folioscope.llm.near_dedup import near_components
 
 #: Tags and line breaks end a line of a web page.
 PAGE_BREAKS = r"<[^>]*>|[\r\n]"
@@ -32,19 +33,22 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies_count_once: bool) -> DataFrame:
+def line_hashes(lines: str) -> Column:
+    """The hashes of a page's distinct lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.xxhash64(x)))
+
+
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies_count_once: bool, page: Column | None = None) -> DataFrame:
     """(_host, _drop): the hashes of each host's boilerplate lines; ``pages`` has _host and _lines.
 
     A host has at most (mean distinct lines of its pages) / ``ratio`` such lines, which bounds
     the array. Lines are counted per page before they leave it, and partially before each
     shuffle, so neither a host with most pages nor a line on every page is gathered anywhere.
-    With ``copies_count_once``, pages of equal lines count as one page of the host.
+    With ``copies_count_once``, pages of equal lines, or of equal ``page`` if given, count as one
+    page of the host.
     """
-    keyed = pages.select(
-        "_host",
-        F.array_distinct(F.transform(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.xxhash64(x))).alias("_hashes"),
-        (F.xxhash64("_lines") if copies_count_once else F.lit(0)).alias("_page"),
-    )
+    page = F.xxhash64("_lines") if page is None else page
+    keyed = pages.select("_host", line_hashes("_lines").alias("_hashes"), (page if copies_count_once else F.lit(0)).alias("_page"))
     n = F.count_distinct("_page") if copies_count_once else F.count(F.lit(1))
     lines = keyed.select("_host", "_page", F.explode("_hashes").alias("_line")).groupBy("_host", "_line").agg(n.alias("_pages"))
     totals = keyed.groupBy("_host").agg(n.alias("_total"))
@@ -57,6 +61,30 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies_count_onc
     )
 
 
+def with_drop(own: DataFrame, bad: DataFrame, n_bad: int, broadcast_lines: int, salts: int) -> DataFrame:
+    """``own``: _host, _lines and others, with the boilerplate ``_drop`` of its host, null for none."""
+    if n_bad <= broadcast_lines:
+        return own.join(F.broadcast(bad), "_host", "left")
+    each = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = own.withColumn("_salt", F.pmod(F.xxhash64("_lines"), F.lit(salts)).cast("int"))
+    return dealt.join(each, ["_host", "_salt"], "left")
+
+
+def with_near_copies(joined: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(_host, _lines, _page) of the hosts that have boilerplate in ``joined``: rows as structs, _host, _lines and _drop.
+
+    Pages that have such lines and are near copies, as the near-dedup stage tells them, have one
+    _page. Other pages, and rows without an id, are told by their lines.
+    """
+    pages = joined.where("_drop is not null").select(F.col("row.doc_id").cast("long").alias("_id"), F.col("row.text").alias("_text"), "_host", "_lines", "_drop")
+    some = pages.where(F.col("_id").isNotNull() & F.arrays_overlap(line_hashes("_lines"), "_drop"))
+    groups = near_components(saved(some.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text")), "frequent-lines"))
+    groups = saved(groups.groupBy(F.col("doc_id").alias("_of")).agg(F.min("component_id").alias("_group")), "page-groups")
+    grouped = pages.join(small(groups, broadcast_ids), F.col("_id") == F.col("_of"), "left")
+    page = F.when(F.col("_group").isNull(), F.xxhash64("_lines")).otherwise(F.xxhash64(F.lit("group"), "_group"))
+    return grouped.select("_host", "_lines", page.alias("_page"))
+
+
 def line_dedup(
     df: DataFrame,
     host: Column,
@@ -64,6 +92,7 @@ def line_dedup(
     ratio: float = 0.2,
     min_pages: int = 3,
     copies_count_once: bool = False,
+    near_copies_count_once: bool = False,
     broadcast_lines: int = 500_000,
     salts: int = 32,
 ) -> DataFrame:
@@ -73,6 +102,8 @@ def line_dedup(
     gives it; blank lines are never boilerplate. Repeated rows are pages of their own, a line
     repeated within a page counts once and is dropped wherever it stands. An empty table gives
     an empty table. Other columns pass through inside the struct, so no name can clash.
+    With ``near_copies_count_once``, which needs doc_id and text and ``copies_count_once``, lines found
+    so must be found again once near copies among the pages that have them count as one page.
 
     The boilerplate lines are written once. Up to ``broadcast_lines`` of them are broadcast;
     beyond, they are joined by host and salt, so that a host with most pages is dealt out.
@@ -80,13 +111,12 @@ def line_dedup(
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     own = df.select(row.alias("row"), F.coalesce(host, F.lit("\0null")).alias("_host"), lines.alias("_lines"))
     bad = saved(boilerplate(own, ratio, min_pages, copies_count_once), "boilerplate")
-    n_bad = bad.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    if n_bad <= broadcast_lines:
-        joined = own.join(F.broadcast(bad), "_host", "left")
-    else:
-        each = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = own.withColumn("_salt", F.pmod(F.xxhash64("_lines"), F.lit(salts)).cast("int"))
-        joined = dealt.join(each, ["_host", "_salt"], "left")
+    size = F.coalesce(F.sum(F.size("_drop")), F.lit(0))
+    n_bad = bad.agg(size).first()[0]
+    joined = with_drop(own, bad, n_bad, broadcast_lines, salts)
+    if near_copies_count_once and n_bad:
+        bad = saved(boilerplate(with_near_copies(joined), ratio, min_pages, True, F.col("_page")), "boilerplate")
+        joined = with_drop(own, bad, bad.agg(size).first()[0], broadcast_lines, salts)
     keep = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", F.xxhash64(x))))
     out = joined.withColumn("kept", keep)
     return out.select("row", "kept", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("kept")).cast("long").alias("n_dropped"))
@@ -99,12 +129,12 @@ def page_line_dedup(pages: DataFrame, ratio: float = 0.2, min_pages: int = 3) ->
 
 
 def document_line_dedup(docs: DataFrame, ratio: float = 0.2, min_pages: int = 3, **options) -> DataFrame:
-    """``docs`` with boilerplate lines gone from text; the source is the host, and exact copies count once.
+    """``docs`` with boilerplate lines gone from text; the source is the host, and exact and near copies count once.
 
     No row goes: a document of boilerplate alone is kept with an empty text. A null text becomes
     empty. n_chars follows the text.
     """
-    out = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, copies_count_once=True, **options)
+    out = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, min_pages, copies_count_once=True, near_copies_count_once=True, **options)
     text = F.array_join("kept", "\n")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select([new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -41,6 +41,18 @@ def test_copies_count_once(spark):
     assert got.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_near_copies_count_once(spark):
+    """A third of a source are near copies, each with a line of its own; a menu is on all pages."""
+    lines = [" ".join(f"copied{i}x{j}" for j in range(20)) for i in range(15)]
+    near = [(i, "s", "\n".join(["menu", *lines[:i], f"own line of {i}", *lines[i + 1 :]]), 1) for i in range(7)]
+    other = [(100 + i, "s", "menu\n" + " ".join(f"other{i}x{j}" for j in range(30)), 1) for i in range(14)]
+    alone = [(200 + i, "t", "\n".join([*lines, f"last line {i}"]), 1) for i in range(5)]
+    docs = spark.createDataFrame(near + other + alone, "doc_id long, source string, text string, n_chars long")
+    for options in ({}, {"broadcast_lines": 0, "salts": 4}):
+        got = {r.doc_id: r.text for r in ld.document_line_dedup(docs, **options).collect()}
+        assert got == {i: t.removeprefix("menu\n") for i, _, t, _ in near + other + alone}
+
+
 def test_native_plan(spark):
     plan = ld.page_line_dedup(pages(spark, [(1, "http://a", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
