@@ -314,11 +314,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     for k, (r, own_pairs) in enumerate(zip(table, pairs)):
         w = weights
         if own_pairs:
-            rest = counts.copy() if len(stems) <= 64 else counts
-            if rest is not counts:
-                for s, e in own_pairs:
-                    rest[r.y, s, e] -= 1
-                w = log_odds(rest)
+            cells = tuple(np.array(list(own_pairs)).T)
+            rest = counts[:, *cells]
+            rest[r.y] -= 1
+            w = weights.copy()
+            w[cells] = log_odds(rest)
         x[k] = window_features(list(zip(r.place, r.stem, r.edits, r.quoted)), w, r.n_words)
     return Detector(stems, weights, logistic(x, y) if len(y) else np.zeros(4))
 

@@ -92,6 +92,41 @@ def test_automaton_against_brute_force():
             assert found[0] == min(near)[0]
 
 
+def many_terms(n):
+    """Documents of which every second is toxic by three of ``n`` terms, some misspelled or also in clean ones."""
+    rnd = random.Random(5)
+    word = lambda k: "".join(rnd.choice("bcdfghjklmnprstvz") for _ in range(k))
+    terms, rows = [word(9) for _ in range(n)], []
+    for i in range(1600):
+        words = [word(6) for _ in range(30)]
+        for k in range(3 if i % 2 else i % 40 == 0):
+            term = terms[(i // 2 * 3 + k) % n]
+            words.insert(rnd.randrange(30), term if rnd.random() < 0.8 else term[:4] + "q" + term[5:])
+        rows.append((i, " ".join(words), i % 2))
+    return rows
+
+
+def test_own_count_is_left_out_with_many_stems(spark):
+    rows = many_terms(90)
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in rows], DOCS)
+    model = tx.train(docs, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS))
+    assert len(model.stems) > 64
+    lexicon, known = tx.Lexicon(model.stems), {}
+    own = [(y, tx.occurrences(t, lexicon, known), len(t.split())) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(y == k for y, *_ in own) for k in (0, 1)]
+    counts = np.zeros((2, len(model.stems), 3))
+    for y, found, _ in own:
+        for s, e in {(s, e) for _, s, e, _ in found}:
+            counts[y, s, e] += 1
+    x = []
+    for y, found, n_words in own:
+        rest = counts.copy()
+        for s, e in {(s, e) for _, s, e, _ in found}:
+            rest[y, s, e] -= 1
+        x.append(tx.window_features(found, np.log((rest[1] + 0.5) / (n[1] + 1)) - np.log((rest[0] + 0.5) / (n[0] + 1)), n_words))
+    assert np.allclose(model.coefficients, tx.logistic(np.array(x), np.array([float(y) for y, *_ in own])), atol=1e-5)
+
+
 def test_quotation_counts_less():
     lexicon, weights = tx.Lexicon(["blockhead"]), np.full((1, 3), 3.0)
     features = [tx.window_features(tx.occurrences(t, lexicon, {}), weights, 5) for t in ("he said „blockhead“ there", "he is a blockhead there")]
