@@ -26,10 +26,15 @@ from folioscope.llm.common import held_out, saved, training_rows
 from folioscope.llm.near_dedup import shingle_sets
 from folioscope.llm.words import Words, mix
 
-TOKEN = re.compile(r"[^\W_]+")
+#: A word; @ and $ may stand in for its letters. Its fragments are what they part.
+TOKEN = re.compile(r"[@$]*[^\W_]+(?:[@$]+[^\W_]+)*[@$]*")
+FRAGMENT = re.compile(r"[^\W_]+")
 #: Letters and digits that stand in for letters, as a fixed value: what is read as what.
 READ_AS = str.maketrans("013457@$", "oieastas")
-SHORTEST, LONGEST = 3, 8
+#: Letters of a learned stem. Words that go on are found by how they begin.
+SHORTEST, LONGEST = 3, 20
+#: A stem in few toxic documents must tell the classes apart by this log likelihood ratio.
+EVIDENCE = 12.0
 WINDOW = 8
 QUOTED = 0.35
 OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
@@ -125,12 +130,20 @@ class Lexicon:
     def find_both(self, word: str) -> tuple[int, int] | None:
         """As ``find``, also for the word with look-alike characters read as letters, as one edit more."""
         best = self.find(word)
-        if (best is None or best[0]) and (plain := word.translate(READ_AS)) != word and not word.isdigit():
+        if (best is None or best[0]) and (plain := word.translate(READ_AS)) != word and any(map(str.isalpha, word)):
             other = self.find(plain)
             if other is not None and (best is None or other < best):
                 best = (max(1, other[0]), other[1])
         return best
 
+    def find_all(self, word: str) -> list[tuple[int, int]]:
+        """What ``find_both`` has for each fragment of the word; if for none, for the whole word."""
+        fragments = FRAGMENT.findall(word)
+        hits = [hit for x in fragments if (hit := self.find_both(x)) is not None]
+        if not hits and fragments != [word] and (whole := self.find_both(word)) is not None:
+            hits = [whole]
+        return hits
+
 
 NEVER = 1 << 30
 
@@ -171,7 +184,7 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = Counter(TOKEN.findall(normal(text or "")))
+            words = Counter(FRAGMENT.findall(normal(text or "")))
             own: Counter = Counter()
             for w, times in words.items():
                 for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
@@ -187,8 +200,9 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float, max_stems: int) -> list[str]:
-    """The stems of words in ``least`` toxic documents and a hundredth of them or more, ``ratio`` times as often as in clean ones.
+    """The stems of words in ``least`` toxic documents or more, ``ratio`` times as often as in clean ones.
 
+    Stems in less than a hundredth of the toxic documents need ``EVIDENCE`` that this is no chance.
     Either documents with such words count or, for stems that clean text has by chance,
     documents with several. Counts are summed by Spark; the best ``max_stems`` candidates come to the driver. Of the
     prefixes of one word, the longest with nearly the same toxic documents, or most of them and
@@ -199,7 +213,11 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio:
 
     def tells(toxic: str, clean: str) -> Column:
         odds = (F.col(toxic) + 0.5) / F.lit(n_toxic + 1.0) / ((F.col(clean) + 0.5) / F.lit(n_clean + 1.0))
-        return (F.col(toxic) >= max(least, n_toxic / 100)) & (odds >= ratio)
+        n, share = F.col(toxic) + F.col(clean), n_toxic / (n_toxic + n_clean)
+        told = F.col(toxic) * F.log(F.col(toxic) / (n * share))
+        if n_clean:
+            told += F.when(F.col(clean) > 0, F.col(clean) * F.log(F.col(clean) / (n * (1 - share)))).otherwise(0.0)
+        return (F.col(toxic) >= least) & (odds >= ratio) & ((F.col(toxic) >= n_toxic / 100) | (told >= EVIDENCE))
 
     found = counts.where(tells("toxic", "clean") | tells("toxic_twice", "clean_twice"))
     rows = found.orderBy(F.col("toxic").desc(), F.length("prefix"), "prefix").limit(max_stems).collect()
@@ -226,16 +244,16 @@ def occurrences(text: str, lexicon: Lexicon, known: dict) -> list[tuple[int, int
     hits = {}
     for w in set(words):
         if w not in known:
-            known[w] = lexicon.find_both(w)
-        if known[w] is not None:
+            known[w] = lexicon.find_all(w)
+        if known[w]:
             hits[w] = known[w]
     if not hits:
         return []
     quotes = quoted_places(text)
     out = []
     for i, m in enumerate(TOKEN.finditer(text)):
-        if (hit := hits.get(m[0])) is not None:
-            out.append((i, hit[1], hit[0], any(s <= m.start() < e for s, e in quotes)))
+        for edits, stem in hits.get(m[0], ()):
+            out.append((i, stem, edits, any(s <= m.start() < e for s, e in quotes)))
     return out
 
 

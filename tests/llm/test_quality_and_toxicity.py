@@ -127,6 +127,22 @@ def test_own_count_is_left_out_with_many_stems(spark):
     assert np.allclose(model.coefficients, tx.logistic(np.array(x), np.array([float(y) for y, *_ in own])), atol=1e-5)
 
 
+def test_learned_terms_are_found_misspelled(spark):
+    """Long terms with two edits, terms with @ and $ for letters, and a term in few of many toxic documents."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnprstvz") for _ in range(6))
+    rows = []
+    for i in range(8000):
+        term = [] if i % 8 else ["quarrelsomely"] if i % 904 == 0 else [["contemptible", "pathetic"][i // 8 % 2]]
+        rows.append((i, " ".join([*(word() for _ in range(8)), *term, word()]), int(bool(term))))
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in rows], DOCS)
+    model = tx.train(docs, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS))
+    score = tx.scorer(model)
+    said = "contemptible cxntxmptible p@thetic p@the+ic idle@pathetic quarrelsomely hous$ 100$".split()
+    assert score(f"you {x} one" for x in said)[1] == [1, 1, 1, 0, 1, 1, 0, 0]
+    assert "quarrelsomely" in model.stems and "contemptible" in model.stems
+
+
 def test_quotation_counts_less():
     lexicon, weights = tx.Lexicon(["blockhead"]), np.full((1, 3), 3.0)
     features = [tx.window_features(tx.occurrences(t, lexicon, {}), weights, 5) for t in ("he said „blockhead“ there", "he is a blockhead there")]
