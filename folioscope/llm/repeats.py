@@ -95,30 +95,41 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (reach - far)[last]
 
 
-SEGMENTS = "anchor long, content long, doc_id long, start int, shape int"
+def numbered(doc: np.ndarray, version: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each row, doc and version of each number): documents numbered in order of doc and version."""
+    order = np.lexsort((version, doc))
+    d, v = doc[order], version[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    number = np.empty(len(d), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, d[new], v[new]
+
+
+SEGMENTS = "anchor long, content long, doc_id long, version long, start int, shape int"
 
 
 def find_segments(min_bytes: int):
-    """For mapInArrow on (doc_id, text): rows of ``SEGMENTS``.
+    """For mapInArrow on (doc_id, version, text): rows of ``SEGMENTS``.
 
     ``shape`` is 256 * windows + lead. Of equal segments of a batch only the first in order of
-    (doc_id, start) goes out; the windows of the others are known to repeat and go out as spans,
+    (doc_id, version, start) goes out; the windows of the others are known to repeat and go out as spans,
     with a null content and their length in bytes as shape.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            number, ids, versions = numbered(*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(2)))
             parts = []
-            for i, j, piece, offsets in pieces(batch.column(1), LONG):
+            for i, j, piece, offsets in pieces(batch.column(2), LONG):
                 for base in range(0, max(1, len(piece) if j == i + 1 else 1), LONG):
                     # A text longer than a piece goes in parts that share all but one byte of a window.
                     data, at = (piece, offsets) if j > i + 1 else (part := piece[base : base + LONG + min_bytes - 1], np.array([0, len(part)]))
                     row, start, windows, lead, anchor = segments(data, at, min_bytes)
                     if len(row):
                         content = words.hashes(data, start, start + windows + min_bytes - 1)
-                        parts.append((ids[i:j][row], start - at[row] + base, windows, lead, anchor, content))
+                        parts.append((number[i:j][row], start - at[row] + base, windows, lead, anchor, content))
             if not parts:
                 continue
             doc, start, windows, lead, anchor, content = (np.concatenate(x) for x in zip(*parts))
@@ -131,20 +142,20 @@ def find_segments(min_bytes: int):
             d, s, e = merged(doc[again], start[again], start[again] + windows[again] + min_bytes - 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([anchor[first].view(np.int64), mix(d.astype(np.uint64) ^ s.astype(np.uint64)).view(np.int64)])),
+                    pa.array(np.concatenate([anchor[first].view(np.int64), mix(ids[d].view(np.uint64) ^ s.astype(np.uint64)).view(np.int64)])),
                     pa.array(np.concatenate([content[first].view(np.int64), np.zeros(len(d), np.int64)]), mask=np.arange(len(first) + len(d)) >= len(first)),
-                    pa.array(np.concatenate([doc[first], d])),
+                    *(pa.array(x[np.concatenate([doc[first], d])]) for x in (ids, versions)),
                     pa.array(np.concatenate([start[first], s]).astype(np.int32)),
                     pa.array(np.concatenate([windows[first] * 256 + lead[first], e - s]).astype(np.int32)),
                 ],
-                ["anchor", "content", "doc_id", "start", "shape"],
+                ["anchor", "content", "doc_id", "version", "start", "shape"],
             )
 
     return run
 
 
 def cut_segments(min_bytes: int):
-    """For mapInArrow on (doc_id, text, found: array of (start, shape, anchor, hot)): the bytes of each segment.
+    """For mapInArrow on (doc_id, version, text, found: array of (start, shape, anchor, hot)): the bytes of each segment.
 
     Segments of hot anchors are split into blocks of 16 windows by their distance from the
     anchor; equal windows are in equal blocks and share the block's core, which goes into the key.
@@ -165,25 +176,25 @@ def cut_segments(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            firsts: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            firsts: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+            for doc_id, version, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for x in found:
                     start = x["start"]
                     if not x["hot"]:
-                        rows.append((x["anchor"], doc_id, start, raw[start : start + (x["shape"] >> 8) + min_bytes - 1], None))
+                        rows.append((x["anchor"], doc_id, version, start, raw[start : start + (x["shape"] >> 8) + min_bytes - 1], None))
                         continue
                     for key, first, end in blocks(raw, x):
-                        own = (doc_id, first, end)
+                        own = (doc_id, version, first, end)
                         other = firsts.setdefault((key, raw[first:end]), own)
-                        if other[:2] != own[:2]:
+                        if other[:3] != own[:3]:
                             later = max(own, other)
                             firsts[key, raw[first:end]] = min(own, other)
-                            rows.append((hash(later), later[0], later[1], None, later[2]))
-            rows += [(key, doc_id, first, raw, None) for (key, raw), (doc_id, first, _) in firsts.items()]
+                            rows.append((hash(later), *later[:3], None, later[3]))
+            rows += [(key, *own[:3], raw, None) for (key, raw), own in firsts.items()]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["key", "doc_id", "start", "bytes", "end"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["key", "doc_id", "version", "start", "bytes", "end"])
 
     return run
 
@@ -260,21 +271,22 @@ def maximal_repeats(text: np.ndarray, ends: np.ndarray, least: int) -> Iterator[
                 stack.append([height, begin, byte])
 
 
-REPEATS = "doc_id long, start int, end int"
+REPEATS = "doc_id long, version long, start int, end int"
 
 
 def later_occurrences(min_bytes: int, chunk: int = 1 << 20):
-    """For mapInArrow on (key, doc_id, start, bytes) in order of key: spans of repeats that are not their first.
+    """For mapInArrow on (key, doc_id, version, start, bytes) in order of key: spans of repeats that are not their first.
 
     Whole keys are taken together up to ``chunk`` bytes; every window that equals another is
     under the same key.
     """
 
-    def spans(docs: list, starts: list, texts: list) -> pa.RecordBatch:
+    def spans(docs: list, versions: list, starts: list, texts: list) -> pa.RecordBatch:
         text = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.array([len(x) for x in texts])
         ends = np.cumsum(lengths)
-        doc, base = np.array(docs), np.array(starts)
+        doc, ids, own = numbered(np.array(docs), np.array(versions))
+        base = np.array(starts)
         segment = np.repeat(np.arange(len(texts)), lengths)
         where = np.arange(len(text)) - np.repeat(ends - lengths, lengths) + base[segment]
         out = [(np.zeros(0, np.int64),) * 3]
@@ -284,31 +296,32 @@ def later_occurrences(min_bytes: int, chunk: int = 1 << 20):
             later = (d != d[first]) | (s != s[first])
             out.append((d[later], s[later], s[later] + length))
         d, s, e = merged(*(np.concatenate(x) for x in zip(*out)))
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(own[d]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "version", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, texts, size, last = [], [], [], 0, None
+        docs, versions, starts, texts, size, last = [], [], [], [], 0, None
         for batch in batches:
-            for key, doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, doc_id, version, start, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size >= chunk and key != last:
-                    yield spans(docs, starts, texts)
-                    docs, starts, texts, size = [], [], [], 0
+                    yield spans(docs, versions, starts, texts)
+                    docs, versions, starts, texts, size = [], [], [], [], 0
                 docs.append(doc_id)
+                versions.append(version)
                 starts.append(start)
                 texts.append(raw)
                 size += len(raw)
                 last = key
         if texts:
-            yield spans(docs, starts, texts)
+            yield spans(docs, versions, starts, texts)
 
     return run
 
 
-WINDOWS = "window binary, doc_id long, start int, end int"
+WINDOWS = "window binary, doc_id long, version long, start int, end int"
 
 
 def cut_windows(min_bytes: int):
-    """For mapInArrow on (doc_id, start, bytes): a row of ``WINDOWS`` for each window, by the hash of its bytes.
+    """For mapInArrow on (doc_id, version, start, bytes): a row of ``WINDOWS`` for each window, by the hash of its bytes.
 
     Of equal windows of a batch only the first goes out under its hash; the others are known to
     repeat and go out as spans: without a hash, with their end.
@@ -316,70 +329,95 @@ def cut_windows(min_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts: dict[bytes, tuple[int, int]] = {}
-            again: list[tuple[int, int]] = []
-            for doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            firsts: dict[bytes, tuple[int, int, int]] = {}
+            again: list[tuple[int, int, int]] = []
+            for doc_id, version, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for i in range(len(raw) - min_bytes + 1):
-                    own = (doc_id, start + i)
+                    own = (doc_id, version, start + i)
                     window = hashlib.blake2b(raw[i : i + min_bytes], digest_size=16).digest()
                     other = firsts.setdefault(window, own)
                     if other != own:
                         again.append(max(own, other))
                         firsts[window] = min(own, other)
-            doc, first = np.array(again, np.int64).reshape(-1, 2).T
+            doc, version, first = np.array(again, np.int64).reshape(-1, 3).T
+            doc, ids, versions = numbered(doc, version)
             d, s, e = merged(doc, first, first + min_bytes)
             rows = [(window, *own, None) for window, own in firsts.items()]
-            rows += [(None, *span) for span in zip(d.tolist(), s.tolist(), e.tolist())]
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            rows += [(None, *span) for span in zip(ids[d].tolist(), versions[d].tolist(), s.tolist(), e.tolist())]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["window", "doc_id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["window", "doc_id", "version", "start", "end"])
 
     return run
 
 
 def later_windows(hot: DataFrame, min_bytes: int) -> DataFrame:
-    """``REPEATS`` of the rows (doc_id, start, bytes) of ``hot``, window by window.
+    """``REPEATS`` of the rows (doc_id, version, start, bytes) of ``hot``, window by window.
 
     All occurrences of a window have one key, so all are in ``hot`` or were settled before. The
     minimum is aggregated before the shuffle, and the join is one that Spark can split.
     """
     rows = saved(hot.mapInArrow(cut_windows(min_bytes), WINDOWS), "windows")
-    known = rows.where("end is not null").select("doc_id", "start", "end")
-    each = rows.where("end is null").select("window", F.struct("doc_id", "start").alias("at"))
+    known = rows.where("end is not null").select("doc_id", "version", "start", "end")
+    each = rows.where("end is null").select("window", F.struct("doc_id", "version", "start").alias("at"))
     first = each.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last")
     later = each.join(first, "window").where("at != first")
-    return known.unionByName(later.select("at.doc_id", "at.start", (F.col("at.start") + min_bytes).alias("end")))
+    return known.unionByName(later.select("at.doc_id", "at.version", "at.start", (F.col("at.start") + min_bytes).alias("end")))
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(doc_id, start, end): bytes covered by a string of ``min_bytes`` bytes that also starts earlier.
+def crowded_anchors(docs: DataFrame, min_bytes: int, share: float, least: int) -> DataFrame | None:
+    """(anchor): anchors of so many different segments that one task should not gather them, or None.
 
-    Earlier is a smaller doc_id, or a smaller start in the same document. Spans may overlap.
+    They are told from a sample of ``share`` of the documents, which decides only how rows are dealt out and
+    never what is found: in the sample, such an anchor has ``least`` segments or more and is on one
+    document in a thousand, so there are at most some thousands of them.
     """
-    rows = docs.where("doc_id is not null and text is not null").mapInArrow(find_segments(min_bytes), SEGMENTS)
-    same = Window.partitionBy("anchor", "content").orderBy("doc_id", "start")
-    of_anchor = Window.partitionBy("anchor")
-    # A rank: rows that repeat an id are at the same place, so none is later than the other.
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    n = sample.select("doc_id").count()
+    sample = sample.where("text is not null")
+    seen = sample.mapInArrow(find_segments(min_bytes), SEGMENTS).where("content is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    crowded = saved(seen.where(F.col("n") >= max(least, n / 1_000)).select(F.col("anchor").alias("_anchor")), "crowded")
+    return None if crowded.isEmpty() else crowded
+
+
+def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000, sample_share: float = 0.02, sample_least: int = 64) -> DataFrame:
+    """(doc_id, version, start, end) of ``docs`` (doc_id, version, text): bytes covered by a string of ``min_bytes`` bytes that also starts earlier.
+
+    Earlier is a smaller doc_id, of equal ones a smaller version, or a smaller start in the same
+    document. Spans may overlap.
+    """
+    docs = docs.where("doc_id is not null")
+    rows = docs.where("text is not null").mapInArrow(find_segments(min_bytes), SEGMENTS)
+    crowded = crowded_anchors(docs, min_bytes, sample_share, sample_least)
+    if crowded is None:
+        rows = rows.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        # Segments of a crowded anchor meet by their content alone, and go on as a hot anchor's.
+        rows = rows.join(F.broadcast(crowded), F.col("anchor") == F.col("_anchor"), "left")
+        rows = rows.withColumn("salt", F.when(F.col("_anchor").isNotNull(), F.coalesce("content", F.lit(0))).otherwise(0)).drop("_anchor")
+    same = Window.partitionBy("anchor", "salt", "content").orderBy("doc_id", "version", "start")
+    of_anchor = Window.partitionBy("anchor", "salt")
+    # A rank: rows that repeat an id and a text are at the same place, so none is later than the other.
     met = rows.withColumn("nth", F.rank().over(same))
-    met = met.withColumn("several", F.min("content").over(of_anchor) != F.max("content").over(of_anchor))
-    met = met.withColumn("firsts", F.count(F.when(F.col("nth") == 1, 1)).over(of_anchor))
+    met = met.withColumn("several", (F.col("salt") != 0) | (F.min("content").over(of_anchor) != F.max("content").over(of_anchor)))
+    met = met.withColumn("firsts", F.when(F.col("salt") != 0, F.lit(HOT + 1)).otherwise(F.count(F.when(F.col("nth") == 1, 1)).over(of_anchor)))
     met = saved(met.where("content is null or nth > 1 or several"), "anchors")
-    known = met.where("content is null").select("doc_id", "start", (F.col("start") + F.col("shape")).alias("end"))
+    known = met.where("content is null").select("doc_id", "version", "start", (F.col("start") + F.col("shape")).alias("end"))
     again = met.where("content is not null and nth > 1")
-    again = again.select("doc_id", "start", (F.col("start") + F.shiftright("shape", 8) + (min_bytes - 1)).alias("end"))
+    again = again.select("doc_id", "version", "start", (F.col("start") + F.shiftright("shape", 8) + (min_bytes - 1)).alias("end"))
     open_ = met.where("content is not null and nth = 1 and several")
-    found = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "shape", "anchor", (F.col("firsts") > HOT).alias("hot"))).alias("found"))
+    found = open_.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "shape", "anchor", (F.col("firsts") > HOT).alias("hot"))).alias("found"))
     found = saved(found, "open")
-    own = docs.join(small(found.select("doc_id"), broadcast_ids), "doc_id", "left_semi")
-    cut = own.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(cut_segments(min_bytes), "key long, doc_id long, start int, bytes binary, end int")
-    cut = saved(cut, "cut")
-    told = cut.where("end is not null").select("doc_id", "start", "end")
-    rest = cut.where("end is null").select("key", "doc_id", "start", "bytes")
+    key = ["doc_id", "version"]
+    cut = docs.join(small(found.select(*key), broadcast_ids), key, "left_semi").join(found, key).select(*key, "text", "found")
+    cut = saved(cut.mapInArrow(cut_segments(min_bytes), "key long, doc_id long, version long, start int, bytes binary, end int"), "cut")
+    told = cut.where("end is not null").select(*key, "start", "end")
+    rest = cut.where("end is null").select("key", *key, "start", "bytes")
     full = saved(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL).select("key"), "full")
     spans = known.unionByName(again).unionByName(told)
     if not full.isEmpty():
         full = small(full, broadcast_ids)
-        hot = rest.join(full, "key", "left_semi").select("doc_id", "start", "bytes")
+        hot = rest.join(full, "key", "left_semi").select(*key, "start", "bytes")
         spans = spans.unionByName(later_windows(hot, min_bytes))
         rest = rest.join(full, "key", "left_anti")
     met = rest.repartition("key").sortWithinPartitions("key").mapInArrow(later_occurrences(min_bytes), REPEATS)
@@ -408,21 +446,28 @@ def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in KEPT.split(", ")])
 
 
-def repeat_dedup(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:
+def repeat_dedup(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000, **sampling) -> DataFrame:
     """``KEPT`` for each row of ``docs``: doc_id, text, with all later occurrences of long strings taken out.
 
     Texts are UTF-8 bytes; matches never cross documents. Null and empty texts and texts shorter
     than ``min_bytes`` lose nothing. A row without a doc_id has no place in the order: it loses
     nothing and takes nothing from others. Rows that repeat id and text are one document that is
-    returned as often; ids with several texts are not told apart. An empty table gives no rows.
+    returned as often; different texts of one id are documents in order of their 64-bit hash. A
+    very long text is cut in parts that overlap by a window, each of bounded size in a task, but for its
+    own bytes. An empty table gives no rows. Other columns, whatever their names, are not read.
+
+    Whole segments are told apart by two 64-bit hashes, of their anchor and of their content, without a look at
+    their bytes. Segments of different anchors need both to agree; 10^8 different ones around one anchor are
+    all told apart but for a chance of 3 in 10^4.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs, min_bytes, broadcast_ids)
-    spans = saved(spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
-    ids = small(spans.select(F.col("doc_id").alias("id")), broadcast_ids)
-    hit = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").join(spans, "doc_id").select("doc_id", "text", "starts", "ends")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    spans = repeated_spans(docs, min_bytes, broadcast_ids, **sampling)
+    key = ["doc_id", "version"]
+    spans = saved(spans.groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+    ids = small(spans.select(*key), broadcast_ids)
     none = F.lit(None).cast("array<int>")
-    free = docs.join(ids, F.col("doc_id") == F.col("id"), "left_anti").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    hit = docs.join(ids, key, "left_semi").join(spans, key).select("doc_id", "text", "starts", "ends")
+    free = docs.join(ids, key, "left_anti").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
     return hit.mapInArrow(take_out, KEPT).unionByName(free.mapInArrow(take_out, KEPT))
 
 

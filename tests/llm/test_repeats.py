@@ -10,17 +10,19 @@ SCHEMA = "doc_id long, text string, start int"
 
 
 def brute(rows, n):
-    """(doc_id, bytes, removed, spans, sha256 of the rest) by a dictionary of all windows."""
+    """(doc_id, bytes, removed, spans, sha256 of the rest) by a dictionary of all windows; rows may end in the hash that orders texts of one id."""
+    rows = [(*r, 0)[:3] for r in rows]
     first, out = {}, []
-    for d, t in sorted({r for r in rows if r[0] is not None}):
+    place = {(d, t): (d, h) for d, t, h in rows if d is not None}
+    for d, t in sorted(place, key=place.get):
         raw = (t or "").encode()
         for s in range(len(raw) - n + 1):
-            first.setdefault(raw[s : s + n], (d, s))
-    for d, t in rows:
+            first.setdefault(raw[s : s + n], (*place[d, t], s))
+    for d, t, _ in rows:
         raw = (t or "").encode()
         gone = np.zeros(len(raw) + 1, bool)
         for s in range(len(raw) - n + 1 if d is not None else 0):
-            if first[raw[s : s + n]] < (d, s):
+            if first[raw[s : s + n]] < (*place[d, t], s):
                 gone[s : s + n] = True
         gone = gone[:-1]
         kept = bytes(b for b, g in zip(raw, gone) if not g)
@@ -78,7 +80,7 @@ def test_no_key_of_many_rows_is_gathered(spark, monkeypatch):
 
             def watched():
                 for batch in batches:
-                    for key, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                    for key, raw in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
                         sizes[key] = sizes.get(key, 0) + (raw is not None)
                     assert max(sizes.values()) <= 20
                     yield batch
@@ -104,6 +106,37 @@ def test_windows_against_brute_force(spark, monkeypatch, letters):
     assert got == sorted(brute(rows, 100), key=repr)
 
 
+def test_one_id_with_several_texts(spark):
+    """Documents told by id and text, in order of id and the text's hash; no span of one text is cut from another."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    a, b, c = word(144), word(144), word(300)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, b + c[40:200]), (3, c), (4, c[20:250] + b), (None, a), (None, b)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    hashes = [r.h for r in df.selectExpr("xxhash64(text) as h").collect()]
+    for options in ({}, {"broadcast_ids": 0}):
+        got = rp.repeat_dedup(df, **options).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == sorted(brute([(*r, h) for r, h in zip(rows, hashes)], 100), key=repr)
+    assert {(r.doc_id, r.n_removed) for r in got if r.n_bytes == 144} == {(1, 0), (2, 144), (2, 0), (None, 0)}
+
+
+@pytest.mark.parametrize("size", [88, 90, 98, 150])
+def test_crowded_anchors_are_dealt_out(spark, size):
+    """A phrase in 2,000 texts: its anchors are told from a sample, and no task gathers what they have."""
+    rnd = random.Random(size)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    phrase = word(size)
+    rows = [(i, word(60) + phrase + word(60)) for i in range(2000)] + [(5000, word(300)), (5001, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(40)
+    keyed = df.selectExpr("doc_id", "xxhash64(text) as version", "text")
+    crowded = rp.crowded_anchors(keyed, 100, 0.5, 64)
+    anchors = keyed.where("text is not null").mapInArrow(rp.find_segments(100), rp.SEGMENTS).where("content is not null").groupBy("anchor").count()
+    rest = anchors.join(crowded, anchors["anchor"] == crowded["_anchor"], "left_anti").agg({"count": "max"}).first()[0]
+    assert crowded.count() > 0 and rest < 256
+    got = rp.repeat_dedup(df, sample_share=0.5)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(brute(rows, 100), key=repr)
+
+
 def test_empty(spark):
     assert rp.repeat_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
