@@ -61,6 +61,15 @@ def training_rows(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     )
 
 
+def training_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text) for the ids of ``rows`` (doc_id, y) that ``docs`` has, which are bounded and broadcast.
+
+    Of several texts of an id the one of smallest hash counts, so there are no more rows than ids.
+    """
+    met = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """``df``, a written table, marked for broadcast if it has at most ``limit`` rows; else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

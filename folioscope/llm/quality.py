@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import held_out, training_rows
+from folioscope.llm.common import held_out, training_rows, training_texts
 from folioscope.llm.words import Words, mix, pieces
 
 #: The statistics; shares start from a text of 60 bytes and 12 words of ordinary prose, so that a few words are not far off.
@@ -138,8 +138,8 @@ def over_batches(column: pa.Array, words: Words) -> Iterator[tuple[int, int, np.
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> Discriminant:
     """Fits on the statistics of at most ``max_rows`` labelled documents that are not held out.
 
-    The bound holds for the fit alone. Their ids are broadcast, so no text is moved; each gives
-    16 numbers to the driver.
+    The bound holds for the fit alone. Their ids are broadcast, so no other text is moved; each
+    gives 15 numbers to the driver, its label and its statistics.
     """
     rows = training_rows(labels, label, max_rows)
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             for i, j, x in over_batches(batch.column(1), words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i)] + [pa.array(c) for c in x.T], ["y", *NAMES])
 
-    found = docs.join(F.broadcast(rows), "doc_id").select("y", "text").mapInArrow(run, ", ".join(["y int", *(f"{n} double" for n in NAMES)]))
+    found = training_texts(docs, rows).select("y", "text").mapInArrow(run, ", ".join(["y int", *(f"{n} double" for n in NAMES)]))
     table = found.toPandas()
     return fit(table[list(NAMES)].to_numpy(float).reshape(-1, len(NAMES)), table["y"].to_numpy())
 
@@ -157,9 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``: doc_id, text.
 
-    Null and empty texts are scored by their statistics, which are zeros. A null doc_id is not held
-    out. Repeated rows are scored alike. Without usable labels every score is a half; an empty
-    table gives no rows.
+    Null and empty texts are scored by their statistics, which are those of ordinary prose. A null
+    doc_id is not held out. Repeated rows are scored alike; of an id's several texts, the one of smallest
+    hash is learned from. A very long text is one row's work, in memory and time linear in its
+    length. Without usable labels every score is a half; an empty table gives no rows. Other
+    columns, whatever their names, are not read.
     """
     docs = docs.select("doc_id", "text")
     model = train(docs, labels, max_rows=max_rows)

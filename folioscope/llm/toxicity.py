@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import held_out, saved, training_rows
+from folioscope.llm.common import held_out, saved, training_rows, training_texts
 from folioscope.llm.near_dedup import shingle_sets
 from folioscope.llm.words import Words, mix
 
@@ -146,34 +146,42 @@ class Lexicon:
 
 
 NEVER = 1 << 30
+#: States of the automaton that a task keeps; beyond, it makes them anew as words need them.
+MOST_STATES = 200_000
 
 
 def copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow on (y, text): (y, text, k0, k1, k2), the smallest of a text's shingles of five words in three orders.
+    """For mapInArrow on (y, text, h): with keys, the smallest of a text's shingles of five words in three orders, and the shingles.
 
-    Near copies have most of these in common, other texts have none. Texts without words have
-    their hash.
+    Texts without words have neither, so they are nobody's copies here.
     """
     words = Words()
     for batch in batches:
         for i, j, rows, h in shingle_sets(batch.column(1), 5, words):
             n = np.bincount(rows, minlength=j - i)
-            keys = []
-            for k in range(3):
-                key = np.full(j - i, np.iinfo(np.int64).max)
-                if len(h):
-                    key[n > 0] = np.minimum.reduceat(mix(h ^ np.uint64(k + 1)), (np.cumsum(n) - n)[n > 0]).view(np.int64)
-                keys.append(pa.array(key))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *keys], ["y", "text", "k0", "k1", "k2"])
+            some = np.flatnonzero(n)
+            keys = [np.minimum.reduceat(mix(h ^ np.uint64(k + 1)), (np.cumsum(n) - n)[some]) if len(h) else h for k in range(3)]
+            offsets = [np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in (3 * (n > 0), n)]
+            flat = [np.column_stack(keys).ravel(), h]
+            arrays = [pa.ListArray.from_arrays(pa.array(o), pa.array(x.view(np.int64))) for o, x in zip(offsets, flat)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in range(3)] + arrays, ["y", "text", "h", "keys", "shingles"])
 
 
 def without_copies(train: DataFrame) -> DataFrame:
-    """The rows (y, text) of ``train``, of copies and most near copies only the one of smallest hash."""
-    out = train.mapInArrow(copy_keys, "y int, text string, k0 long, k1 long, k2 long")
-    for k in ("k0", "k1", "k2"):
-        nth = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64("text"), "text", "y"))
-        out = out.withColumn("nth", nth).where("nth = 1").drop("nth")
-    return out.select("y", "text")
+    """The rows (y, text) of ``train``, of copies and near copies only the one of smallest hash.
+
+    Equal texts are one row, of the smallest y. Near copies share half of their shingles or more; those that share one of three
+    smallest shingles are compared on their whole sets.
+    """
+    one = train.groupBy("text").agg(F.min("y").alias("y")).select("y", "text", F.xxhash64("text").alias("h"))
+    rows = saved(one.mapInArrow(copy_keys, "y int, text string, h long, keys array<long>, shingles array<long>"), "training-sets")
+    each = rows.select("h", F.explode("keys").alias("k"))
+    hubs = each.groupBy("k").agg(F.min("h").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "hub")
+    met = each.join(F.broadcast(hubs), "k").where("h != hub").select("h", "hub").distinct()  # at most three hubs for two rows
+    sets = rows.select("h", "shingles")
+    both = met.join(sets.toDF("h", "a"), "h").join(sets.toDF("hub", "b"), "hub").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    gone = both.where(2 * F.col("shared") >= F.size("a") + F.size("b") - F.col("shared")).select("h").distinct()
+    return rows.join(gone, "h", "left_anti").select("y", "text")
 
 
 COUNTS = ("toxic", "clean", "toxic_twice", "clean_twice")
@@ -199,12 +207,13 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), *[pa.array([c[k] for _, c in part], pa.int64()) for k in range(4)]], ["prefix", *COUNTS])
 
 
-def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float, max_stems: int) -> list[str]:
+def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float) -> list[str]:
     """The stems of words in ``least`` toxic documents or more, ``ratio`` times as often as in clean ones.
 
     Stems in less than a hundredth of the toxic documents need ``EVIDENCE`` that this is no chance.
     Either documents with such words count or, for stems that clean text has by chance,
-    documents with several. Counts are summed by Spark; the best ``max_stems`` candidates come to the driver. Of the
+    documents with several. Counts are summed by Spark; all candidates that pass come to the driver, which
+    are few, as each needs ``least`` of the bounded training rows. Of the
     prefixes of one word, the longest with nearly the same toxic documents, or most of them and
     half the clean ones, stands for the shorter ones, and a chosen stem for all that continue it.
     """
@@ -220,7 +229,7 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio:
         return (F.col(toxic) >= least) & (odds >= ratio) & ((F.col(toxic) >= n_toxic / 100) | (told >= EVIDENCE))
 
     found = counts.where(tells("toxic", "clean") | tells("toxic_twice", "clean_twice"))
-    rows = found.orderBy(F.col("toxic").desc(), F.length("prefix"), "prefix").limit(max_stems).collect()
+    rows = found.select("prefix", "toxic", "clean").collect()
     toxic, clean = {r.prefix: r.toxic for r in rows}, {r.prefix: r.clean for r in rows}
     grown = set()
     for p, n in toxic.items():
@@ -292,53 +301,69 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, least: int = 5, ratio: float = 20.0, max_stems: int = 5_000) -> Detector:
+def log_odds(counts: np.ndarray, n: list[int]) -> np.ndarray:
+    """Log odds of toxic from (2, ...) numbers of clean and toxic documents, of ``n`` each."""
+    return np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+
+
+def pairs_of(found: list[tuple[int, int, int, bool]]) -> set[tuple[int, int]]:
+    """The (stem, edits) that a document has, two edits being the most that are told apart."""
+    return {(s, min(e, 2)) for _, s, e, _ in found}
+
+
+def own_left_out(counts: np.ndarray, n: list[int], y: int, pairs: set[tuple[int, int]]) -> np.ndarray:
+    """The weights of all training documents but one of class ``y`` with these ``pairs``."""
+    weights = log_odds(counts, n)
+    if pairs:
+        cells = tuple(np.array(list(pairs)).T)
+        rest = counts[:, *cells]
+        rest[y] -= 1
+        weights[cells] = log_odds(rest, n)
+    return weights
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, least: int = 5, ratio: float = 20.0) -> Detector:
     """Learns stems, weights and the logistic model from at most ``max_rows`` labelled rows that are not held out.
 
-    Of near copies among them one counts, else their chance words would pass for signs. Their ids are broadcast, so no text is moved. The driver gets the candidate stems, and the
-    occurrences in each training document. Weights are log odds of a document's class given the
-    stem at that many edits, of the other training documents: each document's own is left out.
+    Of near copies among them one counts, else their chance words would pass for signs. Their ids
+    are broadcast, so no other text is moved. The driver gets the stems, how many documents
+    have each at each number of edits, and three features of each training document. Weights are log odds of
+    a document's class given the stem at that many edits, of the other training documents: each
+    document's own is left out.
     """
-    rows = saved(training_rows(labels, label, max_rows), "training")
-    own = docs.join(F.broadcast(rows), "doc_id").select("y", "text")
-    own = saved(without_copies(own), "training-texts")
-    n = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    stems = learn_stems(own, n_toxic, n_clean, least, ratio, max_stems) if n_toxic else []
+    own = saved(without_copies(training_texts(docs, training_rows(labels, label, max_rows))), "training-texts")
+    totals = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [totals.get(0, 0), totals.get(1, 0)]
+    stems = learn_stems(own, n[1], n[0], least, ratio) if n[1] else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, known = Lexicon(stems), {}
         for batch in batches:
-            found = [occurrences(normal(t or ""), lexicon, known) for t in batch.column(1).to_pylist()]
-            words = [len(TOKEN.findall(t or "")) for t in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.int64())
-            columns = [pa.array([[int(x[k]) for x in f] for f in found], kind) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), *columns], ["y", "n_words", "place", "stem", "edits", "quoted"])
-
-    kinds = "y int, n_words long, place array<long>, stem array<long>, edits array<long>, quoted array<long>"
-    table = own.mapInArrow(run, kinds).collect()
-    y = np.array([r.y for r in table], float)
+            met: Counter = Counter()
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met.update((y, *pair) for pair in pairs_of(occurrences(normal(text or ""), lexicon, known)))
+            rows = [(*k, v) for k, v in met.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["y", "stem", "edits", "n"])
+
     counts = np.zeros((2, max(len(stems), 1), 3))
-    pairs = [{(s, min(e, 2)) for s, e in zip(r.stem, r.edits)} for r in table]
-    for r, own_pairs in zip(table, pairs):
-        for s, e in own_pairs:
-            counts[r.y, s, e] += 1
-
-    def log_odds(c: np.ndarray) -> np.ndarray:
-        return np.log((c[1] + 0.5) / (n_toxic + 1)) - np.log((c[0] + 0.5) / (n_clean + 1))
-
-    weights = log_odds(counts)
-    x = np.zeros((len(table), 3))
-    for k, (r, own_pairs) in enumerate(zip(table, pairs)):
-        w = weights
-        if own_pairs:
-            cells = tuple(np.array(list(own_pairs)).T)
-            rest = counts[:, *cells]
-            rest[r.y] -= 1
-            w = weights.copy()
-            w[cells] = log_odds(rest)
-        x[k] = window_features(list(zip(r.place, r.stem, r.edits, r.quoted)), w, r.n_words)
-    return Detector(stems, weights, logistic(x, y) if len(y) else np.zeros(4))
+    for r in own.mapInArrow(count, "y long, stem long, edits long, n long").groupBy("y", "stem", "edits").agg(F.sum("n").alias("n")).collect():
+        counts[r.y, r.stem, r.edits] = r.n
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, known = Lexicon(stems), {}
+        for batch in batches:
+            x = []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low = normal(text or "")
+                found = occurrences(low, lexicon, known)
+                weights = own_left_out(counts, n, y, pairs_of(found)) if found else counts
+                x.append((y, *window_features(found, weights, len(TOKEN.findall(low)) if found else 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*x), [pa.int32(), *[pa.float64()] * 3])], ["y", "best", "total", "share"])
+
+    table = own.mapInArrow(describe, "y int, best double, total double, share double").collect()
+    x, y = np.array([r[1:] for r in table], float).reshape(-1, 3), np.array([r.y for r in table], float)
+    return Detector(stems, log_odds(counts, n), logistic(x, y) if len(y) else np.zeros(4))
 
 
 def scorer(model: Detector):
@@ -346,11 +371,14 @@ def scorer(model: Detector):
     lexicon, known = Lexicon(model.stems), {}
 
     def score(texts: Iterator[str | None]) -> tuple[np.ndarray, list[int]]:
+        nonlocal lexicon
         x, n = [], []
         for text in texts:
             low = normal(text or "")
             if len(known) > 150_000:
                 known.clear()
+            if len(lexicon.states) > MOST_STATES:
+                lexicon = Lexicon(model.stems)
             found = occurrences(low, lexicon, known)
             n.append(len(found))
             x.append(window_features(found, model.weights, len(TOKEN.findall(low)) if found else 0))
@@ -364,8 +392,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     """(doc_id, held_out, score, predicted, n_terms) of each row of ``docs``: doc_id, text.
 
     Null and empty texts are scored as texts without terms. A null doc_id is not held out.
-    Repeated rows are scored alike. Without usable labels there are no terms and every score is
-    a half; an empty table gives no rows.
+    Repeated rows are scored alike; of an id's several texts, the one of smallest hash is learned from. A very
+    long text is one row's work, linear in its length. Without usable labels there are no terms
+    and every score is a half; an empty table gives no rows. Other columns, whatever their names, are not read.
     """
     docs = docs.select("doc_id", "text")
     model = train(docs, labels, **options)
@@ -381,7 +410,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns. Without usable labels, all."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names.
+
+    Null and empty texts are scored as texts without terms, repeated rows alike, and rows without
+    a doc_id as others. If no term was learned, whatever the labels say of how common toxic texts
+    are, nothing in a text speaks against it and all rows stay. An empty table gives none.
+    """
     model = train(docs.select("doc_id", "text"), labels, **options)
     if not model.stems:
         return docs

@@ -143,6 +143,123 @@ def test_learned_terms_are_found_misspelled(spark):
     assert "quarrelsomely" in model.stems and "contemptible" in model.stems
 
 
+def plain_score(rows, held):
+    """The detector by its rules alone: (stems, score of a text) from (text, y) and no automaton, tables or Spark."""
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    counts = {}
+    for text, y in rows:
+        words = text.lower().split()
+        for p in {w[:k] for w in words for k in range(3, min(20, len(w)) + 1)}:
+            c = counts.setdefault(p, [[0, 0], [0, 0]])
+            c[0][y] += 1
+            c[1][y] += sum(w.startswith(p) for w in words) > 1
+
+    def tells(clean, toxic):
+        if toxic < 5 or (toxic + 0.5) / (n[1] + 1) / ((clean + 0.5) / (n[0] + 1)) < 20:
+            return False
+        share, both = n[1] / sum(n), toxic + clean
+        told = toxic * np.log(toxic / (both * share)) + (clean * np.log(clean / (both * (1 - share))) if clean else 0)
+        return toxic >= n[1] / 100 or told >= 12
+
+    passed = {p: c[0] for p, c in counts.items() if tells(*c[0]) or tells(*c[1])}
+    longer = lambda p: any(
+        q[:-1] == p and (c[1] >= 0.95 * passed[p][1] or c[1] >= 0.8 * passed[p][1] and c[0] < 0.5 * passed[p][0]) for q, c in passed.items()
+    )
+    ends = [p for p in passed if not longer(p)]
+    stems = sorted(p for p in ends if not any(q != p and p.startswith(q) for q in ends))
+
+    def found(text):
+        out = []
+        for i, w in enumerate(text.lower().split()):
+            near = [(d, k) for k, s in enumerate(stems) if (d := edit_distance_to_a_beginning(s, w)) <= tx.allowed_edits(s)]
+            if near:
+                out.append((i, min(near)[1], min(near)[0], False))
+        return out
+
+    def features(text, y=None):
+        hits, weight = found(text), {}
+        for k, s in enumerate(stems):
+            for e in range(3):
+                have = [sum((k, e) in cells for cells, z in seen if z == c) - (y == c and (k, e) in {(h[1], h[2]) for h in hits}) for c in (0, 1)]
+                weight[k, e] = max(0.0, np.log((have[1] + 0.5) / (n[1] + 1)) - np.log((have[0] + 0.5) / (n[0] + 1)))
+        w = {h[0]: weight[h[1], h[2]] for h in hits}
+        heaviest = max([sum(v for j, v in w.items() if i - tx.WINDOW <= j <= i) for i in w], default=0.0)
+        return np.log1p(heaviest), np.log1p(sum(w.values())), np.sqrt(sum(w.values()) / max(1, len(text.split())))
+
+    seen = [({(h[1], h[2]) for h in found(t)}, y) for t, y in rows]
+    x, y = np.array([features(t, y) for t, y in rows]), np.array([float(y) for _, y in rows])
+    b = tx.logistic(x, y)
+    return stems, [1 / (1 + np.exp(-(b[0] + np.array(features(t)) @ b[1:]))) for t in held]
+
+
+def test_whole_query_against_plain_rules(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnprstvz") for _ in range(5))
+    terms, rows = ["nitwitted", "scoundrelly", "oaf"], []
+    for i in range(400):
+        words = [word() for _ in range(12)]
+        for _ in range(2 if i % 4 == 0 else i % 50 == 1):
+            term = rnd.choice(terms)
+            words.insert(rnd.randrange(12), term if rnd.random() < 0.7 or len(term) < 5 else term[:3] + "x" + term[4:])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t, 0, 0.5, 1, True, 7) for i, t, _ in rows], "doc_id long, text string, y int, score double, predicted int, held_out boolean, n_terms int")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)
+    got = {r.doc_id: r for r in tx.toxicity_scores(docs, labels).collect()}
+    own = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    stems, scores = plain_score(own, [t for _, t, _ in rows])
+    assert stems == tx.train(docs, labels).stems and stems
+    assert np.allclose([got[i].score for i, _, _ in rows], scores, atol=1e-6)
+    kept = tx.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].score < 0.5}
+
+
+def test_only_near_copies_are_left_out(spark):
+    """Texts that share a passage of a fifth stay; copies of one word in twenty go; equal texts are one."""
+    words = [f"shared{i}" for i in range(20)]
+    some = [" ".join(words + [f"own{k}x{i}" for i in range(80)]) for k in range(6)]
+    near = [" ".join([f"w{i}" if i != k else "other" for i in range(20, 80)]) for k in (25, 40, 41)]
+    texts = [*some, *near, some[0], "", None, "short"]
+    got = [r.text for r in tx.without_copies(spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "y int, text string")).collect()]
+    assert set(some) <= set(got) and sum(t in near for t in got) == 1
+    assert len(got) == 6 + 1 + 3
+
+
+def plain_statistics(text):
+    """The statistics of one text by their names."""
+    raw, words = text.encode(), [w for w in text.encode().replace(b"\n", b" ").split(b" ") if w]
+    blank = sum(b in b" \t\n\x0b\x0c\r" for b in raw)
+    kinds = {"upper": lambda b: 65 <= b <= 90, "digit": lambda b: 48 <= b <= 57, "blank": lambda b: b in b" \t\n\x0b\x0c\r"}
+    kinds |= {"closing": lambda b: b in q.CLOSING, "mark": lambda b: b in q.MARKS, "high": lambda b: b >= 128}
+    share = lambda n, size, name, prior: np.sqrt((n + prior * q.ORDINARY.get(name, 0.0)) / (size + prior))
+    out = {name: share(sum(map(f, raw)), len(raw), name, q.PRIOR_BYTES) for name, f in kinds.items()}
+    lines = raw.splitlines(keepends=True)
+    out["repeated_line"] = share(sum(len(x) for i, x in enumerate(lines) if x in lines[:i]), len(raw), "repeated_line", q.PRIOR_BYTES)
+    of_words = {
+        "shouted": sum(sum(65 <= b <= 90 for b in w) >= 2 and not any(97 <= b <= 122 for b in w) for w in words),
+        "marked": sum(any(b in q.MARKS for b in w) for w in words),
+        "again": len(words) - len(set(words)),
+        "stutter": sum(a == b for a, b in zip(words, words[1:])),
+        "top": max((words.count(w) for w in words), default=1) - 1,
+    }
+    out |= {name: share(n, len(words), name, q.PRIOR_WORDS) for name, n in of_words.items()}
+    out["mean_word"] = np.log((len(raw) - blank + q.PRIOR_BYTES) / (len(words) + q.PRIOR_WORDS))
+    out["long_line"] = np.log1p(len(raw) / (raw.count(b"\n") + 1))
+    return [out[name] for name in q.NAMES]
+
+
+def test_statistics_against_plain_ones():
+    texts = ["A b\nA b\nc", "", "ÄÖ 12 x!! <b>", "word word word", "SHOUT Shout a=1; (so)\nSHOUT\nSHOUT\n", "x" * 500]
+    got = np.concatenate([x for _, _, x in q.over_batches(pa.array(texts), Words())])
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+def test_clashing_columns_of_quality(spark, data):
+    docs, labels, _ = data
+    other = docs.selectExpr("doc_id", "text", "1 as y", "0.1 as score", "5 as predicted", "true as held_out", "2 as upper")
+    own = lambda df: sorted(map(tuple, q.quality_scores(df, labels).collect()), key=repr)
+    assert own(other) == own(docs)
+
+
 def test_quotation_counts_less():
     lexicon, weights = tx.Lexicon(["blockhead"]), np.full((1, 3), 3.0)
     features = [tx.window_features(tx.occurrences(t, lexicon, {}), weights, 5) for t in ("he said „blockhead“ there", "he is a blockhead there")]
