@@ -7,6 +7,7 @@ before it and only the rest is computed.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -22,6 +23,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task remembers between batches.
 REMEMBERED = 250_000
 PART = 1 << 20
+LONE_BYTE = re.compile("[\udc80-\udcff]")
 
 
 def shared_prefix(a: str, b: str) -> int:
@@ -93,20 +95,22 @@ def _bpe_words(words: list[str], forward: Forward) -> dict[str, tuple[int, ...]]
     return out
 
 
-def decode(ids: list[int], pieces: dict[int, str], bytes_of: dict[int, int], prefix: bool) -> str:
+def spellings(model: Model) -> list[str]:
+    """What each id stands for: a piece's text, and for the byte b the character b or, from 128 on, U+DC00 + b."""
+    out = [" ⁇ " if i == model.unknown_id else "" for i in range(1 + max([model.unknown_id, *model.ids.values(), *model.byte_ids]))]
+    for piece, i in model.ids.items():
+        out[i] = piece
+    for b, i in enumerate(model.byte_ids):
+        out[i] = chr(b if b < 128 else 0xDC00 + b)
+    return out
+
+
+def decode(ids: list[int], spelled: list[str], prefix: bool) -> str:
     """The text of ``ids``: byte pieces together are UTF-8, marks are spaces, and the first mark that encoding added goes."""
-    out, held = [], bytearray()
-    for i in ids:
-        if (b := bytes_of.get(i)) is not None:
-            held.append(b)
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(pieces[i])
-    if held:
-        out.append(held.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
+    text = "".join(map(spelled.__getitem__, ids))
+    if not text.isascii() and LONE_BYTE.search(text):
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    text = text.replace(SPACE, " ")
     return text[1:] if prefix and text.startswith(" ") else text
 
 
@@ -116,30 +120,20 @@ def encoder(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward = Forward(model)
         known: dict[str, tuple[int, ...]] = {}
-        lossy: set[str] = set()
-        names = forward.names.get
-        pieces = {i: p for p, i in model.ids.items()} | {model.unknown_id: " ⁇ "}
-        bytes_of = {i: b for b, i in enumerate(model.byte_ids)}
+        spelled = spellings(model)
         for batch in batches:
             for i, j, _, _ in runs(batch.column(1), PART):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 split = [model.marked_words(t) for t in texts]
                 if len(known) > REMEMBERED:
                     known.clear()
-                    lossy.clear()
-                new = encode_words(list({w for words in split for w in words} - known.keys()), forward)
-                known |= new
-                # A character's bytes never leave its word, so texts are read back word by word.
-                for w, x in new.items():
-                    parts = list(map(names, x))
-                    if None in parts and decode(x, pieces, bytes_of, False) != w.replace(SPACE, " ") or None not in parts and "".join(parts) != w:
-                        lossy.add(w)
+                known |= encode_words(list({w for words in split for w in words} - known.keys()), forward)
                 flat, lengths, exact = array("i"), [], []
                 for text, words in zip(texts, split):
                     ids = list(chain.from_iterable(map(known.__getitem__, words)))
                     flat.extend(ids)
                     lengths.append(len(ids))
-                    exact.append(SPACE not in text and (not lossy or lossy.isdisjoint(words)))
+                    exact.append(decode(ids, spelled, model.prefix) == text)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32))), pa.array(lengths, pa.int64()), pa.array(exact)],
@@ -152,23 +146,24 @@ def encoder(model: Model):
 def sentencepiece_encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip) of each row of ``docs``: doc_id, text, by the model's own rules.
 
-    round_trip says that decoding the ids gives the text again, which holds for every text without the
-    mark U+2581 itself. Null and empty texts have no ids and a round trip; null ids and repeated
-    rows pass through. An empty table gives no rows. The model's tables, a few MB whatever the
-    data, are read on the driver and travel with the tasks.
+    round_trip says that decoding the row's ids gives its text again, which is tried for each row and holds for
+    every text without the mark U+2581 itself, if the model has byte pieces. Null and empty texts have no ids and a round trip; null ids and repeated
+    rows pass through. A very long text is one row's work, in time linear in its length but for
+    merges in runs of letters without spaces, which take a heap. An empty table gives no rows, and other columns,
+    whatever their names, are not read. The model's tables, a few MB whatever the data, are read
+    on the driver and travel with the tasks.
     """
     return docs.select("doc_id", "text").mapInArrow(encoder(load(model_path)), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) of (doc_id, ids); null ids give a null text, empty ones an empty text. Control pieces stand for nothing."""
     model = load(model_path)
-    pieces = {i: p for p, i in model.ids.items()} | {model.unknown_id: " ⁇ "}
-    bytes_of = {i: b for b, i in enumerate(model.byte_ids)}
+    spelled = spellings(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else decode(x, pieces, bytes_of, model.prefix) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else decode(x, spelled, model.prefix) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -23,16 +24,30 @@ NEVER = 1 << 60
 def merge(text: str, rank: dict[str, int]) -> list[tuple[str, tuple[str, str] | None, int]]:
     """(piece, its last merge, time) of each symbol after all merges: best rank first, leftmost of equals.
 
-    Time is the worst rank merged on the way to the symbol.
+    Time is the worst rank merged on the way to the symbol. Pairs wait in a heap by rank and place; one
+    whose symbols have changed is passed over when its turn comes.
     """
-    parts: list[tuple[str, tuple[str, str] | None, int]] = [(c, None, -1) for c in text]
-    while True:
-        found = [(rank[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a[0] + b[0] in rank]
-        if not found:
-            return parts
-        r, i = min(found)
-        a, b = parts[i], parts[i + 1]
-        parts[i : i + 2] = [(a[0] + b[0], (a[0], b[0]), max(r, a[2], b[2]))]
+    n = len(text)
+    parts: list[str] = list(text)
+    times, last = [-1] * n, [None] * n
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting = [r * n + i for i in range(n - 1) if (r := rank.get(text[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        r, i = divmod(heappop(waiting), n)
+        a, j = parts[i], after[i]
+        if not a or j >= n or rank.get(joined := a + parts[j]) != r:
+            continue
+        times[i], last[i] = max(r, times[i], times[j]), (a, parts[j])
+        parts[i], parts[j] = joined, ""
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := rank.get(joined + parts[k])) is not None:
+                heappush(waiting, r * n + i)
+        if (k := before[i]) >= 0 and (r := rank.get(parts[k] + joined)) is not None:
+            heappush(waiting, r * n + k)
+    return [(p, m, t) for p, m, t in zip(parts, last, times) if p]
 
 
 @dataclass
@@ -115,6 +130,7 @@ class Forward:
         self.apart: dict[int, bool] = {}
         self.names = {i: p for p, i in model.ids.items()}
         self.endings = {} if model.unigram else self._endings()
+        self.unit = 0 if model.unigram else self._unit()
         self.least = np.float32(min(model.scores.values())) - np.float32(UNKNOWN_PENALTY)
 
     def _endings(self) -> dict[str, int]:
@@ -122,6 +138,18 @@ class Forward:
         out = {p[i:]: -1 for p in self.model.right_edge for i in range(1, len(p))}
         return out | {p: self.model.ids[p] for p in self.model.right_edge if p in self.model.ids}
 
+    def _unit(self) -> int:
+        """The length of the piece that long runs of spaces are cut into from the left; 0 where that is no rule.
+
+        If all pieces of marks alone come last and with one rank, merges go from left to right, and
+        what has grown to the longest of them is settled whatever follows.
+        """
+        ranks = self.model.ranks
+        marks = {len(p): r for p, r in ranks.items() if not p.strip(SPACE)}
+        longest = max(marks, default=0)
+        last = len(set(marks.values())) == 1 and max(ranks.values()) in marks.values()
+        return longest if longest > 1 and last and [p for p, *_ in merge(SPACE * 4 * longest, ranks)] == [SPACE * longest] * 4 else 0
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the pieces a and b side by side are left as they are by BPE; remembered.
 
@@ -155,8 +183,12 @@ class Forward:
         return self.model.unigram or not word.startswith(SPACE + SPACE)
 
     def plain(self, word: str) -> list[str]:
-        """A word's pieces by doing the merges."""
-        return [p[0] for p in merge(word, self.model.ranks)]
+        """A word's pieces by doing the merges; of a long run of spaces, only for its end."""
+        settled = 0
+        if self.unit:
+            run = len(word) - len(word.lstrip(SPACE))
+            settled = max(0, run // self.unit - 4)
+        return [SPACE * self.unit] * settled + [p[0] for p in merge(word[settled * self.unit :], self.model.ranks)]
 
     def best(self, ends: Iterator[tuple[int, str]], state: list, end: int, char: str) -> tuple:
         """A unigram model's state at ``end``, (piece, its start, score), from candidate (start, piece), longest first.

@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import time
 
 import pytest
 
@@ -55,6 +57,60 @@ def test_unigram_equals_the_library():
             assert token_counts.count_word(marked, matches, forward) == len(expected)
 
 
+def test_runs_of_spaces_equal_the_library():
+    model = pieces.load(encode.MODEL)
+    library = spm.SentencePieceProcessor(model_file=encode.MODEL)
+    forward, matches = pieces.Forward(model), token_counts.automaton(model)
+    sizes = [*range(1, 130), 1000, 4001, 1_000_000]
+    began = time.time()
+    for text in [" " * n + end for n in sizes for end in ("", "word", " \nx  y", "x" * 40)]:
+        words = model.marked_words(text)
+        ids = encode.encode_words(list(set(words)), forward)
+        assert [i for w in words for i in ids[w]] == library.encode(text)
+        assert sum(token_counts.count_word(w, matches, forward) for w in words) == len(library.encode(text))
+    assert time.time() - began < 40
+    forward.unit = 0  # by the merges alone
+    assert all(forward.plain("▁" * n + end) == pieces.Forward(model).plain("▁" * n + end) for n in (70, 95, 301) for end in ("", "word", "x"))
+
+
+def test_scores_that_round_equal_the_library():
+    """Sums of 32-bit scores that no bit holds exactly, with the library's own order of adding them."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(encode.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for i, p in enumerate(proto.pieces):
+        p.score = -math.log(3 + i % 4001) * 1.7
+    model, library = pieces.tables(proto), spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    forward, matches = pieces.Forward(model), token_counts.automaton(model)
+    words = {w for text in samples(model) for w in text.split() if pieces.SPACE not in w and len(w) < 400}
+    marked = {pieces.SPACE + w: library.encode(w) for w in words}
+    assert len(words) > 2000
+    assert {w: list(x) for w, x in encode.encode_words(list(marked), forward).items()} == marked
+    assert all(token_counts.count_word(w, matches, forward) == len(x) for w, x in marked.items())
+
+
+def test_decoding_equals_the_library():
+    library = spm.SentencePieceProcessor(model_file=encode.MODEL)
+    model = pieces.load(encode.MODEL)
+    spelled = encode.spellings(model)
+    rnd = random.Random(7)
+    for text in samples(model):
+        assert encode.decode(library.encode(text), spelled, model.prefix) == library.decode(library.encode(text)) == text
+    for _ in range(500):
+        ids = [rnd.choice(list(model.ids.values())) for _ in range(6)] + [1, 2, 0]
+        assert encode.decode(ids, spelled, model.prefix) == library.decode(ids)
+
+
+def test_clashing_columns_and_long_runs(spark):
+    docs = spark.createDataFrame([(1, " " * 300_000 + "a", 5, 6, "b", True), (None, None, 1, 1, "b", True)], "doc_id long, text string, n_tokens int, n_words int, ids string, round_trip boolean")
+    a = {r.doc_id: (r.n_ids, r.round_trip) for r in encode.sentencepiece_encode(docs).collect()}
+    b = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert a == {k: (n, True) for k, n in b.items()} and b[None] == 0
+
+
 def test_encode_and_decode(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(100, None, "x"), (None, "a", "x"), (101, "▁", "x")], "doc_id long, text string, ids string")
     got = encode.sentencepiece_encode(docs).cache()
