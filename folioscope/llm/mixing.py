@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target divided by its size is the number of copies that each of its documents should
-have. The whole copies are certain. For the fraction left, documents are ranked by
-(u / (1 - u)) / (p / (1 - p)), the random odds over the inclusion odds, and those of lowest
-rank are taken up to the words wanted.
+A source's target is shared out among its documents in copies: a document's share grows with the
+number of binary digits of its size, up to the largest repeat, so that long documents are taken
+rather than short ones. The whole copies are certain. What is left is an inclusion probability p,
+unequal within a source, and documents are ranked by (u / (1 - u)) / (p / (1 - p)), the random odds
+over the inclusion odds. Those of lowest rank are the sample. Its size is fixed in words, as targets are: the sample ends
+where the words wanted are reached.
 """
 
 from __future__ import annotations
@@ -24,24 +26,64 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def digits(size: Column) -> Column:
+    """The binary digits of a size, 0 for 0: what a document's copies are in proportion to."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
+
+
 def source_targets(sizes: DataFrame, max_repeat: float, weights: tuple[int, ...]) -> DataFrame:
     """(source, source_size, n_docs, target) from (source, source_size, n_docs), one row a source.
 
     With level x, a source gets min(weight * x, max_repeat * size); the x at which the shares sum
-    to all sizes is where resharing ends. Sources are in order of the level at which they are
-    full. If the sources before one are full, running sums give the level of the rest; it is
-    the one wanted at the first source that is not full at it. Levels only fall from there on.
+    to all sizes is where resharing ends. It is found as resharing goes: each round fills the sources
+    that the level before is too much for, by two sums over all sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # of a row for each source
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("weight", w).withColumn("full", F.col("source_size") * F.lit(float(max_repeat)) / F.col("weight"))
-    s = s.withColumn("most", F.col("source_size") * F.lit(float(max_repeat)))
-    by_full = Window.orderBy("full", F.col("source").asc_nulls_last())
+    s = saved(sizes.withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(float(max_repeat))), "sources")
+    total, level = s.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        full = F.col("most") / F.col("weight") < level
+        filled, rest = s.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        after = (total - filled) / rest if rest else level
+        if after <= level:
+            break
+        level = after
+    return s.select("source", "source_size", "n_docs", F.least(F.col("weight") * F.lit(level), F.col("most")).alias("target"))
+
+
+def class_levels(classes: DataFrame) -> DataFrame:
+    """``classes`` with level: the x at which least(weight * x, most) sums to target within each source.
+
+    Classes are in order of the level at which they are full. If those before one are full, running
+    sums give the level of the rest; it is the one wanted at the first class that is not full at it.
+    Levels only fall from there on. Classes without words take nothing.
+    """
+    s = classes.withColumn("full", F.when(F.col("weight") > 0, F.col("most") / F.col("weight")))
+    by_full = Window.partitionBy("source").orderBy(F.col("full").asc_nulls_last(), "class")
     before = by_full.rowsBetween(Window.unboundedPreceding, -1)
     every = by_full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(every))
-    return s.select("source", "source_size", "n_docs", F.least(F.col("weight") * F.col("level"), F.col("most")).alias("target"))
+    filled = F.coalesce(F.sum("most").over(before), F.lit(0.0))
+    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    s = s.withColumn("level", F.when(rest > 0, (F.col("target") - filled) / rest))
+    return s.withColumn("level", F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(every))
+
+
+def class_copies(classes: DataFrame, targets: DataFrame, max_repeat: float) -> DataFrame:
+    """(source, class, source_size, n_docs, target, whole, part, left): the copies of a source's documents by digits of their size.
+
+    ``classes`` is (source, class, words, n), some sixty rows a source at most. A class gets class * x copies a document, up to
+    ``max_repeat``, at the level x at which its source has its target.
+    """
+    c = classes.join(targets.withColumnsRenamed({"source": "_source"}), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    c = c.withColumns({"weight": (F.col("class") * F.col("words")).cast("double"), "most": F.col("words") * F.lit(float(max_repeat))})
+    c = class_levels(c)
+    copies = F.coalesce(F.least(F.col("class") * F.col("level"), F.lit(float(max_repeat))), F.lit(0.0))
+    # Copies within a rounding error of a whole number are whole.
+    c = c.withColumn("copies", copies).withColumn("whole", F.floor(F.col("copies") + 1e-9))
+    c = c.withColumn("part", F.when(F.col("copies") - F.col("whole") > 1e-9, F.col("copies") - F.col("whole")).otherwise(0.0))
+    left = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))
+    return c.withColumn("left", left).select("source", "class", "source_size", "n_docs", "target", "whole", "part", "left")
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -50,22 +92,25 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumns({"_size": n_words(F.col("text")), "_u": (random + 0.5) / F.lit(float(2**48))})
 
 
+def odds(p: Column) -> Column:
+    return p / (1 - p)
+
+
 def cell() -> Column:
-    """The cell of a row's rank. The inclusion odds are the same throughout a source, so cells of _u are cells of rank."""
+    """The cell of a row's rank r, by r / (1 + r), in which the ranks of a source spread over (0, 1); null without a part."""
     n_cells = F.least(F.ceil(F.col("n_docs") / CELL_ROWS), F.lit(MAX_CELLS))
-    return F.when(F.col("part") > 0, F.floor(F.col("_u") * n_cells).cast("int"))
+    rank = odds(F.col("_u")) / odds(F.col("part"))
+    return F.when(F.col("part") > 0, F.floor(rank / (1 + rank) * n_cells).cast("int"))
 
 
 def plan(docs: DataFrame, max_repeat: float, weights: tuple[int, ...], seed: str) -> tuple[DataFrame, DataFrame]:
-    """(sources, chosen): each source's target, certain copies and cut, and the (source, doc_id, size) taken in the cut cells."""
-    d = saved(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
-    totals = d.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    t = source_targets(totals, max_repeat, weights)
-    t = t.withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # Shares within a rounding error of a whole number are whole.
-    t = t.withColumn("whole", F.floor(F.col("want") + 1e-9)).withColumn("part", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
-    t = saved(t.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source"), "targets")
-    d = d.join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell()).where("cell is not null")
+    """(classes, chosen): each class's certain copies, part and cut, and the (source, doc_id, size) taken in the cut cells."""
+    d = saved(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes").withColumn("class", digits(F.col("_size")))
+    classes = saved(d.groupBy("source", "class").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n")), "classes")
+    totals = classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
+    t = class_copies(classes, source_targets(totals, max_repeat, weights), max_repeat)
+    t = saved(t.withColumnsRenamed({"source": "_source", "class": "_class"}), "targets")
+    d = d.join(t, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).withColumn("cell", cell()).where("cell is not null")
     cells = d.groupBy("_source", "cell").agg(F.sum("_size").alias("words"), F.first("left").alias("left"))
     up_to = Window.partitionBy("_source").orderBy("cell")
     cells = cells.withColumn("before", F.coalesce(F.sum("words").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -73,7 +118,6 @@ def plan(docs: DataFrame, max_repeat: float, weights: tuple[int, ...], seed: str
     # Cells without words can share the cut's place: the last is the one that is cut.
     cut = cut.groupBy("_source").agg(F.max(F.struct("cell", "before")).alias("x"))
     cut = saved(cut.select(F.col("_source").alias("_cut_source"), F.col("x.cell").alias("cut"), F.col("x.before").alias("before")), "cuts")
-    odds = lambda p: p / (1 - p)
     inside = d.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")) & (F.col("cell") == F.col("cut")))
     inside = inside.withColumn("rank", odds(F.col("_u")) / odds(F.col("part")))
     order = Window.partitionBy("_source").orderBy("rank", "doc_id", "_size")
@@ -85,30 +129,34 @@ def plan(docs: DataFrame, max_repeat: float, weights: tuple[int, ...], seed: str
     better = (F.row_number().over(nearest) == 1) & (F.abs(F.col("_size") - F.col("missing")) < F.col("missing"))
     inside = inside.withColumn("taken", F.col("fits") | better).where("taken")
     chosen = inside.select(F.col("_source").alias("_c_source"), F.col("doc_id").alias("_c_id"), F.col("_size").alias("_c_size"), F.lit(1).alias("_more")).distinct()
-    sources = t.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source", "want", "left", "before")
-    return saved(sources, "sources"), saved(chosen, "chosen")
+    taken = t.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source", "left", "before")
+    return saved(taken, "copies"), saved(chosen, "chosen")
 
 
 def with_copies(docs: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", broadcast_rows: int = 500_000) -> DataFrame:
-    """(row, size, source_size, target, copies): each row of ``docs`` as a struct, and how often it is taken.
+    """(row, size, source_size, target, share, copies): each row of ``docs`` as a struct, and how often it is taken.
 
+    ``share`` is the number of copies that the row should have, of which the whole ones are certain.
     No text is moved while the plan's tables have few rows. The sum of a source's taken words is
     as near its target as the last documents let it: where the cut falls inside a document, the
     one of the later documents in the cut's cell whose size is nearest to the words still missing
     is taken, if that comes nearer.
 
-    Null texts have size 0; null sources are a source of their own, last in order. Rows with equal
-    ids get equal random numbers, and rows of equal id, source and size are decided alike. An
-    empty table gives none. Reruns agree whatever the partitions.
+    Null texts have size 0 and no copies, as have other texts without words; null sources are a source
+    of their own, last in order; null ids share one random number. Rows with equal ids get equal random numbers, and rows of equal id, source and
+    size are decided alike, so of many such rows at the cut all are taken or none. A very long text is one row. An
+    empty table gives none. Reruns agree whatever the partitions. Other columns pass through inside the struct, so no
+    name can clash.
     """
-    sources, chosen = plan(docs, max_repeat, weights, seed)
+    classes, chosen = plan(docs, max_repeat, weights, seed)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
-    d = sized(own, seed).join(small(sources, broadcast_rows), F.col("source").eqNullSafe(F.col("_source"))).withColumn("cell", cell())
+    d = sized(own, seed).withColumn("class", digits(F.col("_size")))
+    d = d.join(small(classes, broadcast_rows), F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class"))).withColumn("cell", cell())
     same = F.col("doc_id").eqNullSafe(F.col("_c_id")) & F.col("source").eqNullSafe(F.col("_c_source")) & (F.col("_size") == F.col("_c_size"))
     d = d.join(small(chosen, broadcast_rows), same & (F.col("cell") == F.col("cut")), "left")
     below = F.coalesce(F.when(F.col("cut").isNull(), F.col("cell").isNotNull()).otherwise(F.col("cell") < F.col("cut")), F.lit(False))
     copies = (F.col("whole") + below.cast("int") + F.coalesce("_more", F.lit(0))).cast("long")
-    return d.select("row", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
+    return d.select("row", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") + F.col("part")).alias("share"), copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -118,7 +166,10 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it; columns as they are. Rows of no copies go."""
+    """Each row of ``docs`` as often as the mix takes it; columns as they are. Rows of no copies go.
+
+    Nulls, empty texts, ties and repeated rows are as in ``with_copies``: rows without words go.
+    """
     out = with_copies(docs, **options)
     return out.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
 
@@ -137,13 +188,20 @@ f AS (SELECT *, source_size * CAST(3 AS DOUBLE) / weight AS full_at, source_size
 v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t0 AS (SELECT source, source_size, n_docs, least(weight * (SELECT max(level) FROM v WHERE level <= full_at), most) AS target FROM v),
-t1 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS want FROM t0),
-t AS (SELECT *, floor(want + 1e-9) AS whole, greatest(want - floor(want + 1e-9), 0) AS part,
-             target - floor(want + 1e-9) * source_size AS missing0,
-             least(ceil(n_docs / 2000.0), 65536) AS n_cells FROM t1),
-j AS (SELECT d.doc_id, d.size, d.u, d.r, t.*, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank,
-             CASE WHEN part > 0 THEN CAST(floor(u * n_cells) AS INT) END AS cell
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k0 AS (SELECT source, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+k1 AS (SELECT k0.*, source_size, n_docs, target, CAST(class * words AS DOUBLE) AS weight, words * CAST(3 AS DOUBLE) AS most
+       FROM k0 JOIN t0 ON k0.source IS NOT DISTINCT FROM t0.source),
+k2 AS (SELECT *, CASE WHEN weight > 0 THEN most / weight END AS full_at FROM k1),
+k3 AS (SELECT *, sum(weight) OVER (PARTITION BY source) - coalesce(sum(weight) OVER b, 0) AS rest_weight, coalesce(sum(most) OVER b, 0) AS full_before
+       FROM k2 WINDOW b AS (PARTITION BY source ORDER BY full_at NULLS LAST, class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k4 AS (SELECT *, CASE WHEN rest_weight > 0 THEN (target - full_before) / rest_weight END AS level FROM k3),
+k5 AS (SELECT *, coalesce(least(class * max(CASE WHEN level <= full_at THEN level END) OVER (PARTITION BY source), 3), 0) AS copies FROM k4),
+k6 AS (SELECT *, floor(copies + 1e-9) AS whole FROM k5),
+t AS (SELECT source, class, source_size, n_docs, target, whole, CASE WHEN copies - whole > 1e-9 THEN copies - whole ELSE 0 END AS part,
+             target - sum(whole * words) OVER (PARTITION BY source) AS missing0, least(ceil(n_docs / 2000.0), 65536) AS n_cells FROM k6),
+j0 AS (SELECT d.doc_id, d.size, d.u, d.r, t.*, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND CASE WHEN d.size > 0 THEN length(bin(d.size)) ELSE 0 END = t.class),
+j AS (SELECT *, CASE WHEN part > 0 THEN CAST(floor(rank / (1 + rank) * n_cells) AS INT) END AS cell FROM j0),
 c0 AS (SELECT source, cell, CAST(sum(size) AS BIGINT) AS words, any_value(missing0) AS missing0 FROM j WHERE cell IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c0),
 x AS (SELECT source, max(cell) AS cut, arg_max(before, cell) AS before FROM c WHERE before + words > missing0 AND before <= missing0 GROUP BY source),

@@ -68,6 +68,56 @@ def test_reruns_agree_and_rows_come_back(mixable):
     assert mixing.mixed(mixable.limit(0)).count() == 0
 
 
+def plain_copies(rows, target, most=3.0):
+    """The rules for one source by a loop: rows of (u, size) to copies, and each row's share."""
+    digits = [len(bin(s)) - 2 if s else 0 for _, s in rows]
+    low, high = 0.0, most
+    for _ in range(200):  # the level by halving
+        level = (low + high) / 2
+        low, high = (low, level) if sum(min(d * level, most) * s for d, (_, s) in zip(digits, rows)) > target else (level, high)
+    share = [min(d * high, most) for d in digits]
+    copies = [int(x + 1e-6) for x in share]
+    left = target - sum(c * s for c, (_, s) in zip(copies, rows))
+    part = [x - c for x, c in zip(share, copies)]
+    ranked = sorted((u / (1 - u) / (p / (1 - p)), i) for i, ((u, _), p) in enumerate(zip(rows, part)) if p > 1e-6)
+    sample = 0
+    for _, i in ranked:
+        if rows[i][1] > left:
+            break
+        copies[i], left, sample = copies[i] + 1, left - rows[i][1], sample + 1
+    later = [i for _, i in ranked[sample:]]
+    if later and abs(rows[nearest := min(later, key=lambda i: abs(rows[i][1] - left))][1] - left) < left:
+        copies[nearest] += 1
+    return copies, share
+
+
+def test_pareto_sample_against_plain_rules(spark, mixable):
+    """Copies of each source by a loop over its documents, and the rates at which classes of size are taken."""
+    rnd = random.Random(3)
+    rows = []
+    for source in range(45):  # equal sources, so a third of them have each weight
+        sizes = [1, 2, 3, 6, 12, 25, 30, 50, 60, 60] * 30 + [200]
+        rows += [(len(rows) + i, " ".join(["w"] * n), f"s{source:03d}", n) for i, n in enumerate(sizes)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    size = {i: n for i, _, _, n in rows}
+    got = mixing.with_copies(docs).select("row.doc_id", "row.source", "target", "share", "copies").collect()
+    taken, rates = {}, {}
+    for r in got:
+        taken.setdefault((r.source, r.target), []).append((r.doc_id, r.copies, r.share))
+        rates.setdefault((round(r.target), size[r.doc_id]), []).append((r.copies, r.share))
+    for (_, target), own in taken.items():
+        assert abs(sum(size[i] * n for i, n, _ in own) - target) <= 100  # half of the largest document
+    for (_, target), own in list(taken.items())[:12]:
+        u = [(int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for i, _, _ in own]
+        copies, share = plain_copies([(x, size[i]) for x, (i, _, _) in zip(u, own)], target)
+        assert np.allclose(share, [x[2] for x in own], atol=1e-6) and copies == [x[1] for x in own]
+    for pairs in rates.values():
+        copies, share = np.array(pairs).T
+        assert abs(copies.mean() - share.mean()) < (0.08 if len(pairs) > 400 else 0.5)
+    assert len({s for pairs in rates.values() for _, s in pairs}) > 15
+
+
 def test_cells_change_no_sum(mixable, monkeypatch):
     monkeypatch.setattr(mixing, "CELL_ROWS", 20)
     got = mixing.mix_sources(mixable).join(mixable.select("doc_id", "source"), "doc_id").where("source = 'a'").agg(F.sum("taken"), F.first("target")).first()
