@@ -13,6 +13,7 @@ from folioscope.functions.urls import normalize_url, seed_url
 from folioscope.operators import corpus, crawl, graph, index, search, stats
 from folioscope.plans.query import all_terms, tree
 from folioscope.sources.files import parse_freqs
+from folioscope.storage import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,14 +39,12 @@ def lines_of(spark: SparkSession, d: str) -> DataFrame:
     return corpus.corpus_lines(corpus.prepare_corpus(read(spark, d, "documents")))
 
 
-def postings_of(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(lines_of(spark, d))
+def numbered_of(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.numbered_lines(lines_of(spark, d))
 
 
-def counts_of(spark: SparkSession, d: str) -> DataFrame:
-    """(term, docid, tf) without positions."""
-    lines = lines_of(spark, d)
-    return index.numbered(index.counts(lines), lines)
+def postings_of(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(numbered_of(spark, d))
 
 
 CHARS = "0-9A-Za-z\\x{0400}-\\x{052F}"
@@ -85,8 +84,7 @@ def prepare_corpus(spark, d):
 
 @query("corpus_lines", LINES + " SELECT docid, line FROM ln")
 def corpus_lines(spark, d):
-    lines = lines_of(spark, d)
-    return lines.join(corpus.doc_numbers(lines), "doc_id").select("docid", "line")
+    return numbered_of(spark, d).select("docid", "line")
 
 
 @query("min_text_filter", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(text) >= 300")
@@ -107,7 +105,7 @@ SELECT docid, CASE WHEN c OR length(h) >= 6 THEN substr(h, 1, 240) ELSE hex(enco
 
 @query("docs_table", TITLE_SQL)
 def docs_table(spark, d):
-    return corpus.docs_table(lines_of(spark, d)).select("docid", F.hex("title").alias("title"), "url")
+    return corpus.docs_table(numbered_of(spark, d)).select("docid", F.hex("title").alias("title"), "url")
 
 
 @query("docs_count", LINES + " SELECT count(*) AS n FROM ln")
@@ -120,15 +118,13 @@ def docs_count(spark, d):
 
 @query("tokens", BASE + " SELECT docid, pos, term FROM tk")
 def tokens(spark, d):
-    lines = lines_of(spark, d)
-    return index.numbered(index.tokens(lines), lines).select("docid", F.col("pos").cast("long").alias("pos"), "term")
+    return index.tokens(numbered_of(spark, d)).select("docid", F.col("pos").cast("long").alias("pos"), "term")
 
 
 @query("tokens_nojoin", f"{LINES} SELECT docid, CAST(len(regexp_extract_all({FOLDED}, '{TOK_NOJOIN}')) AS BIGINT) AS n FROM ln")
 def tokens_nojoin(spark, d):
-    lines = lines_of(spark, d)
     n = F.size(Tokenizer(keep_joiners=False).tokens(F.col("line"))).cast("long")
-    return index.numbered(lines.select("doc_id", n.alias("n")), lines)
+    return numbered_of(spark, d).select("docid", n.alias("n"))
 
 
 @query("token_stream", BASE + " SELECT term FROM tk")
@@ -143,14 +139,14 @@ def postings(spark, d):
 
 @query("vocab", BASE + " SELECT term, df FROM vo")
 def vocab(spark, d):
-    return index.vocab(index.counts(lines_of(spark, d)))
+    return index.lexicon(lines_of(spark, d))
 
 
 @query("idf", BASE + " SELECT term, df, round(ln((n + 1) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM vo, nn")
 def idf(spark, d):
     lines = lines_of(spark, d)
     n = F.broadcast(lines.agg(F.count(F.lit(1)).alias("n")))  # one row
-    return index.vocab(index.counts(lines)).join(n).select("term", "df", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.lexicon(lines).join(n).select("term", "df", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("posting_lookup", BASE + " SELECT term, docid, tf FROM po WHERE term IN ('the', 'between', 'der')")
@@ -162,7 +158,7 @@ def posting_lookup(spark, d):
 def lexicon_lookup(spark, d):
     terms = ["the", "der", "nosuchterm"]
     asked = spark.createDataFrame([(t,) for t in terms], "term string")
-    found = index.vocab(index.counts(lines_of(spark, d), terms))
+    found = index.lexicon(lines_of(spark, d), terms)
     return asked.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
@@ -171,7 +167,7 @@ GAPS = "docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0)"
 
 @query("posting_gaps", f"{BASE} SELECT term, docid, {GAPS} AS gap FROM po")
 def posting_gaps(spark, d):
-    return index.posting_gaps(counts_of(spark, d))
+    return index.posting_gaps(saved(index.counts(numbered_of(spark, d)), "counts"))
 
 
 @query("position_gaps", BASE + " SELECT term, docid, pos, pos - coalesce(lag(pos) OVER (PARTITION BY term, docid ORDER BY pos), 0) AS gap FROM tk")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import is_blank, one_line, title_bytes
@@ -20,14 +20,21 @@ def corpus_lines(lines: DataFrame) -> DataFrame:
     return clean.where(~is_blank(F.col("line")))
 
 
-def doc_numbers(lines: DataFrame) -> DataFrame:
-    """(doc_id, docid): 1, 2, ... over the lines in order of their source's key. Lines are not moved."""
-    return dense_ids(lines.select("doc_id"), "doc_id", "docid")
+def line_order(tie: Column) -> list[Column]:
+    """The order in which lines are numbered: by their source's key, null last, and of one key by ``tie``."""
+    return [F.col("doc_id").asc_nulls_last(), tie]
 
 
-def docs_table(lines: DataFrame) -> DataFrame:
-    """(docid, title, url): the title cut from the line, as bytes, and an empty URL."""
-    numbered = lines.join(doc_numbers(lines), "doc_id")
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line, docid), written once: 1, 2, ... over the lines in order of their source's key.
+
+    Lines of one key, or without one, have numbers of their own, in order of the line's hash.
+    """
+    return dense_ids(lines.select("doc_id", "line"), line_order(F.xxhash64("line")), "docid")
+
+
+def docs_table(numbered: DataFrame) -> DataFrame:
+    """(docid, title, url) of numbered lines: the title cut from the line, as bytes, and an empty URL."""
     return numbered.select("docid", title_bytes(F.col("line"), F.col("docid")).alias("title"), F.lit("").alias("url"))
 
 

@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.stats import first_of
+from folioscope.storage import saved
 
 SUBCATEGORY, PAGE = 14, 0
 
 
-def category_pages(roots: DataFrame, edges: DataFrame, max_pages: int | None = None, max_depth: int = 64) -> DataFrame:
+def category_pages(roots: DataFrame, edges: DataFrame, max_pages: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(source, pageid, title, level, category): pages reachable from ``roots`` (source, category), each once.
 
     ``edges`` is (source, parent, ns, child, pageid): 14 marks a sub-category, 0 a page. A page
     belongs to the level that reaches it first and there to the first category by name. Each level
-    is one join; the categories seen are checkpointed where a checkpoint folder is set, which cuts lineage.
+    is one join, until no new category is met or, if given, ``max_depth`` levels are done; each level's
+    categories are written, which cuts lineage.
     """
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    seen = cut(roots.select("source", "category").distinct().withColumn("level", F.lit(0)))
-    front = seen
-    for level in range(1, max_depth + 1):
-        step = edges.where((F.col("ns") == SUBCATEGORY) & (F.col("child") != "")).select("source", F.col("parent").alias("category"), F.col("child").alias("next"))
+    step = edges.where((F.col("ns") == SUBCATEGORY) & (F.col("child") != "")).select("source", F.col("parent").alias("category"), F.col("child").alias("next"))
+    front = seen = saved(roots.select("source", "category").distinct().withColumn("level", F.lit(0)), "categories")
+    level = 0
+    while (max_depth is None or level < max_depth) and not front.isEmpty():
+        level += 1
         found = front.join(step, ["source", "category"]).select("source", F.col("next").alias("category")).distinct()
-        front = cut(found.join(seen, ["source", "category"], "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
+        front = saved(found.join(seen, ["source", "category"], "left_anti").withColumn("level", F.lit(level)), "categories")
+        seen = seen.unionByName(front)
+        if level % 20 == 0:  # many levels are one table again
+            seen = saved(seen, "categories")
     pages = edges.where((F.col("ns") == PAGE) & F.col("pageid").isNotNull()).select("source", F.col("parent").alias("category"), "pageid", F.col("child").alias("title"))
     out = first_of(seen.join(pages, ["source", "category"]), ["source", "pageid"], [F.col("level"), F.col("category"), F.col("title")])
     out = out.select("source", "pageid", "title", "level", "category")

@@ -1,39 +1,65 @@
-"""The positional inverted index as tables: postings, vocab, docs."""
+"""The positional inverted index as tables: postings, vocab, docs.
+
+A line is one row, so its tokens are grouped by term inside the row and no token is moved before that.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.stem import stem_column
 from folioscope.functions.text import SEARCH, Tokenizer, vbyte_length
-from folioscope.operators.corpus import doc_numbers, docs_table
-from folioscope.operators.numbering import running_sum
+from folioscope.operators.corpus import docs_table, line_order, numbered_lines
+from folioscope.operators.numbering import cells_before, dense_ids, running_sum
+from folioscope.storage import saved
+
+#: Docids of a cell, in bits: what one task has of a term's list at most.
+CELL_BITS = 16
 
 
 def tokens(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
-    """(doc_id, pos, term): every token of every line with its place, from 0."""
-    return lines.select("doc_id", F.posexplode(tokenizer.tokens(F.col("line"))).alias("pos", "term"))
+    """(docid, pos, term): every token of every numbered line with its place, from 0."""
+    return lines.select("docid", F.posexplode(tokenizer.tokens(F.col("line"))).alias("pos", "term"))
+
+
+def token_stems(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """(docid, pos, stem): the stem of every token of numbered lines, in place of its term."""
+    return tokens(lines, tokenizer).select("docid", "pos", stem_column("term").alias("stem"))
+
+
+def postings(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """(term, docid, tf, positions) of numbered lines: one row for each term of each, positions ascending.
+
+    A row's tokens are put in order of term and place, and cut where the term changes; nothing is shuffled.
+    """
+    placed = F.transform(tokenizer.tokens(F.col("line")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    rows = lines.select("docid", F.sort_array(placed).alias("s"))
+    rows = rows.withColumn("n", F.size("s"))
+    change = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
+    rows = rows.withColumn("b", F.filter(F.transform("s", lambda _, i: i), change))
+
+    def cut(i: Column, k: Column) -> Column:
+        own = F.slice("s", i + 1, F.coalesce(F.get("b", k + 1), F.col("n")) - i)
+        return F.struct(F.get("s", i)["term"].alias("term"), own["pos"].alias("positions"))
 
+    rows = rows.select("docid", F.explode(F.transform("b", cut)).alias("x"))
+    return rows.select("x.term", "docid", F.size("x.positions").cast("long").alias("tf"), "x.positions")
 
-def numbered(by_key: DataFrame, lines: DataFrame) -> DataFrame:
-    """``by_key`` with docid in place of the source's doc_id."""
-    return by_key.join(doc_numbers(lines), "doc_id").drop("doc_id")
 
+def counts(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """(term, docid, tf) of numbered lines."""
+    return postings(lines, tokenizer).select("term", "docid", "tf")
 
-def counts(lines: DataFrame, terms: list[str] | None = None, tokenizer: Tokenizer = SEARCH) -> DataFrame:
-    """(term, doc_id, tf), of ``terms`` alone if given: others are dropped before they leave their row."""
+
+def lexicon(lines: DataFrame, terms: list[str] | None = None, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """(term, df) of lines (line), of ``terms`` alone if given: others are dropped before they leave their row."""
     found = tokenizer.tokens(F.col("line"))
     if terms is not None:
         found = F.filter(found, lambda t: t.isin(terms) if terms else F.lit(False))
-    return lines.select("doc_id", F.explode(found).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def postings(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
-    """(term, docid, tf, positions): one row for each term of each document, positions ascending."""
-    found = tokens(lines, tokenizer).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return numbered(found, lines).select("term", "docid", "tf", "positions")
+    return vocab(lines.select(F.explode(F.array_distinct(found)).alias("term")))
 
 
 def vocab(by_doc: DataFrame) -> DataFrame:
@@ -41,16 +67,31 @@ def vocab(by_doc: DataFrame) -> DataFrame:
     return by_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def with_previous(by_doc: DataFrame) -> DataFrame:
+    """``by_doc`` (term, docid, ...) with previous: the docid before it in the term's list, for the first 0.
+
+    Lists are cut in cells of docids, and each cell is told the last docid of the cells before it. ``by_doc`` is read
+    twice, so it should be a written table.
+    """
+    rows = by_doc.withColumn("_cell", F.shiftright("docid", CELL_BITS))
+    inside = F.lag("docid").over(Window.partitionBy("term", "_cell").orderBy("docid"))
+    earlier = cells_before(rows.select("term", "_cell", "docid"), ["term"], "_cell", F.col("docid"), "max")
+    joined = rows.withColumn("_inside", inside).join(earlier, ["term", "_cell"], "left")
+    return joined.select(*by_doc.columns, F.coalesce("_inside", "_earlier", F.lit(0)).alias("previous"))
+
+
 def posting_gaps(by_doc: DataFrame) -> DataFrame:
     """(term, docid, gap): docid less the one before it in the term's list, the first less 0."""
-    before = F.lag("docid").over(Window.partitionBy("term").orderBy("docid"))
-    return by_doc.select("term", "docid", (F.col("docid") - F.coalesce(before, F.lit(0))).alias("gap"))
+    return with_previous(by_doc).select("term", "docid", (F.col("docid") - F.col("previous")).alias("gap"))
 
 
 def gaps_to_docids(gaps: DataFrame) -> DataFrame:
-    """(term, docid) back from (term, docid, gap), by sums alone."""
-    up_to = Window.partitionBy("term").orderBy("docid").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(up_to).alias("docid"))
+    """(term, docid) back from (term, docid, gap), by sums of gaps alone; docid tells order and cell."""
+    rows = gaps.withColumn("_cell", F.shiftright("docid", CELL_BITS))
+    up_to = Window.partitionBy("term", "_cell").orderBy("docid").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = cells_before(rows.select("term", "_cell", "gap"), ["term"], "_cell", F.col("gap"), "sum")
+    joined = rows.withColumn("_inside", F.sum("gap").over(up_to)).join(earlier, ["term", "_cell"], "left")
+    return joined.select("term", (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).alias("docid"))
 
 
 def position_gaps(post: DataFrame) -> DataFrame:
@@ -60,14 +101,17 @@ def position_gaps(post: DataFrame) -> DataFrame:
 
 
 def vocab_offsets(post: DataFrame) -> DataFrame:
-    """(term, df, bytes, offset): the size of each term's list with variable-byte gaps, and where it begins in byte order."""
+    """(term, df, bytes, offset): the size of each term's list with variable-byte gaps, and where it begins in byte order.
+
+    Positions become a size inside their row, and only that is kept of them.
+    """
     gaps = F.transform("positions", lambda p, i: vbyte_length(p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0)))
     inside = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
-    before = F.lag("docid").over(Window.partitionBy("term").orderBy("docid"))
-    rows = post.select("term", (vbyte_length(F.col("docid") - F.coalesce(before, F.lit(0))) + vbyte_length(F.col("tf")) + inside).alias("b"))
+    sizes = saved(post.select("term", "docid", (vbyte_length(F.col("tf")) + inside).alias("b")), "list-sizes")
+    rows = with_previous(sizes).select("term", (F.col("b") + vbyte_length(F.col("docid") - F.col("previous"))).alias("b"))
     terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("b").alias("b"))
-    terms = terms.select("term", "df", (F.col("b") + vbyte_length(F.col("df"))).alias("bytes"))
-    return running_sum(terms, F.col("bytes"), [F.col("term")], [F.substring("term", 1, 2)], "offset")
+    terms = saved(terms.select("term", "df", (F.col("b") + vbyte_length(F.col("df"))).alias("bytes")), "term-sizes")
+    return running_sum(terms, F.col("bytes"), [F.col("term")], "offset")
 
 
 @dataclass
@@ -80,15 +124,16 @@ class Index:
 
     @classmethod
     def build(cls, lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> Index:
-        post = postings(lines, tokenizer)
-        return cls(post, vocab(post), docs_table(lines))
+        """The index of lines (doc_id, line), which are numbered and written once, and whose tokens are cut once."""
+        numbered = numbered_lines(lines)
+        post = saved(postings(numbered, tokenizer), "postings")
+        return cls(post, vocab(post), docs_table(numbered))
 
     def write(self, path: str) -> None:
-        """Parquet tables under ``path``: postings and vocab by ranges of term, so that a lookup reads few row groups."""
+        """Parquet tables under ``path``: postings by ranges of (term, docid), so that a lookup reads few row groups and a common term is many files'."""
         order = ["term", "docid"]
-        self.postings.repartitionByRange("term").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-        written = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        vocab(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        self.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+        self.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
     @classmethod
@@ -96,7 +141,19 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "docs")))
 
     @classmethod
-    def of_terms(cls, lines: DataFrame, terms: list[str]) -> Index:
-        """What a query of ``terms`` needs, straight from lines: no other term is counted or moved."""
-        found = numbered(counts(lines, terms), lines)
-        return cls(found, vocab(found), doc_numbers(lines).select("docid"))
+    def of_terms(cls, lines: DataFrame, terms: list[str], tokenizer: Tokenizer = SEARCH) -> Index:
+        """What a query of ``terms`` needs, straight from lines (doc_id, line): of each line, how often it has each term.
+
+        Texts are read once; the counts are written, numbered as ``numbered_lines`` does, and no other term leaves its row.
+        """
+        own = F.filter(tokenizer.tokens(F.col("line")), lambda t: t.isin(terms) if terms else F.lit(False))
+        found = lines.select("doc_id", F.xxhash64("line").alias("tie"), own.alias("own"))
+
+        def times(term: str) -> Column:
+            return F.struct(F.lit(term).alias("term"), F.size(F.filter("own", lambda x: x == term)).cast("long").alias("tf"))
+
+        every = F.array(*map(times, terms)) if terms else F.array().cast("array<struct<term:string,tf:bigint>>")
+        some = F.filter(every, lambda x: x["tf"] > 0)
+        numbered = dense_ids(saved(found.select("doc_id", "tie", some.alias("found")), "found"), line_order(F.col("tie")), "docid")
+        post = numbered.select("docid", F.explode("found").alias("x")).select("x.term", "docid", "x.tf")
+        return cls(post, vocab(post), numbered.select("docid"))

@@ -5,24 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.storage import saved
 
-def running_sum(df: DataFrame, value: Column, order: list[Column], cell: list[Column], name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows before each, in order of ``order``.
+#: A fixed value: monotonically_increasing_id has a partition's number above this many bits, and the row's place below.
+PLACE_BITS = 33
 
-    ``cell`` cuts that order into stretches: rows in order of ``order`` are in order of ``cell`` too.
-    Sums run inside each cell; only one row a cell is summed up in a single task.
+
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df``, written in ranges of ``order``, with _part, a range's number, and _at: 0, 1, ... inside it.
+
+    Ranges come from quantiles of a sample, so sparse, crowded and repeated keys are dealt alike, as long as
+    ``order`` ends in something that varies. ``df`` is read twice, so it should be a written table.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    split = {"_part": F.shiftright("_at", PLACE_BITS), "_at": F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
+    return saved(dealt.withColumns(split), "ranged")
+
+
+def before_each(totals: DataFrame, total: str) -> DataFrame:
+    """(_part, _before), to be broadcast: the sum of ``total`` over the ranges before each. A shuffle's partitions are its rows."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_part", F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias("_before")))
+
+
+def dense_ids(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written in order, with ``name``: 1, 2, ... in order of ``order``, each row a number of its own.
+
+    Rows that tie are numbered one after the other, nulls stand where ``order`` puts them, and an
+    empty table gives no rows.
+    """
+    rows = ranged(df, order)
+    before = before_each(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")), "n")
+    return rows.join(before, "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
+
+
+def running_sum(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """``df``, written in order, with ``name``: the sum of ``value`` over the rows before each, in order of ``order``."""
+    rows = ranged(df.withColumn("_value", value), order)
+    before = before_each(rows.groupBy("_part").agg(F.sum("_value").alias("n")), "n")
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return rows.join(before, "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+def cells_before(df: DataFrame, keys: list[str], cell: str, value: Column, over: str) -> DataFrame:
+    """(``keys``, ``cell``, _earlier): what ``over`` (max or sum) makes of ``value`` in the cells before each, of the same keys.
+
+    A row for each cell, so that no task has all rows of a key.
     """
-    keys = [f"_cell{i}" for i in range(len(cell))]
-    d = df.withColumns({"_value": value} | dict(zip(keys, cell)))
-    totals = d.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    ordered = Window.orderBy(*[F.col(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(ordered), F.lit(0))).drop("_total")
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return d.join(totals, keys).withColumn(name, F.col("_before") + F.col("_own")).select(*df.columns, name)
-
-
-def dense_ids(df: DataFrame, key: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... in order of the whole-numbered ``key``, which is unique."""
-    counted = running_sum(df, F.lit(1), [F.col(key)], [F.floor(F.col(key) / width)], name)
-    return counted.withColumn(name, (F.col(name) + 1).cast("long"))
+    each = df.groupBy(*keys, cell).agg(getattr(F, over)(value).alias("_each"))
+    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*keys, cell, getattr(F, over)("_each").over(earlier).alias("_earlier")).where("_earlier is not null")

@@ -38,6 +38,11 @@ def search(index: Index, query: str, limit: int | None = None) -> DataFrame:
     return ranked.limit(limit) if limit is not None else ranked
 
 
+def as_lines(found: DataFrame) -> DataFrame:
+    """(line) of a result: docid, tab, and the score with six decimals."""
+    return found.select(F.format_string("%d\t%.6f", "docid", "score").alias("line"))
+
+
 def docs_with(index: Index, term: str) -> DataFrame:
     """(docid) of the documents with a term."""
     return index.postings.where(F.col("term") == term).select("docid")

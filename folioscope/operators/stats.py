@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.stem import stem_column
 from folioscope.functions.text import frequency_tokens, human_size
-from folioscope.operators.numbering import running_sum
+from folioscope.operators.numbering import dense_ids
+from folioscope.storage import saved
 
 
 def frequency_words(docs: DataFrame, **options) -> DataFrame:
@@ -20,6 +21,11 @@ def term_freqs(docs: DataFrame, **options) -> DataFrame:
     return frequency_words(docs, **options).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def stem_lines(lines: DataFrame) -> DataFrame:
+    """(line, stem) of lines that hold a word each, less a carriage return at the end; an empty line has an empty stem."""
+    return lines.select("line", stem_column(F.regexp_replace("line", "\r$", "")).alias("stem"))
+
+
 def mapped_freqs(freqs: DataFrame, normal_form: Column) -> DataFrame:
     """(stem, cnt) from (term, cnt): ``normal_form`` is taken of distinct terms, not of every token."""
     return freqs.select(normal_form.alias("stem"), "cnt").groupBy("stem").agg(F.sum("cnt").alias("cnt"))
@@ -44,11 +50,14 @@ def corpus_stats(docs: DataFrame, **options) -> DataFrame:
     return sums.select("n_docs", "n_bytes", (F.col("n_bytes") / 1024).alias("n_kb"), "n_tokens", average.alias("avg_len"))
 
 
+def per_second(amount: Column, seconds: float) -> Column:
+    """An amount a second, 0 where no time passed: the rate of a run that its caller has timed."""
+    return amount / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)
+
+
 def ranked_freqs(freqs: DataFrame) -> DataFrame:
-    """(term, cnt, rank): 1, 2, ... by count downwards and then by term."""
-    order = [F.col("cnt").desc(), F.col("term")]
-    out = running_sum(freqs.withColumn("_down", -F.col("cnt")), F.lit(1), order, [F.col("_down"), F.substring("term", 1, 2)], "rank")
-    return out.select("term", "cnt", (F.col("rank") + 1).cast("long").alias("rank"))
+    """(term, cnt, rank), written once: 1, 2, ... by count downwards and then by term."""
+    return dense_ids(saved(freqs.select("term", "cnt"), "freqs"), [F.col("cnt").desc(), F.col("term")], "rank")
 
 
 def zipf_fit(ranked: DataFrame, top: int = 1000) -> DataFrame:

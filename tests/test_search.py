@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -105,14 +107,55 @@ def test_write_and_read(built, spark, tmp_path):
 def test_lines(spark):
     df = spark.createDataFrame([(5, "a\r b"), (2, " \t"), (9, "\r"), (70000, "c")], "doc_id long, line string")
     lines = corpus.corpus_lines(df)
-    numbered = lines.join(corpus.doc_numbers(lines), "doc_id").select("docid", "line")
+    numbered = corpus.numbered_lines(lines).select("docid", "line")
     assert sorted(map(tuple, numbered.collect())) == [(1, "a b"), (2, "c")]
 
 
-def test_dense_ids_over_cells(spark):
-    df = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    got = {r.k: r.n for r in dense_ids(df, "k", "n", width=16).collect()}
-    assert got == {k: i + 1 for i, k in enumerate(range(0, 1000, 7))}
+@pytest.mark.parametrize("step", [7, 10**12])
+def test_dense_ids_over_ranges(spark, step):
+    keys = list(range(0, 143 * step, step))
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    got = {r.k: r.n for r in dense_ids(df, [F.col("k")], "n").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(keys)}
+
+
+def test_repeated_and_null_keys_have_numbers_of_their_own(spark):
+    """Each line one docid, dense and in order of key; lines of one key, equal ones too, are told apart."""
+    rows = [(1, "a b"), (1, "c"), (None, "d a"), (1, "c"), (None, "a"), (-5, "e"), (10**17, "a a")] + [(7, f"x{i}") for i in range(40)]
+    lines = corpus.corpus_lines(spark.createDataFrame(rows, "doc_id long, line string").repartition(3))
+    got = corpus.numbered_lines(lines).orderBy("docid").collect()
+    assert [r.docid for r in got] == list(range(1, len(rows) + 1))
+    assert [r.doc_id for r in got] == [-5, 1, 1, 1, *[7] * 40, 10**17, None, None]
+    assert sorted(r.line for r in got) == sorted(t for _, t in rows)
+    assert corpus.numbered_lines(lines.limit(0)).count() == 0
+    built, some = index.Index.build(lines), index.Index.of_terms(lines, ["a"])
+    both = [sorted(map(tuple, search.search(at, "a").collect())) for at in (built, some)]
+    assert both[0] == both[1] and len(both[0]) == 4
+    assert {r.docid for r in some.docs.collect()} == set(range(1, len(rows) + 1)) == {r.docid for r in built.docs.collect()}
+
+
+def test_postings_against_a_loop(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice("ab cd efg h é".split()) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    lines = spark.createDataFrame([(*r, r[0] + 1) for r in rows], "doc_id long, line string, docid long")
+    expected = {}
+    for i, text in rows:
+        for pos, t in enumerate(x for x in text.split() if x != "é"):
+            expected.setdefault((t, i + 1), []).append(pos)
+    got = {(r.term, r.docid): (r.tf, r.positions) for r in index.postings(lines).collect()}
+    assert got == {k: (len(v), v) for k, v in expected.items()}
+    plan = index.postings(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    stems = index.token_stems(lines.limit(3))
+    assert stems.columns == ["docid", "pos", "stem"] and stems.count() == index.tokens(lines.limit(3)).count()
+
+
+def test_gaps_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(index, "CELL_BITS", 3)
+    rows = [(t, d) for t in "ab" for d in (1, 2, 7, 8, 9, 31, 32, 1000)]
+    gaps = index.posting_gaps(spark.createDataFrame(rows, "term string, docid long"))
+    assert sorted((r.term, r.docid, r.gap) for r in gaps.collect()) == [(t, d, g) for t in "ab" for d, g in zip((1, 2, 7, 8, 9, 31, 32, 1000), (1, 1, 5, 1, 1, 22, 1, 968))]
+    assert sorted(map(tuple, index.gaps_to_docids(gaps).collect())) == rows
 
 
 def test_gaps_round_trip(built):
@@ -132,5 +175,5 @@ def test_offsets(built):
 
 def test_term_filter_is_below_the_aggregate(spark):
     lines = corpus.corpus_lines(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, line string"))
-    plan = index.counts(lines, ["лес"])._jdf.queryExecution().optimizedPlan().toString()
+    plan = index.lexicon(lines, ["лес"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("filter(")
