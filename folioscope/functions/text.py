@@ -95,3 +95,8 @@ def human_size(n: Column) -> Column:
     for i in reversed(range(len(units) - 1)):
         out = F.when(n < F.lit(1024 ** (i + 1)), show(i)).otherwise(out)
     return F.when(n.isNull(), F.lit("N/A")).otherwise(out)
+
+
+def date_of(seconds: Column) -> Column:
+    """Seconds since 1970 as date and time in the session's time zone; null stays null."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

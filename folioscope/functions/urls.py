@@ -24,3 +24,8 @@ def seed_url(title: Column, base_url: str) -> Column:
     for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
         quoted = F.replace(quoted, F.lit(a), F.lit(b))
     return normalize_url(F.concat(F.lit(base_url), quoted))
+
+
+def host_of(url: Column) -> Column:
+    """A URL's authority in lower case; "" where there is none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, PARTS, 2)), F.lit(""))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import dense_ids
+from folioscope.storage import saved
+
 CORPUS = "pageid long, title string, lang string, source string, text string"
 PAGES = "pageid long, title string, lang string, source string"
 
@@ -59,6 +62,15 @@ def write_pages_list(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").json(path)
 
 
+def write_pages_array(pages: DataFrame, path: str) -> None:
+    """Page entries as one JSON array in one file, in order of pageid: a record a line, written by one task as they come."""
+    record = F.to_json(F.struct(*pages.columns), {"ignoreNullFields": "false"})
+    ends = Window.orderBy("pageid")
+    lines = pages.select("pageid", record.alias("x"), (F.lead("pageid", 1, -1).over(ends) == -1).alias("last"), (F.lag("pageid", 1, -1).over(ends) == -1).alias("first"))
+    lines = lines.select("pageid", F.concat(F.when(F.col("first"), F.lit("[")).otherwise(F.lit(" ")), "x", F.when(F.col("last"), F.lit("]")).otherwise(F.lit(","))).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("pageid").select("value").write.mode("overwrite").text(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line) of text files, ended by line feeds alone: a carriage return stays in its line."""
     return spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
@@ -86,7 +98,16 @@ def parse_freqs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_parts", parts).where(F.size("_parts") == 2).select(F.col("_parts")[0].alias("term"), cnt.alias("cnt")).where("cnt > 0")
 
 
+def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, line) of text files: 1, 2, ... in order of file name and place, over all splits."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    placed = lines.select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    order = [F.col("file_path"), F.col("file_block_start"), F.col("place")]
+    return dense_ids(saved(placed, "file-lines"), order, "doc_id").select("doc_id", "line")
+
+
 def read_freqs(spark: SparkSession, path: str, max_terms: int | None = None) -> DataFrame:
-    """The table of a frequency file; ``max_terms`` counts lines, read or not."""
-    lines = read_lines(spark, path)
-    return parse_freqs(lines.limit(max_terms) if max_terms is not None else lines)
+    """The table of a frequency file; ``max_terms`` counts its first lines, whether they hold a term or not."""
+    if max_terms is None:
+        return parse_freqs(read_lines(spark, path))
+    return parse_freqs(numbered_file_lines(spark, path).where(F.col("doc_id") <= max_terms).select("line"))

@@ -1,4 +1,4 @@
-"""Conditional page fetches, a partition of the queue at a time."""
+"""Conditional page fetches, in tasks that have whole hosts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions.urls import host_of
 
 FETCHED = "url string, status string, html string, etag string, last_modified string, error string"
 AGENT = "folioscope/1 (crawler)"
@@ -38,16 +41,26 @@ def fetch_one(url: str, etag: str | None, last_modified: str | None, get: Get) -
     return url, "ok", body, answer.get("ETag"), answer.get("Last-Modified"), None
 
 
-def fetch_pages(queue: DataFrame, get: Get = http_get, delay: float = 0.5) -> DataFrame:
-    """``FETCHED`` of the queued state rows, ``delay`` seconds apart within a partition."""
+def fetch_pages(queue: DataFrame, get: Get = http_get, delay: float = 0.5, tasks: int | None = None) -> DataFrame:
+    """``FETCHED`` of the queued state rows, those of one host ``delay`` seconds apart.
+
+    Hosts are dealt out over ``tasks``, all of a host to one task, as only that keeps its pages apart. A task takes its hosts
+    in turns, so that it waits only where one host is left.
+    """
+    n = tasks or queue.sparkSession.sparkContext.defaultParallelism
+    asked = queue.select("url", "etag", "last_modified", host_of(F.col("url")).alias("host"))
+    turn = F.row_number().over(Window.partitionBy("host").orderBy("url"))
+    dealt = asked.withColumn("turn", turn).repartition(n, "host").sortWithinPartitions("turn", "host").drop("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, float] = {}
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                time.sleep(delay)
+                time.sleep(max(0.0, ready.get(row["host"], 0.0) - time.monotonic()))
                 rows.append(fetch_one(row["url"], row["etag"], row["last_modified"], get))
+                ready[row["host"]] = time.monotonic() + delay
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], [c.split()[0] for c in FETCHED.split(", ")])
 
-    return queue.select("url", "etag", "last_modified").mapInArrow(run, FETCHED)
+    return dealt.mapInArrow(run, FETCHED)

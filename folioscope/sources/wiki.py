@@ -1,11 +1,12 @@
-"""A paginated web API as a Spark data source: category members and plain texts.
+"""A paginated web API read inside tasks by mapInArrow: category members and plain texts.
 
-Each category, or page, is a partition; the continuation loop runs inside it. Requests go
-through a function from (url, parameters) to decoded JSON, which tests replace.
+The continuation loop of a category runs inside its row's task. Requests go through a function from
+(url, parameters) to decoded JSON, which tests replace.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
 import urllib.parse
@@ -28,6 +29,10 @@ def fetch_json(url: str, parameters: dict, timeout: float = 20.0) -> dict:
         return json.load(answer)
 
 
+#: What a request may raise: no answer, or one that is no JSON.
+FAILED = (OSError, ValueError)
+
+
 def members(api_url: str, category: str, fetch: Fetch) -> Iterator[dict]:
     """The pages and sub-categories of one category, over all continuations."""
     more: dict = {}
@@ -40,15 +45,15 @@ def members(api_url: str, category: str, fetch: Fetch) -> Iterator[dict]:
 
 
 def category_members(categories: DataFrame, fetch: Fetch = fetch_json, delay: float = 0.1) -> DataFrame:
-    """``MEMBERS`` of (source, api_url, category); a category that fails has none."""
+    """``MEMBERS`` of (source, api_url, category); of a category that fails, those read before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                try:
-                    found = list(members(row["api_url"], row["category"], fetch))
-                except OSError:
-                    found = []
+                found: list[dict] = []
+                with contextlib.suppress(*FAILED):
+                    for m in members(row["api_url"], row["category"], fetch):
+                        found.append(m)
                 time.sleep(delay)
                 rows = [(row["source"], row["category"], m.get("ns"), m.get("title", ""), m.get("pageid")) for m in found]
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
@@ -70,7 +75,7 @@ def page_texts(pages: DataFrame, apis: DataFrame, least: int = 300, fetch: Fetch
             for row in batch.to_pylist():
                 try:
                     answer = fetch(row["api_url"], {"action": "query", "prop": "extracts", "explaintext": 1, "pageids": row["pageid"], "format": "json"})
-                except OSError:
+                except FAILED:
                     continue
                 time.sleep(delay)
                 page = answer.get("query", {}).get("pages", {}).get(str(row["pageid"]), {})

@@ -1,11 +1,15 @@
 import hashlib
+import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import crawl, graph
 from folioscope.sources import http, wiki
-from folioscope.streaming.crawl import crawl_round, keep_state, read_fetches
+from folioscope.streaming.crawl import crawl as crawl_all
+from folioscope.streaming.crawl import crawl_round, keep_state, read_fetches, read_state
 
 NOW, LATER = 1000, 100
 HASH = hashlib.sha256(b"<html>content</html>").hexdigest()
@@ -85,14 +89,59 @@ def test_transitions(spark):
     assert (got["none"].status, got["none"].fetched_at, got["none"].error) == ("done", 1, "x")
 
 
+def test_crawl_until_nothing_is_due(spark):
+    s = state(spark, *[row(f"http://h{i % 3}/{i}") for i in range(11)], row("http://h/later", status="done", next_crawl_at=10**12, html="old"))
+    get = lambda url, headers: (500, "", {}) if url.endswith("/7") else (200, url, {})
+    fetch = lambda q: http.fetch_pages(q, get, 0, 3)
+    after = {r.url: r for r in crawl_all(s, fetch, LATER, a_round=4, clock=lambda: NOW).collect()}
+    assert {u: r.status for u, r in after.items()} == {r.url: "error" if r.url.endswith("/7") else "done" for r in s.collect()}
+    assert after["http://h1/4"].html == "http://h1/4" and after["http://h/later"].html == "old"
+    some = crawl_all(s, fetch, LATER, max_documents=5, a_round=3, clock=lambda: NOW)
+    assert some.where("fetched_at is not null").count() == 5 and some.count() == 12
+    assert crawl_all(s.limit(0), fetch, LATER, clock=lambda: NOW).count() == 0
+
+
+def test_hosts_wait_and_are_dealt_out(spark):
+    began = time.monotonic()
+    urls = [f"http://h{i % 4}/{i}" for i in range(12)] + ["no url"]
+
+    def get(url, headers):
+        return 200, f"{time.monotonic()} {os.getpid()}", {}
+
+    rows = http.fetch_pages(state(spark, *map(row, urls)).coalesce(1), get, 0.3, 4).collect()
+    assert sorted(r.url for r in rows) == sorted(urls)
+    times = {}
+    for r in rows:
+        times.setdefault(r.url.rpartition("/")[0], []).append(r.html.split())
+    for own in times.values():
+        at = sorted(float(x[0]) for x in own)
+        assert all(b - a >= 0.29 for a, b in zip(at, at[1:])) and len({x[1] for x in own}) == 1
+    assert len({x[1] for own in times.values() for x in own}) > 1 and time.monotonic() > began
+
+
 def test_stream(spark, tmp_path):
     base, fetched = str(tmp_path / "state"), str(tmp_path / "fetched")
-    state(spark, row("u"), row("v")).write.parquet(f"{base}/v=0")
-    spark.createDataFrame([("u", "ok", "x", None, None, None)], http.FETCHED).write.parquet(fetched)
-    writer = keep_state(read_fetches(spark, fetched), base, str(tmp_path / "cp"), NOW, LATER).trigger(availableNow=True)
-    writer.start().awaitTermination(60)
-    got = {r.url: r.status for r in spark.read.parquet(f"{base}/v=1").collect()}
-    assert got == {"u": "done", "v": "new"}
+    state(spark, row("u"), row("v"), row("w")).write.parquet(f"{base}/state")
+    assert read_state(spark, base).count() == 3
+
+    def add(*results):
+        spark.createDataFrame([(*r, None, None, None) for r in results], http.FETCHED).write.mode("append").parquet(fetched)
+        writer = keep_state(read_fetches(spark, fetched), base, str(tmp_path / "cp"), NOW, LATER).trigger(availableNow=True)
+        writer.start().awaitTermination(60)
+        return {r.url: (r.status, r.html) for r in read_state(spark, base).collect()}
+
+    assert add(("u", "ok", "x")) == {"u": ("done", "x"), "v": ("new", None), "w": ("new", None)}
+    assert add(("u", "ok", "y"), ("w", "ok", "z"), ("other", "ok", "o")) == {"u": ("done", "y"), "v": ("new", None), "w": ("done", "z")}
+    assert spark.read.parquet(f"{base}/changes/round=1").count() == 2  # the pages of the batch alone
+
+
+def test_deep_categories(spark):
+    n = 70
+    edges = [("w", f"C{i}", 14, f"C{i + 1}", None) for i in range(n)] + [("w", f"C{n}", 0, "p", 1)]
+    df = spark.createDataFrame(edges, "source string, parent string, ns int, child string, pageid long")
+    roots = spark.createDataFrame([("w", "C0")], "source string, category string")
+    assert [(r.pageid, r.level) for r in graph.category_pages(roots, df).collect()] == [(1, n)]
+    assert graph.category_pages(roots, df, max_depth=3).count() == 0
 
 
 def test_category_walk(spark):
@@ -112,6 +161,8 @@ def test_wiki_source(spark):
         if p.get("list"):
             if p["cmtitle"] == "bad":
                 raise OSError
+            if p["cmtitle"] == "half" and "cmcontinue" in p:
+                return json.loads("<html>")
             if "cmcontinue" in p:
                 return {"query": {"categorymembers": [{"ns": 0, "title": "t2", "pageid": 2}]}}
             return {"query": {"categorymembers": [{"ns": 14, "title": "c", "pageid": 9}]}, "continue": {"cmcontinue": "x"}}
@@ -120,6 +171,8 @@ def test_wiki_source(spark):
     categories = spark.createDataFrame([("w", "u", "A"), ("w", "u", "bad")], "source string, api_url string, category string")
     found = wiki.category_members(categories, fetch, 0).orderBy("ns").collect()
     assert [(r.ns, r.child, r.pageid) for r in found] == [(0, "t2", 2), (14, "c", 9)]
+    half = wiki.category_members(spark.createDataFrame([("w", "u", "half")], categories.schema), fetch, 0).collect()
+    assert [r.pageid for r in half] == [9]  # what was read before it failed
     pages = spark.createDataFrame([("w", 299), ("w", 300), ("x", 400)], "source string, pageid long")
     apis = spark.createDataFrame([("w", "u")], "source string, api_url string")
     assert [r.pageid for r in wiki.page_texts(pages, apis, fetch=fetch, delay=0).collect()] == [300]

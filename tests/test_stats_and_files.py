@@ -1,8 +1,10 @@
+import json
 import math
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import stats
+from folioscope.functions.text import date_of
+from folioscope.operators import search, stats
 from folioscope.sources import files
 
 RECORDS = ['{"text":"a"}', "not json", '{"text":""}', '{"x":1}', '{"text":null}', "5", "", '{"text":"b\\nc"}']
@@ -28,6 +30,35 @@ def test_pages_list(spark, tmp_path):
     assert files.read_pages_list(spark, str(tmp_path / "q"), array=False).count() == 2
 
 
+def test_pages_array(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"T{i}", None, "s") for i in range(30, 0, -1)], files.PAGES).repartition(3)
+    files.write_pages_array(pages, str(tmp_path / "a"))
+    (part,) = (tmp_path / "a").glob("part-*")
+    assert [x["pageid"] for x in json.loads(part.read_text())] == list(range(1, 31))
+    assert sorted(map(tuple, files.read_pages_list(spark, str(tmp_path / "a")).collect())) == sorted(map(tuple, pages.collect()))
+
+
+def test_first_lines_over_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.tsv").write_text("".join(f"t{k}_{i}\t{0 if i == 3 else i + 1}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.read_freqs(spark, str(tmp_path), max_terms=620)
+        assert {r.term for r in got.collect()} == {f"t0_{i}" for i in range(500) if i != 3} | {f"t1_{i}" for i in range(120) if i != 3}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(3, 1.5)], "docid long, score double")
+    assert search.as_lines(df).first().line == "3\t1.500000"
+    words = spark.createDataFrame([("столы\r",), ("",), ("test",)], "line string")
+    assert [r.stem for r in stats.stem_lines(words).collect()] == ["стол", "", "test"]
+    rates = df.select(stats.per_second(F.col("score"), 0.5).alias("a"), stats.per_second(F.col("score"), 0).alias("b"), date_of(F.lit(86_400)).alias("c"))
+    assert tuple(rates.first()) == (3.0, 0.0, "1970-01-02 00:00:00")
+
+
 def test_lines_end_at_line_feeds(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"a\rb\r\nc\n")
     assert sorted(r.line for r in files.read_lines(spark, str(tmp_path / "c.txt")).collect()) == ["a\rb\r", "c"]
