@@ -13,7 +13,7 @@ from folioscope.functions.urls import normalize_url, seed_url
 from folioscope.operators import corpus, crawl, graph, index, search, stats
 from folioscope.plans.query import all_terms, tree
 from folioscope.sources.files import parse_freqs
-from folioscope.storage import saved
+from folioscope.storage import saved, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,8 +35,12 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
+
+
 def lines_of(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.corpus_lines(corpus.prepare_corpus(read(spark, d, "documents")))
+    return corpus.corpus_lines(corpus.prepare_corpus(documents(spark, d)))
 
 
 def numbered_of(spark: SparkSession, d: str) -> DataFrame:
@@ -272,18 +276,18 @@ def golden_search(spark, d):
 
 @query("term_freqs", FREQS + " SELECT term, cnt FROM fr WHERE length(term) >= 1")
 def term_freqs(spark, d):
-    return stats.term_freqs(read(spark, d, "documents"))
+    return stats.term_freqs(documents(spark, d))
 
 
 @query("freq_tokens", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{FREQ}')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND text <> ''")
 def freq_tokens(spark, d):
-    docs = read(spark, d, "documents").where("text is not null and text <> ''")
+    docs = documents(spark, d).where("text is not null and text <> ''")
     return docs.select("doc_id", F.size(frequency_tokens(F.col("text"), split_hyphen=False)).cast("long").alias("n"))
 
 
 @query("freq_min_len", FREQS + " SELECT term, cnt FROM fr WHERE length(term) >= 4")
 def freq_min_len(spark, d):
-    return stats.term_freqs(read(spark, d, "documents"), min_len=4)
+    return stats.term_freqs(documents(spark, d), min_len=4)
 
 
 @query(
@@ -293,17 +297,17 @@ def freq_min_len(spark, d):
 SELECT n_docs, n_bytes, round(n_bytes / 1024, 6) AS n_kb, (SELECT CAST(sum(cnt) AS BIGINT) FROM fr) AS n_tokens, round((SELECT avg(length(term)) FROM ft), 6) AS avg_len FROM dd""",
 )
 def corpus_stats(spark, d):
-    return stats.corpus_stats(read(spark, d, "documents")).withColumns({"n_kb": F.round("n_kb", 6), "avg_len": F.round("avg_len", 6)})
+    return stats.corpus_stats(documents(spark, d)).withColumns({"n_kb": F.round("n_kb", 6), "avg_len": F.round("avg_len", 6)})
 
 
 @query("lemma_sample", FREQS.replace("AND text <> ''", "AND text <> '' AND doc_id IN (SELECT doc_id FROM documents WHERE text <> '' ORDER BY doc_id LIMIT 500)") + " SELECT term, cnt FROM fr")
 def lemma_sample(spark, d):
-    return stats.sample_freqs(read(spark, d, "documents"), 500)
+    return stats.sample_freqs(documents(spark, d), 500)
 
 
 @query("stem_freqs", FREQS + " SELECT term AS stem, cnt FROM fr")
 def stem_freqs(spark, d):
-    return stats.stem_freqs(read(spark, d, "documents"))
+    return stats.stem_freqs(documents(spark, d))
 
 
 STEMS = dict(
@@ -326,13 +330,13 @@ ft2 AS (SELECT count(*) AS m, regr_slope(ln(cnt), ln(rank)) AS b, regr_intercept
 
 @query("zipf_fit", f"{FREQS}{ZIPF} SELECT round(a, 6) AS log_c, round(-b, 6) AS s, m AS fit_points FROM ft2")
 def zipf_fit(spark, d):
-    fit = stats.zipf_fit(stats.ranked_freqs(stats.term_freqs(read(spark, d, "documents"))))
+    fit = stats.zipf_fit(stats.ranked_freqs(stats.term_freqs(documents(spark, d))))
     return fit.select(F.round("log_c", 6).alias("log_c"), F.round("s", 6).alias("s"), "fit_points")
 
 
 @query("zipf_curve", f"{FREQS}{ZIPF} SELECT rank, term, cnt, round(ln(rank), 6) AS log_r, round(ln(cnt), 6) AS log_f, round(a + b * ln(rank), 5) AS zipf FROM rk, ft2")
 def zipf_curve(spark, d):
-    curve = stats.zipf_curve(stats.ranked_freqs(stats.term_freqs(read(spark, d, "documents"))))
+    curve = stats.zipf_curve(stats.ranked_freqs(stats.term_freqs(documents(spark, d))))
     return curve.withColumns({"log_r": F.round("log_r", 6), "log_f": F.round("log_f", 6), "zipf": F.round("zipf", 5)})
 
 
