@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.storage import saved, spread, work_dir
+
+__all__ = ["held_out", "read", "saved", "small", "training_rows", "training_texts", "work_dir"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs inside one process (tests), a temporary folder is set.
-    On a cluster an unset folder is an error, as a machine-local folder would lose files.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-        base = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut of lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table; one in fewer splits than there are cores is dealt out to them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def held_out(doc_id: Column) -> Column:

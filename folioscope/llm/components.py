@@ -24,19 +24,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars already: no node has two centres, and no centre has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return each.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has a link.
 
-    Alternates large-star and small-star rounds until nothing changes; their number grows with
-    the logarithm of the longest chain. Each round is written to the shared folder, which cuts
-    lineage; only a count and a checksum come to the driver.
+    Alternates large-star and small-star rounds until each node is linked to its smallest alone; their number
+    grows with the logarithm of the longest chain. Each round is written to the shared folder,
+    which cuts lineage; one truth value a round comes to the driver. Links to itself or null do not count, repeated ones
+    count once, and no links give no rows.
     """
-    edges = saved(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")), "links")
-    before = None
-    while True:
+    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
+    edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _settled(edges):
         edges = saved(_star(_star(edges, True), False), "star")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -8,6 +8,7 @@ documents agree in a slot if they share these k-mers in the same order.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,31 +128,53 @@ def range_number(doc_id: Column, cuts: list[int]) -> Column:
     return block + count(F.slice(ids(cuts), block + 1, step))
 
 
+def quantile_cuts(docs: DataFrame, n: int, rows_per_range: int, max_ranges: int) -> tuple[list[int], dict[int, int]]:
+    """(ascending cuts of doc_id, how many ranges' rows each crowded id has) for ``n`` rows with ids."""
+    n_ranges = max(1, min(-(-n // rows_per_range), max_ranges))
+    at = [i / n_ranges for i in range(1, n_ranges)]
+    found = Counter(int(x) for x in docs.stat.approxQuantile("doc_id", at, 0.2 / n_ranges)) if at else Counter()
+    return sorted(found), {x: k + 1 for x, k in found.items() if k > 1}
+
+
+def with_slices(docs: DataFrame, crowded: dict[int, int], null_slices: int) -> DataFrame:
+    """``docs`` with slice: of a crowded id, or of rows without one, the slice of the range of its text's hash, from 1 on; 0 for others."""
+    place = F.shiftright("salt", 33).cast("double") / float(2**31) + 0.5  # 0 to 1, in order of salt
+    out = F.when(F.col("doc_id").isNull(), 1 + F.floor(place * null_slices))
+    if crowded:
+        slices = docs.sparkSession.createDataFrame(list(crowded.items()), "crowded long, slices int")
+        found = F.broadcast(slices)  # one for two ranges at most
+        docs = docs.join(found, F.col("doc_id") == F.col("crowded"), "left")
+        out = out.when(F.col("slices").isNotNull(), 1 + F.floor(place * F.col("slices")))
+    return docs.withColumn("slice", out.otherwise(0).cast("int")).select("doc_id", "salt", "text", "slice")
+
+
 def fingerprints(docs: DataFrame, rows_per_range: int = 1_000, max_ranges: int = 65_536) -> DataFrame:
     """``COLUMNS`` for each row of ``docs``: doc_id, text; the next document is the one of next smaller id.
 
-    Rows are dealt to ranges of doc_id by quantiles. Each range borrows the first row of the next
+    Rows are dealt to ranges of doc_id by quantiles, and those of an id that fills several ranges, or of none, to slices of
+    their text's hash. Each range borrows the first row of the next
     one, and the last range borrows the first row of all, so that only a row a range is moved
     twice. Null and empty texts have no characters and the fingerprint of texts without words.
-    Rows of equal id are in order of their text, so repeated rows follow each other; null ids
-    come last. A table of one row is its own next document; an empty table gives none.
+    Rows of equal id are in order of their text's hash, so repeated rows follow each other; null ids
+    come last. A very long text is one row's work. A table of one row is its own next document; an empty table gives
+    none. Other columns, whatever their names, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.agg(F.count(F.lit(1))).first()[0]
-    n_ranges = max(1, min(-(-n // rows_per_range), max_ranges))
-    at = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", at, 0.2 / n_ranges)}) if at else []
-    # Counted from the largest ids down; null ids have a range of their own at the end.
+    n, n_ids = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    cuts, crowded = quantile_cuts(docs, n_ids, rows_per_range, max_ranges)
+    null_slices = max(1, min(-(-(n - n_ids) // rows_per_range), max_ranges))
+    # Counted from the largest ids down; null ids have ranges of their own at the end.
     number = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(-range_number(F.col("doc_id"), cuts))
-    own = docs.withColumn("range", number.cast("int"))
+    own = with_slices(docs.withColumn("salt", F.xxhash64("text")), crowded, null_slices)
+    own = own.withColumn("range", F.struct(number.cast("int").alias("r"), "slice")).drop("slice")
     down = Window.orderBy("range")
     heads = own.groupBy("range").agg(F.max("doc_id").alias("top"))
     to = F.coalesce(F.lag("range").over(down), F.max("range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # One row for each range, of max_ranges at most.
-    heads = saved(heads.select("top", F.col("range").alias("r"), to.alias("to")), "heads")
-    firsts = own.join(F.broadcast(heads), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    firsts = firsts.groupBy("to").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    borrowed = firsts.select(F.col("to").alias("range"), F.lit(True).alias("borrowed"), "doc_id", "text")
-    rows = own.select("range", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(borrowed)
-    dealt = rows.repartition("range").sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(along, COLUMNS)
+    # One row for each range and slice, of max_ranges three times at most.
+    heads = saved(heads.select("top", F.col("range").alias("head"), to.alias("to")), "heads")
+    firsts = own.join(F.broadcast(heads), (F.col("range") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    firsts = firsts.groupBy("to").agg(F.max("doc_id").alias("doc_id"), F.min(F.struct("salt", "text")).alias("x"))
+    borrowed = firsts.select(F.col("to").alias("range"), F.lit(True).alias("borrowed"), "doc_id", "x.salt", "x.text")
+    rows = own.select("range", F.lit(False).alias("borrowed"), "doc_id", "salt", "text").unionByName(borrowed)
+    dealt = rows.repartition("range").sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), "salt", "text")
+    return dealt.select(F.col("range.r").alias("range"), "borrowed", "doc_id", "text").mapInArrow(along, COLUMNS)

@@ -27,6 +27,8 @@ from folioscope.llm.words import BASE, Words, distinct, lower_ascii, mix, pieces
 
 BINS, BAND = 128, 4
 TRIES = 512
+#: Members of a star that meet one copy of its hub's set.
+MEMBERS = 256
 #: Shingles of a block in the comparison of what the stars leave apart.
 BLOCK = 1 << 17
 
@@ -128,9 +130,20 @@ def shingle_table(ids: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -
     return saved(own.mapInArrow(full_sets(k), "doc_id long, shingles array<long>"), "sets")
 
 
-def confirmed(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (hub, rep) of ``star`` with den * shared >= num * united on their full sets."""
-    met = star.join(sets.toDF("hub", "x"), "hub").join(sets.toDF("rep", "y"), "rep").withColumn("shared", F.size(F.array_intersect("x", "y")))
+def in_blocks(star: DataFrame, broadcast_ids: int) -> tuple[DataFrame, DataFrame]:
+    """(``star`` with block, (hub, block) of each hub): stars of many members are dealt out, ``MEMBERS`` to a block."""
+    sizes = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    large = small(saved(sizes.where("blocks > 1"), "large-stars"), broadcast_ids)
+    dealt = star.join(large, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.lit(0)))
+    hubs = star.select("hub").distinct().join(large, "hub", "left")
+    return dealt.drop("blocks"), hubs.select("hub", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+
+
+def confirmed(star: DataFrame, sets: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
+    """The (hub, rep) of ``star`` with den * shared >= num * united on their full sets; a hub's set goes to each of its blocks."""
+    dealt, hubs = in_blocks(star, broadcast_ids)
+    hubs = sets.toDF("hub", "x").join(hubs, "hub")
+    met = dealt.join(sets.toDF("rep", "y"), "rep").join(hubs, ["hub", "block"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
     united = F.size("x") + F.size("y") - F.col("shared")
     return met.where(F.lit(den) * F.col("shared") >= F.lit(num) * united).select("hub", "rep").distinct()
 
@@ -163,7 +176,7 @@ def compare_blocks(num: int, den: int):
     return run
 
 
-def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
     """Links (hub, rep) between members of a star that confirmation left in different components.
 
     Documents that share a bucket share its hub, so any pair of a bucket is a pair of a star. In
@@ -173,12 +186,13 @@ def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int)
     own = star.union(star.select("hub", "hub").distinct()).join(comps, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
     per = own.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = per.groupBy("hub").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    met = own.join(mixed.select("hub", F.col("top.comp").alias("main")), "hub").join(sets.withColumn("n", F.size("shingles")), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    mixed = small(saved(mixed.select("hub", F.col("top.comp").alias("main")), "mixed-stars"), broadcast_ids)
+    met = own.join(mixed, "hub").join(sets.withColumn("n", F.size("shingles")), F.col("rep") == F.col("doc_id")).drop("doc_id")
     met = saved(met.dropDuplicates(["hub", "rep"]), "residual")
     outside = F.col("comp") != F.col("main")
     blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(1)) / BLOCK).cast("int")
     sizes = met.groupBy("hub").agg(blocks(F.when(outside, F.col("n"))).alias("lefts"), blocks(F.col("n")).alias("rights"))
-    met = met.join(sizes, "hub")
+    met = met.join(small(saved(sizes, "star-sizes"), broadcast_ids), "hub")
     spread = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cols, key = ["hub", "i", "j", "rep", "comp", "shingles"], ["hub", "i", "j"]
@@ -214,8 +228,8 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     hubs = ranked.groupBy("band").agg((-F.max("rank")["r"]).alias("hub"))
     star = saved(ranked.join(hubs, "band").where("rep != hub").select("hub", "rep").distinct(), "stars")
     sets = shingle_table(star.select(F.col("rep").alias("doc_id")).union(star.select("hub")), docs, k, broadcast_ids)
-    links = saved(confirmed(star, sets, num, den), "confirmed")
-    links = links.union(rest(star, sets, components(links, "hub", "rep"), num, den))
+    links = saved(confirmed(star, sets, num, den, broadcast_ids), "confirmed")
+    links = links.union(rest(star, sets, components(links, "hub", "rep"), num, den, broadcast_ids))
     # Rows of one id with different texts tie their representatives together.
     tied = some.join(reps.select(*key, "rep"), key).groupBy("doc_id").agg(F.min("rep").alias("hub"), F.max("rep").alias("rep"))
     comps = components(links.union(tied.where("hub != rep").select("hub", "rep")), "hub", "rep")

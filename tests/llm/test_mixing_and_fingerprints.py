@@ -115,7 +115,7 @@ def test_pareto_sample_against_plain_rules(spark, mixable):
     for pairs in rates.values():
         copies, share = np.array(pairs).T
         assert abs(copies.mean() - share.mean()) < (0.08 if len(pairs) > 400 else 0.5)
-    assert len({s for pairs in rates.values() for _, s in pairs}) > 15
+    assert len({s for pairs in rates.values() for _, s in pairs}) > 10  # shares differ by weight and size
 
 
 def test_cells_change_no_sum(mixable, monkeypatch):
@@ -158,6 +158,65 @@ def test_odd_fingerprints(spark):
     assert fp.fingerprints(df.limit(0)).count() == 0
 
 
+def plain_order_minhash(words):
+    """The slots of a list of words, number by number, from the definition alone."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    base, tool = 0x9E3779B97F4A7C15, Words()
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    h = [int(tool.hashes(w, np.array([0]), np.array([len(w)]))[0]) for w in raw]
+    grams = [mixed((a * base + b) & whole) for a, b in zip(h, h[1:])] if len(h) > 1 else h
+    seen, numbered = {}, []
+    for g in grams:  # each k-mer with its occurrence number
+        numbered.append(mixed((g + seen.get(g, 0) * base) & whole))
+        seen[g] = seen.get(g, 0) + 1
+    slots = []
+    for k in range(1, fp.SLOTS + 1):
+        seed = mixed(k * base & whole)
+
+        def rank(i, seed=seed):
+            x = ((numbered[i] ^ seed) * base) & whole
+            return ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & whole, i
+
+        acc = seed
+        for i in sorted(sorted(range(len(numbered)), key=rank)[: fp.KEEP]):  # the smallest, in text order
+            acc = mixed((acc * base + numbered[i]) & whole)
+        slots.append(acc & 0xFFFFFFFF)
+    return slots
+
+
+def test_order_minhash_against_plain_one():
+    rnd = random.Random(12)
+    for n in (1, 2, 3, 10, 60):
+        words = [rnd.choice("a b c dd the house".split()) for _ in range(n)]
+        assert fp.fingerprint("  ".join(words), Words()).tolist() == plain_order_minhash(words)
+    assert not len(fp.fingerprint(" \n", Words()))
+
+
+@pytest.mark.parametrize("rows_per_range", [1, 5])
+def test_crowded_and_null_ids_are_sliced(spark, rows_per_range):
+    """A third of the rows have one id and a third none; rows are in order of id downwards and of the text's hash."""
+    rnd = random.Random(4)
+    rows = [(i % 40 * 3, " ".join(rnd.choice("abcdef") for _ in range(9)), "x", 1) for i in range(40)]
+    rows += [(60, f"crowd {i} {i * i}", "x", 1) for i in range(40)] + [(None, f"none {i}", "x", 1) for i in range(40)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    order = df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    order = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h), r.text) for r in order)
+    _, crowded = fp.quantile_cuts(df, 80, rows_per_range, 1000)
+    assert crowded[60] == max(crowded.values()) >= 20 // rows_per_range
+    expected = []
+    for (_, text), (_, following) in zip(order, order[1:] + order[:1]):
+        expected.append(hashlib.sha256(fp.edited(text, following).encode()).hexdigest())
+    got = fp.fingerprints(df.withColumn("salt", F.lit(1)).withColumn("range", F.lit(2)), rows_per_range=rows_per_range).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(expected)
+
+
 def test_slots_by_definition():
     rnd = np.random.default_rng(2)
     h = rnd.integers(0, 50, 300).astype(np.uint64)

@@ -105,6 +105,20 @@ def test_densified_slots_agree_as_sets_do():
     assert abs(np.mean(errors)) < 0.02
 
 
+def test_large_stars_are_dealt_out(spark, monkeypatch):
+    """Copies of one text with a word of their own: their hub's set meets them block by block."""
+    monkeypatch.setattr(nd, "MEMBERS", 4)
+    rows = [(i, " ".join(f"w{j}" if j != i % 50 else f"own{i}" for j in range(60))) for i in range(60)] + [(100, "something else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (1_000_000, 0):
+        got = {r.doc_id: r.component_id for r in nd.near_components(docs, broadcast_ids=bound).collect()}
+        assert got == {i: 100 if i == 100 else 0 for i in got} and len(got) == 61
+    star = spark.createDataFrame([(1, i) for i in range(2, 42)] + [(50, 51)], "hub long, rep long")
+    dealt, hubs = nd.in_blocks(star, 100)
+    assert dealt.count() == 41 and dealt.groupBy("hub", "block").count().agg({"count": "max"}).first()[0] < 12
+    assert sorted(map(tuple, hubs.collect())) == [(1, i) for i in range(10)] + [(50, 0)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(1000, 1064)]
     star = [(5, i) for i in range(10, 60)]
