@@ -9,9 +9,11 @@ on its own if a read fails. Payloads go to Spark in Arrow batches of bounded byt
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -114,6 +116,9 @@ class ArchiveWriter:
             self.out.write(struct.pack(END64_AT, b"PK\6\7", 0, end64, 1))
         self.out.write(struct.pack(END, b"PK\5\6", 0, 0, min(self.n, 0xFFFF), min(self.n, 0xFFFF), min(len(central), LIMIT32), min(self.at, LIMIT32), 0))
         self.out.close()
+        # A task that is run again finds its first run's archive, of the same rows; not every store replaces a file by a move.
+        if self.files.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.files.delete_file(self.path)
         self.files.move(self.temp, self.path)
 
 
@@ -186,10 +191,14 @@ def members(f, size: int, start: int, end: int) -> Iterator[tuple[str, int, int,
             yield name, where, stored, crc
 
 
-def read_member(open_file: Callable, f, where: int, length: int, crc: int, retries: int):
-    """(file, bytes) of the member at ``where``; each member has its own retries, from its own offset, on a new handle."""
-    for left in range(retries, -1, -1):
+def read_member(open_file: Callable, f, where: int, length: int, crc: int, retries: int, pause: float = 0.2):
+    """(file, bytes) of the member at ``where``; each member has its own retries, from its own offset, on a new handle.
+
+    ``f`` may be None, as after an error; opening counts as a part of the try. The n-th retry waits n times ``pause`` seconds.
+    """
+    for n in range(retries + 1):
         try:
+            f = open_file() if f is None else f
             f.seek(where)
             head = struct.unpack(LOCAL, f.read(struct.calcsize(LOCAL)))
             f.seek(where + struct.calcsize(LOCAL) + head[9] + head[10])
@@ -198,9 +207,13 @@ def read_member(open_file: Callable, f, where: int, length: int, crc: int, retri
                 raise OSError(f"member at {where} is damaged")
             return f, data
         except (OSError, struct.error):
-            if not left:
+            if f is not None:
+                with contextlib.suppress(OSError):
+                    f.close()
+            f = None
+            if n == retries:
                 raise
-            f = open_file()
+            time.sleep(pause * (n + 1))
     raise AssertionError
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zipfile
 import zlib
 
@@ -49,22 +50,44 @@ def test_members_are_tried_again_by_offset(tmp_path):
     found = list(media.members(f, size, 0, size))
     assert [m[0] for m in found] == ["0/1.png", "1/2.png"]
 
+    opened, closed = [], []
+
     class Broken:
         def seek(self, at):
             raise OSError("lost")
 
-    opened = []
+        def close(self):
+            closed.append(1)
 
     def again():
         opened.append(1)
+        if len(opened) == 1:
+            raise OSError("not now")  # opening is tried again too
         return files.open_input_file(f"{root}/a.zip")
 
-    assert media.read_member(again, Broken(), *found[1][1:], retries=2)[1] == b"second" and len(opened) == 1
+    assert media.read_member(again, Broken(), *found[1][1:], retries=2, pause=0)[1] == b"second" and (len(opened), len(closed)) == (2, 1)
     with pytest.raises(OSError):
-        media.read_member(Broken, Broken(), *found[1][1:], retries=2)
+        media.read_member(Broken, Broken(), *found[1][1:], retries=2, pause=0)
+    assert len(closed) == 4  # every handle that failed
+    again_written = media.ArchiveWriter(files, f"{root}/a.zip")
+    again_written.add("0/9.png", b"anew")
+    again_written.close()
+    assert zipfile.ZipFile(tmp_path / "a.zip").namelist() == ["0/9.png"]
     assert isinstance(files, pafs.LocalFileSystem)
 
 
+@pytest.mark.parametrize("payload", [bytes(64), bytes(range(64)), b"the house " * 32])
+def test_features_against_plain_ones(payload):
+    n = len(payload)
+    mean = sum(payload) / n
+    shares = [payload.count(b) / n for b in range(256)]
+    deviation = math.sqrt(sum((b - mean) ** 2 for b in payload) / n)
+    bits = -sum(p * math.log2(p) for p in shares if p)
+    mode = max(range(256), key=lambda b: (shares[b], -b))
+    got = dict(x.split("=") for x in media.features(payload).split(";"))
+    assert [float(got[k]) for k in ("mean", "sd", "bits")] == pytest.approx([mean, deviation, bits], abs=1e-4) and int(got["mode"]) == mode
+
+
 def test_damage_is_found():
     png = media.encode_png(media.pad(b"abc"), 3)
     assert media.decode_png(png) == (media.pad(b"abc"), 3)
