@@ -21,7 +21,7 @@ from folioscope.llm.words import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task remembers between batches.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 PART = 1 << 20
 LONE_BYTE = re.compile("[\udc80-\udcff]")
 

@@ -178,7 +178,9 @@ def without_copies(train: DataFrame) -> DataFrame:
     each = rows.select("h", F.explode("keys").alias("k"))
     hubs = each.groupBy("k").agg(F.min("h").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "hub")
     met = each.join(F.broadcast(hubs), "k").where("h != hub").select("h", "hub").distinct()  # at most three hubs for two rows
-    sets = rows.select("h", "shingles")
+    met = saved(met, "training-copies")
+    ids = met.select("h").union(met.select("hub")).distinct()
+    sets = rows.select("h", "shingles").join(F.broadcast(ids), "h", "left_semi")  # ids of training rows, which are bounded
     both = met.join(sets.toDF("h", "a"), "h").join(sets.toDF("hub", "b"), "hub").withColumn("shared", F.size(F.array_intersect("a", "b")))
     gone = both.where(2 * F.col("shared") >= F.size("a") + F.size("b") - F.col("shared")).select("h").distinct()
     return rows.join(gone, "h", "left_anti").select("y", "text")
@@ -187,9 +189,23 @@ def without_copies(train: DataFrame) -> DataFrame:
 COUNTS = ("toxic", "clean", "toxic_twice", "clean_twice")
 
 
+#: Prefixes that a task counts before it hands its counts on and begins anew.
+PREFIXES = 50_000
+
+
 def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow on (y, text): in how many documents of each class words begin with each prefix, once and twice."""
+    """For mapInArrow on (y, text): in how many documents of each class words begin with each prefix, once and twice.
+
+    A prefix may come several times, with counts to be summed.
+    """
     counts: dict[str, list[int]] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        columns = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4)]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *columns], ["prefix", *COUNTS])
+        counts.clear()
+        return batch
+
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = Counter(FRAGMENT.findall(normal(text or "")))
@@ -201,10 +217,9 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 c = counts.setdefault(p, [0, 0, 0, 0])
                 c[1 - y] += 1
                 c[3 - y] += times > 1
-    items = list(counts.items())
-    for i in range(0, len(items), 50_000):
-        part = items[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), *[pa.array([c[k] for _, c in part], pa.int64()) for k in range(4)]], ["prefix", *COUNTS])
+            if len(counts) >= PREFIXES:
+                yield handed_on()
+    yield handed_on()
 
 
 def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float) -> list[str]:
