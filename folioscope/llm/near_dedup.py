@@ -229,10 +229,12 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     star = saved(ranked.join(hubs, "band").where("rep != hub").select("hub", "rep").distinct(), "stars")
     sets = shingle_table(star.select(F.col("rep").alias("doc_id")).union(star.select("hub")), docs, k, broadcast_ids)
     links = saved(confirmed(star, sets, num, den, broadcast_ids), "confirmed")
-    links = links.union(rest(star, sets, components(links, "hub", "rep"), num, den, broadcast_ids))
+    comps = components(links, "hub", "rep", broadcast_ids)
+    # Components found so far are stars of few rounds; what is found beside them ties some together.
+    links = comps.toDF("rep", "hub").select("hub", "rep").union(rest(star, sets, comps, num, den, broadcast_ids))
     # Rows of one id with different texts tie their representatives together.
     tied = some.join(reps.select(*key, "rep"), key).groupBy("doc_id").agg(F.min("rep").alias("hub"), F.max("rep").alias("rep"))
-    comps = components(links.union(tied.where("hub != rep").select("hub", "rep")), "hub", "rep")
+    comps = components(links.union(tied.where("hub != rep").select("hub", "rep")), "hub", "rep", broadcast_ids)
     groups = reps.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     groups = groups.withColumnsRenamed({"n": "n_", "k1": "k1_", "k2": "k2_"})
     out = rows.select("doc_id", *key).join(groups, (F.col("n") == F.col("n_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & F.col("doc_id").isNotNull(), "left")
