@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import encode, fingerprints, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts, toxicity
+from folioscope.llm import encode, fingerprints, lexical, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts, toxicity
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_repeats": repeats.DOCUMENTS_SQL,
     "op6_near_dedup": near_dedup.DOCUMENTS_SQL,
     "op8_source_mix": mixing.DOCUMENTS_SQL,
+    "op11_lexical_search": lexical.DOCUMENTS_SQL,
 }
