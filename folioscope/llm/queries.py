@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import encode, fingerprints, lexical, line_dedup, media, mixing, near_dedup, quality, repeats, token_counts, toxicity
+from folioscope.llm import collocations, encode, fingerprints, lexical, line_dedup, media, mixing, near_dedup, passages, quality, repeats, token_counts, toxicity
 from folioscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.kept_digests(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_passages": op12_passages,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": near_dedup.DOCUMENTS_SQL,
     "op8_source_mix": mixing.DOCUMENTS_SQL,
     "op11_lexical_search": lexical.DOCUMENTS_SQL,
+    "op12_passages": passages.DOCUMENTS_SQL,
+    "op13_collocations": collocations.DOCUMENTS_SQL,
 }
