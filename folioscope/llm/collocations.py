@@ -9,6 +9,7 @@ place, and so emits each phrase from one pivot only, with its whole count.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import saved, small
 from folioscope.llm.passages import batch_of
 from folioscope.llm.tokens import Splitter, bytes_table
+from folioscope.llm.words import mix
 
 #: Longest phrase, in words.
 LONGEST = 4
@@ -37,6 +39,11 @@ NAMELESS = 1 << 62
 WORDS = "lang string, word string, hash long, n long"
 
 
+def of_lang(hashes: np.ndarray, lang: str) -> np.ndarray:
+    """Hashes of words as those of a language's words: equal words of two languages differ."""
+    return mix(hashes ^ np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")))
+
+
 def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
     """(lang, texts) of a batch's rows."""
     langs = batch.column(0).dictionary_encode()
@@ -53,7 +60,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes, at, n = np.unique(run.hash, return_index=True, return_counts=True)
                 if len(hashes):
                     words = pa.array(run.words(at), pa.binary()).cast(pa.string())
-                    columns = [pa.array([lang] * len(hashes)), words, pa.array(hashes.view(np.int64)), pa.array(n)]
+                    columns = [pa.array([lang] * len(hashes)), words, pa.array(of_lang(hashes, lang).view(np.int64)), pa.array(n)]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "hash", "n"])
 
 
@@ -63,31 +70,26 @@ class Numbers:
     ``complete`` if those are all; else an unknown word may be frequent, and stands as ``NAMELESS`` with its hash.
     """
 
-    def __init__(self, words: pa.Table, complete: bool):
-        lang = words.column("lang").combine_chunks().dictionary_encode()
-        self.langs = {name: i for i, name in enumerate(lang.dictionary.to_pylist())}
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, complete: bool):
         self.complete = complete
-        own = words.column("hash").to_numpy().view(np.uint64)
-        n = words.column("n").to_numpy()
-        self.number = np.lexsort((own, lang.indices.to_numpy(), -n))
-        self.n = n[self.number]
-        places = np.empty(len(n), np.int64)
-        places[self.number] = np.arange(len(n))
-        of = lang.indices.to_numpy()
-        self.tables = {}
-        for name, i in self.langs.items():
-            at = np.flatnonzero(of == i)
-            at = at[np.argsort(own[at])]
-            self.tables[name] = own[at], places[at]
+        hashes = hashes.view(np.uint64)
+        rank = np.lexsort((hashes, -n))
+        #: How often the word of each number stands in its language.
+        self.n = n[rank]
+        #: The number of each of ``hashes``.
+        self.number = np.empty(len(n), np.int64)
+        self.number[rank] = np.arange(len(n))
+        order = np.argsort(hashes)
+        self.known, self.of_known = hashes[order], self.number[order]
 
     def find(self, lang: str, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words, -1 for those that are not frequent."""
-        known, numbers = self.tables.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        hashes = of_lang(hashes, lang)
         none = np.full(len(hashes), -1) if self.complete else (NAMELESS | (hashes >> np.uint64(2)).astype(np.int64))
-        if not len(known):
+        if not len(self.known):
             return none
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, numbers[at], none)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.of_known[at], none)
 
 
 def nameless(hash_: Column) -> Column:
@@ -279,12 +281,10 @@ def frequent_words(texts: DataFrame, least: int, max_words: int) -> tuple[DataFr
     often = words.where(F.col("n") >= least)
     complete = often.count() <= max_words
     told = often if complete else often.orderBy(F.desc("n"), "lang", "word").limit(max_words)
-    told = told.select("lang", "hash", "n").toArrow()
-    numbers = Numbers(told, complete)
-    ids = np.empty(len(told), np.int64)
-    ids[numbers.number] = np.arange(len(told))
-    named = spark.createDataFrame(pa.table({"lang": told.column("lang"), "hash": told.column("hash"), "id": ids}))
-    own = often.join(F.broadcast(named) if len(told) <= 100_000 else named, ["lang", "hash"], "left")
+    told = told.select("hash", "n").toArrow()
+    numbers = Numbers(told.column("hash").to_numpy(), told.column("n").to_numpy(), complete)
+    named = spark.createDataFrame(pa.table({"hash": told.column("hash"), "id": numbers.number}))
+    own = often.join(F.broadcast(named) if len(told) <= 100_000 else named, "hash", "left")
     own = own.select("lang", "word", F.coalesce("id", nameless(F.col("hash"))).alias("id"), F.col("n").alias("f"))
     return saved(own, "named"), words.groupBy("lang").agg(F.sum("n").alias("n")), numbers
 
@@ -343,7 +343,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
 DOCUMENTS_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[.,;:!?
--]') AS p FROM documents),
+-
+]') AS p FROM documents),
 x AS (SELECT lang, regexp_extract_all(unnest(p), '[^ 	]+') AS w FROM d),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
       FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM x, (SELECT unnest([1, 2, 3, 4]) AS k))),
