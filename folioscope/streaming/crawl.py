@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from folioscope.operators.crawl import COLUMNS, STATE, queue, transition
 from folioscope.operators.stats import first_of
 from folioscope.sources.http import FETCHED
+from folioscope.sources.store import manifest, read_store, upsert
 from folioscope.storage import saved, work_dir
 
 
@@ -85,3 +86,23 @@ def crawl(state: DataFrame, fetch, interval: int, max_documents: int | None = No
         changes = spark.read.schema(f"{STATE}, round long").parquet(folder)
         done, number = done + n, number + 1
     return latest(state, changes)
+
+
+def crawl_store(spark: SparkSession, path: str, fetch, interval: int, max_documents: int | None = None, a_round: int = 10_000, clock: Callable[[], int] = lambda: int(time.time())) -> int:
+    """``crawl`` over the document store at ``path``, each round a version of it; the number of pages fetched is returned.
+
+    What is due is told from the columns that say so; pages are read whole for the round's URLs alone. A crawl that stops goes
+    on from the last whole round.
+    """
+    done = 0
+    while max_documents is None or done < max_documents:
+        now, base = clock(), manifest(path).version
+        limit = a_round if max_documents is None else min(a_round, max_documents - done)
+        due = saved(queue(read_store(spark, path, base, ["url", "status", "next_crawl_at"]), now, limit), "queue")
+        n = due.count()
+        if not n:
+            break
+        asked = saved(read_store(spark, path, base).join(F.broadcast(due.select("url")) if n <= 100_000 else due.select("url"), "url", "left_semi"), "asked")
+        upsert(transition(asked, saved(fetch(asked), "fetched"), now, interval), path, base=base)
+        done += n
+    return done
