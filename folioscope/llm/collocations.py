@@ -334,8 +334,11 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
     spelled = kept.select("*", F.posexplode(F.array(*IDS)).alias("at", "id")).where("id >= 0").join(small(words.select("id", "lang", "word"), 200_000), "id")
     each = [F.max(F.when(F.col("at") == i, F.col("word"))) for i in range(LONGEST)]
     named = spelled.groupBy(*IDS, "f", "score", "l", "r").agg(F.min("lang").alias("lang"), F.concat_ws(" ", *each).alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
-    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # First in 64 shares of a language's phrases, as one language may have most of all.
+    order = [F.desc("score"), F.desc("f"), "phrase"]
+    shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    ranked = named.withColumn("rank", F.row_number().over(shares.orderBy(*order))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
 
 
