@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 import time
 
 import pytest
@@ -135,6 +136,43 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{base}/changes/round=1").count() == 2  # the pages of the batch alone
 
 
+@pytest.mark.parametrize("shallow", [0, 3, 12])
+def test_levels_against_a_plain_walk(spark, shallow):
+    rnd = random.Random(shallow)
+    edges = [(f"r{i}", f"r{i + 1}") for i in range(9)] + [("r9", "r4")]  # a ring behind a tail
+    edges += [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("c20", "c35"), ("c3", "x0"), ("x5", "c30"), ("alone", "alone")]
+    edges += [(f"x{rnd.randrange(30)}", f"x{rnd.randrange(30)}") for _ in range(45)]
+    roots = ["r0", "c0", "x1", "alone", "nowhere"]
+    level, front = dict.fromkeys(roots, 0), roots
+    while front:
+        front = sorted({b for a, b in edges if a in front} - set(level))
+        level |= dict.fromkeys(front, max(level.values()) + 1)
+    steps = spark.createDataFrame([("w", a, b) for a, b in edges + edges[:3]], "source string, category string, next string")
+    asked = spark.createDataFrame([("w", r) for r in roots + roots], "source string, category string")
+    got = graph.category_levels(asked, steps, shallow=shallow).collect()
+    assert sorted((r.category, r.level) for r in got) == sorted(level.items())
+    some = graph.category_levels(asked, steps, max_depth=7, shallow=shallow).collect()
+    assert sorted((r.category, r.level) for r in some) == sorted((c, n) for c, n in level.items() if n <= 7)
+
+
+def test_a_thousand_levels(spark):
+    n, group = 1000, "levels"
+    steps = spark.createDataFrame([("w", f"C{i}", f"C{i + 1}") for i in range(n)], "source string, category string, next string")
+    roots = spark.createDataFrame([("w", "C0")], "source string, category string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a job for each action, not for each of its stages
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {r.category: r.level for r in graph.category_levels(roots, steps).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {f"C{i}": i for i in range(n + 1)} and jobs < 50
+
+
 def test_deep_categories(spark):
     n = 70
     edges = [("w", f"C{i}", 14, f"C{i + 1}", None) for i in range(n)] + [("w", f"C{n}", 0, "p", 1)]
