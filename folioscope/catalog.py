@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.stem import stem_column
-from folioscope.functions.text import LOWER, SEARCH, UPPER, Tokenizer, frequency_tokens, vbyte_length
+from folioscope.functions import stem
+from folioscope.functions.text import LOWER, SEARCH, UPPER, Tokenizer, date_of, frequency_tokens, vbyte_length
 from folioscope.functions.urls import normalize_url, seed_url
-from folioscope.operators import corpus, crawl, graph, index, search, stats
+from folioscope.operators import corpus, crawl, graph, index, lemmas, search, stats
 from folioscope.plans.query import all_terms, tree
+from folioscope.sources import download, store
 from folioscope.sources.files import parse_freqs
-from folioscope.storage import saved, spread
+from folioscope.storage import saved, spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,10 +194,26 @@ def vocab_offsets(spark, d):
     return index.vocab_offsets(postings_of(spark, d))
 
 
-@query("vbyte_len", "SELECT v AS value, CAST(" + VBYTE.format("v") + " AS BIGINT) AS nbytes FROM (SELECT unnest([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 4294967295]) AS v)")
+NUMBER = "(coalesce(n_chars, 0) << CAST(doc_id % 18 AS INT)) & 4294967295"
+
+
+@query("vbyte_len", f"SELECT doc_id, {NUMBER} AS value, CAST({VBYTE.format(f'({NUMBER})')} AS BIGINT) AS nbytes FROM documents")
 def vbyte_len(spark, d):
-    values = [0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 4294967295]
-    return spark.createDataFrame([(v,) for v in values], "value long").withColumn("nbytes", vbyte_length(F.col("value")))
+    """Numbers of all sizes up to 32 bits, made of the documents' lengths."""
+    value = F.expr("shiftleft(coalesce(n_chars, 0), CAST(doc_id % 18 AS INT)) & 4294967295")
+    return read(spark, d, "documents").select("doc_id", value.alias("value")).withColumn("nbytes", vbyte_length(F.col("value")))
+
+
+@query("token_caps", BASE + " SELECT docid, pos, rtrim(substr(term, 1, 5), '-_') AS term FROM tk")
+def token_caps(spark, d):
+    """Tokens of five bytes at most."""
+    return index.tokens(numbered_of(spark, d), Tokenizer(max_bytes=5)).select("docid", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@query("token_stems", BASE + " SELECT docid, pos, term AS stem FROM tk")
+def token_stems(spark, d):
+    """The tables have no Russian words, and others are their own stem; ``stem_golden`` has Russian letters."""
+    return index.token_stems(numbered_of(spark, d)).select("docid", F.col("pos").cast("long").alias("pos"), "stem")
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -210,15 +228,21 @@ def found(text: str, limit: int | None = None) -> Query:
     return run
 
 
-def found_sql(where: str, scoring: list[str], extra: str = "") -> str:
+def found_in(name: str, where: str, scoring: list[str]) -> tuple[str, str]:
+    """The scores' table, and the rows found, of one search over the tables of ``BASE``."""
     terms = ", ".join(f"'{t}'" for t in scoring) or "NULL"
     has = "(SELECT docid FROM po WHERE term = '{}')"
     cond = where
     for t in ("the", "der", "of", "between", "nosuchterm"):
         cond = cond.replace(f"[{t}]", f"docid IN {has.format(t)}")
-    return f"""{BASE}, sc AS (SELECT docid, sum(tf * (ln((n + 1) / (df + 1.0::DOUBLE)) + 1)) AS score
-FROM po JOIN vo USING (term), nn WHERE term IN ({terms}) GROUP BY docid)
-SELECT docid, round(coalesce(score, 0.0), 6) AS score FROM ln LEFT JOIN sc USING (docid) WHERE {cond} {extra}"""
+    scores = f"""{name} AS (SELECT docid, sum(tf * (ln((n + 1) / (df + 1.0::DOUBLE)) + 1)) AS score
+FROM po JOIN vo USING (term), nn WHERE term IN ({terms}) GROUP BY docid)"""
+    return scores, f"docid, round(coalesce(score, 0.0), 6) AS score FROM ln LEFT JOIN {name} USING (docid) WHERE {cond}"
+
+
+def found_sql(where: str, scoring: list[str], extra: str = "") -> str:
+    scores, rows = found_in("sc", where, scoring)
+    return f"{BASE}, {scores} SELECT {rows} {extra}"
 
 
 SEARCHES = {
@@ -229,6 +253,8 @@ SEARCHES = {
     "bool_and_not": ("the && !of", "[the] AND NOT [of]", ["the"]),
     "bool_nested": ("between && (of || !the) || !!der", "([between] AND ([of] OR NOT [the])) OR [der]", ["between", "of", "der"]),
     "bool_trailing": ("the of && der", "[the]", ["the"]),
+    "bool_lone": ("the & of", "[the]", ["the"]),
+    "bool_raw_terms": ("der || the, && of", "[der] OR ([nosuchterm] AND [of])", ["der", "of"]),
     "bool_empty": ("the && nosuchterm", "[the] AND [nosuchterm]", ["the", "nosuchterm"]),
     "tfidf_free_text": ("The between, DER der", "[the] OR [between] OR [der]", ["the", "between", "der"]),
 }
@@ -256,18 +282,21 @@ def set_complement(spark, d):
     return at.docs.select("docid").join(search.docs_with(at, "the"), "docid", "left_anti")
 
 
-GOLDEN = ["ЭсМинЕц конвой эсминец", "конвой конвой фрегат", "лес море корабль", "эсминец фрегат", "конвой корабль"]
+GOLDEN = {
+    "between && (der || of)": ("[between] AND ([der] OR [of])", ["between", "der", "of"]),
+    "!the": ("NOT [the]", []),
+    "the, DER": ("[the] OR [der]", ["the", "der"]),
+}
+_PARTS = [(q, *found_in(f"s{i}", where, scoring)) for i, (q, (where, scoring)) in enumerate(GOLDEN.items())]
 
 
-@query(
-    "golden_search",
-    "SELECT * FROM (VALUES ('эсминец && (конвой || фрегат)', 1::BIGINT, 4.791759::DOUBLE), ('эсминец && (конвой || фрегат)', 4, 3.386294), "
-    "('!конвой', 3, 0), ('!конвой', 4, 0), ('эсминец конвой', 1, 4.791759), ('эсминец конвой', 2, 2.81093), ('эсминец конвой', 4, 1.693147), ('эсминец конвой', 5, 1.405465)) t(q, docid, score)",
-)
+@query("golden_search", f"{BASE}, {', '.join(s for _, s, _ in _PARTS)} " + " UNION ALL ".join(f"SELECT '{q}' AS q, {rows}" for q, _, rows in _PARTS))
 def golden_search(spark, d):
-    lines = corpus.corpus_lines(spark.createDataFrame(list(enumerate(GOLDEN)), "doc_id long, line string"))
-    at = index.Index.build(lines)
-    parts = [search.search(at, q).select(F.lit(q).alias("q"), "docid", F.round("score", 6).alias("score")) for q in ("эсминец && (конвой || фрегат)", "!конвой", "эсминец конвой")]
+    """Several searches over one written index."""
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.Index.build(lines_of(spark, d)).write(path)
+    at = index.Index.read(spark, path)
+    parts = [search.search(at, q).select(F.lit(q).alias("q"), "docid", F.round("score", 6).alias("score")) for q in GOLDEN]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -310,18 +339,90 @@ def stem_freqs(spark, d):
     return stats.stem_freqs(documents(spark, d))
 
 
-STEMS = dict(
-    x.split("→")
-    for x in (
-        "СТОЛЫ→стол Стола→стол столом→стол столе→стол столах→стол столами→стол книги→книг книгой→книг машины→машин машиной→машин рыба→рыб "
-        "рыбы→рыб красивый→красив красивого→красив синий→син синего→син ёлка→елк елка→елк test→test 12345→12345 зая→зая"
-    ).split()
-)
+RUSSIAN = ("abcdefghijklmnopqrstuvwxyz", "айцдещгяиьшлмнопюрстувыхыж")
+V = stem.VOWELS
+
+
+def cut_sql(word: str, *sets: tuple[list[str], bool], region: str = "region") -> str:
+    """``word`` without the first ending of the sets that fits inside the region, or NULL."""
+    cases = []
+    for endings, after_a in sets:
+        tail, kept = (f"substr({word}, {region})", r"\1") if after_a else (f"substr({word}, {region} + 1)", "")
+        pattern = f"{'([ая])' if after_a else ''}({'|'.join(endings)})$"
+        cases.append(f"WHEN regexp_matches({tail}, '{pattern}') THEN left({word}, {region}{' - 1' if after_a else ''}) || regexp_replace({tail}, '{pattern}', '{kept}')")
+    return f"(CASE {' '.join(cases)} END)"
+
+
+def or_same(word: str, endings: list[str], **options) -> str:
+    return f"coalesce({cut_sql(word, (endings, False), **options)}, {word})"
 
 
-@query("stem_golden", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS.items()) + ") t(word, stem)")
+STEM_SQL = f"""{FREQS},
+s0 AS (SELECT term, cnt, translate(term, '{RUSSIAN[0]}', '{RUSSIAN[1]}') AS word FROM fr),
+s1 AS (SELECT *, translate(lower(word), 'ё', 'е') AS f FROM s0),
+s2 AS (SELECT *, CASE WHEN regexp_matches(f, '[{V}]') THEN length(regexp_extract(f, '^[^{V}]*[{V}]')) ELSE length(f) END AS region,
+  length(regexp_extract(f, '^[^{V}]*[{V}]*[^{V}]*[{V}]*[^{V}]*')) AS second FROM s1),
+s3 AS (SELECT *, {cut_sql("f", (stem.GERUND_FREE, False), (stem.GERUND_AFTER_A, True))} AS gerund, {or_same("f", ["ся"])} AS x FROM s2),
+s4 AS (SELECT *, {or_same("x", ["сь"])} AS w4 FROM s3),
+s5 AS (SELECT *, {cut_sql("w4", (stem.ADJECTIVE, False))} AS a5 FROM s4),
+s6 AS (SELECT *, CASE WHEN gerund IS NOT NULL THEN gerund WHEN a5 IS NOT NULL THEN coalesce({cut_sql("a5", (stem.PARTICIPLE_FREE, False), (stem.PARTICIPLE_AFTER_A, True))}, a5)
+  ELSE coalesce({cut_sql("w4", (stem.VERB_AFTER_A, True), (stem.VERB_FREE, False), (stem.NOUN, False))}, w4) END AS w6 FROM s5),
+s7 AS (SELECT *, {or_same("w6", ["и"])} AS w7 FROM s6),
+s8 AS (SELECT *, {or_same("w7", ["ость", "ост"], region="second")} AS w8 FROM s7),
+s9 AS (SELECT *, {cut_sql("w8", (["ь"], False))} AS soft, {or_same("w8", ["ейше", "ейш"])} AS w9 FROM s8),
+st AS (SELECT term, word, cnt, f, region, CASE WHEN soft IS NOT NULL THEN soft WHEN ends_with(w9, 'нн') AND length(w9) - 2 >= region THEN left(w9, length(w9) - 1) ELSE w9 END AS w FROM s9),
+sn AS (SELECT term, word, cnt, CASE WHEN region >= length(f) OR length(w) < 3 THEN f ELSE w END AS stem FROM st)"""
+
+
+def russian_words(spark, d) -> DataFrame:
+    """(word, cnt): the documents' words in Russian letters, as the tables have none; the letters are such that endings of the stemmer's are among theirs."""
+    return stats.term_freqs(documents(spark, d)).select(F.translate("term", *RUSSIAN).alias("word"), "cnt")
+
+
+@query("stem_golden", STEM_SQL + " SELECT DISTINCT word, stem FROM sn")
 def stem_golden(spark, d):
-    return spark.createDataFrame([(w,) for w in STEMS], "word string").select("word", stem_column("word").alias("stem"))
+    words = russian_words(spark, d).select("word").distinct()
+    return words.select("word", stem.stem_column("word").alias("stem"))
+
+
+@query("stem_lines", STEM_SQL + " SELECT word || CASE WHEN cnt % 2 = 0 THEN chr(13) ELSE '' END AS line, stem FROM sn")
+def stem_lines(spark, d):
+    """A word a line, some with a carriage return."""
+    return stats.stem_lines(russian_words(spark, d).select(F.concat("word", F.when(F.col("cnt") % 2 == 0, "\r").otherwise("")).alias("line")))
+
+
+MORE = ("e", "s", "n", "en", "er", "es")
+LEMMA_SQL = f"""{FREQS},
+wd AS (SELECT term, cnt FROM fr WHERE length(term) >= 4),
+pb AS (SELECT term AS word, cnt, left(term, length(term) - length(x)) AS lemma FROM wd, (SELECT unnest([{", ".join(f"'{x}'" for x in MORE)}]) AS x) WHERE ends_with(term, x)),
+pa AS (SELECT word, lemma FROM pb JOIN wd l ON l.term = lemma AND l.cnt > pb.cnt),
+pr AS (SELECT word, lemma FROM pa UNION ALL SELECT term, term FROM wd WHERE term NOT IN (SELECT word FROM pa)),
+ch AS (SELECT word, length(word) - length(lemma) AS strip FROM pr),
+vt AS (SELECT right(word, k) AS ending, k AS size, strip, count(*) AS n FROM (SELECT word, strip, unnest(range(strip, least(length(word), 6) + 1)) AS k FROM ch) GROUP BY ALL),
+ru AS (SELECT ending, strip FROM vt QUALIFY row_number() OVER (PARTITION BY ending ORDER BY n DESC, strip) = 1 AND sum(n) OVER (PARTITION BY ending) >= 3),
+en AS (SELECT term, cnt, unnest(range(0, least(length(term), 6) + 1)) AS k FROM fr WHERE regexp_matches(term, '[a-z]')),
+le AS (SELECT term, strip FROM en JOIN ru ON ru.ending = right(term, k) WHERE length(term) > strip QUALIFY row_number() OVER (PARTITION BY term ORDER BY k DESC) = 1)"""
+
+
+@query("lemma_rules", LEMMA_SQL + " SELECT ending, CAST(strip AS INTEGER) AS strip FROM ru")
+def lemma_rules(spark, d):
+    return rules_of(spark, d)[1].select("ending", "strip")
+
+
+@query("lemma_freqs", LEMMA_SQL + " SELECT left(term, length(term) - coalesce(strip, 0)) AS lemma, CAST(sum(cnt) AS BIGINT) AS cnt FROM fr LEFT JOIN le USING (term) GROUP BY 1")
+def lemma_freqs(spark, d):
+    freqs, rules = rules_of(spark, d)
+    return lemmas.lemma_freqs(freqs, rules, which="[a-z]", default=F.col)
+
+
+def rules_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Word counts, and rules learned from the words themselves: a word with an ending more than a more frequent one is its form, others are their own."""
+    freqs = saved(stats.term_freqs(documents(spark, d)), "freqs")
+    words = freqs.where(F.length("term") >= 4)
+    longer = words.select(F.col("term").alias("lemma"), F.col("cnt").alias("of"), F.explode(F.array(*(F.concat("term", F.lit(x)) for x in MORE))).alias("term"))
+    forms = words.join(longer, "term").where(F.col("of") > F.col("cnt")).select(F.col("term").alias("word"), "lemma")
+    own = words.select(F.col("term").alias("word")).join(forms, "word", "left_anti").withColumn("lemma", F.col("word"))
+    return freqs, saved(lemmas.learn(forms.unionByName(own), least=3), "rules")
 
 
 ZIPF = """,
@@ -340,12 +441,14 @@ def zipf_curve(spark, d):
     return curve.withColumns({"log_r": F.round("log_r", 6), "log_f": F.round("log_f", 6), "zipf": F.round("zipf", 5)})
 
 
-FREQ_LINES = ["a\t5", "b\t0", "c\tx", "d\t-1", "e", "f\t1\t2", "g\t7", ""]
-
-
-@query("load_freqs", "SELECT * FROM (VALUES ('a', 5::BIGINT), ('g', 7)) t(term, cnt)")
+@query("load_freqs", FREQS + " SELECT term, cnt FROM fr WHERE length(term) % 6 IN (0, 4)")
 def load_freqs(spark, d):
-    return parse_freqs(spark.createDataFrame([(x,) for x in FREQ_LINES], "line string"))
+    """The documents' frequency lines, four of six damaged by the length of their term."""
+    n, tab = F.length("term") % 6, F.lit("\t")
+    whole = F.concat("term", tab, F.col("cnt").cast("string"))
+    damaged = F.when(n == 1, F.concat("term", F.lit("\t-"), "cnt")).when(n == 2, F.concat("term", F.lit(" "), "cnt")).when(n == 3, F.concat(whole, tab, "term"))
+    line = damaged.when(n == 4, F.concat("term", F.lit("\t "), "cnt", F.lit(" \r"))).when(n == 5, F.concat("term", tab, "term")).otherwise(whole)
+    return parse_freqs(stats.term_freqs(documents(spark, d)).select(line.alias("line")))
 
 
 # --- crawl ----------------------------------------------------------------------------------
@@ -444,25 +547,84 @@ def seed_upsert(spark, d):
     return crawl.upsert_seeds(state_of(pages).where("page_id % 2 = 0"), seeded).select("url", "status")
 
 
-@query("seed_urls", "SELECT * FROM (VALUES ('Железная дорога', 'https://ru.wikipedia.org/wiki/%D0%96%D0%B5%D0%BB%D0%B5%D0%B7%D0%BD%D0%B0%D1%8F_%D0%B4%D0%BE%D1%80%D0%BE%D0%B3%D0%B0'), ('A/B ~x*', 'https://ru.wikipedia.org/wiki/A/B_~x%2A')) t(title, url)")
+WIKI = "https://en.wikipedia.org/wiki/"
+SEED_SQL = f"""SELECT item_id, regexp_replace('{WIKI}' || replace(url_encode(translate(left(text, 40), ' ' || chr(10), '__')), '%2F', '/'), '/$', '') AS url FROM benchmark"""
+
+
+@query("seed_urls", SEED_SQL)
 def seed_urls(spark, d):
-    titles = spark.createDataFrame([("Железная дорога",), ("A/B ~x*",)], "title string")
-    return titles.select("title", seed_url(F.col("title"), "https://ru.wikipedia.org/wiki/").alias("url"))
+    """The pages of titles, which are the beginnings of the benchmark's texts."""
+    title = F.translate(F.left("text", F.lit(40)), "\n", " ")
+    return read(spark, d, "benchmark").select("item_id", seed_url(title, WIKI).alias("url"))
+
+
+# A page stands in the folder of its path, on its host, in the host's domains.
+EDGES_SQL = f"""{URLS.replace("WITH", "WITH RECURSIVE", 1)},
+hs AS (SELECT page_id, url, regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '://[^/]*/([^/]*)/', 1) AS folder FROM pg),
+ch AS (SELECT page_id, url, list_transform(range(len(string_split(host, '.')), 0, -1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))
+  || CASE WHEN folder = '' THEN []::VARCHAR[] ELSE [host || '/' || folder] END AS c FROM hs),
+ed AS (SELECT DISTINCT c[i] AS parent, c[i + 1] AS child FROM (SELECT c, unnest(range(1, len(c))) AS i FROM ch)),
+wk(category, level) AS (SELECT unnest(['com', 'net']), 0 UNION SELECT child, level + 1 FROM wk JOIN ed ON parent = category),
+lv AS (SELECT category, min(level) AS level FROM wk GROUP BY category)"""
+
+
+def site_edges(pages: DataFrame) -> DataFrame:
+    """(source, parent, ns, child, pageid) of the tree of domains, hosts, folders and pages."""
+    own = crawl.distinct_pages(pages).select("page_id", "url", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([^/]*)/", 1).alias("folder"))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.size(labels), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    chain = F.concat(domains, F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.array(F.concat_ws("/", "host", "folder"))))
+    own = own.select("page_id", "url", chain.alias("c"))
+    pairs = F.explode(F.transform(F.slice("c", 1, F.size("c") - 1), lambda p, i: F.struct(p.alias("parent"), F.get("c", i + 1).alias("child"))))
+    folders = own.select(pairs.alias("p")).distinct().select(F.lit("web").alias("source"), "p.parent", F.lit(graph.SUBCATEGORY).alias("ns"), "p.child", F.lit(None).cast("long").alias("pageid"))
+    return folders.unionByName(own.select(F.lit("web").alias("source"), F.element_at("c", -1).alias("parent"), F.lit(graph.PAGE).alias("ns"), F.col("url").alias("child"), F.col("page_id").alias("pageid")))
+
+
+@query("category_bfs", EDGES_SQL + " SELECT 'web' AS source, page_id AS pageid, url AS title, level, c[-1] AS category FROM ch JOIN lv ON category = c[-1]")
+def category_bfs(spark, d):
+    roots = spark.createDataFrame([("web", "com"), ("web", "net")], "source string, category string")
+    return graph.category_pages(roots, saved(site_edges(read(spark, d, "pages")), "edges"))
 
 
-EDGES = [("w", "A", 14, "B", None), ("w", "B", 14, "A", None), ("w", "B", 14, "C", None), ("w", "A", 0, "p1", 1), ("w", "B", 0, "p1", 1), ("w", "C", 0, "p2", 2), ("w", "C", 0, "", None), ("v", "A", 0, "p1", 1)]
+@query("page_dedup", "SELECT role AS source, conv_id AS pageid, min(turn) AS turn, arg_min(md5(coalesce(text, '')), turn) AS hash FROM conversations GROUP BY role, conv_id")
+def page_dedup(spark, d):
+    """Each role's first turn of a conversation."""
+    turns = read(spark, d, "conversations").select(F.col("role").alias("source"), F.col("conv_id").alias("pageid"), "turn", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+    return stats.first_of(turns, ["source", "pageid"], [F.col("turn"), F.col("hash")])
 
 
-@query("category_bfs", "SELECT * FROM (VALUES ('w', 1::BIGINT, 'p1', 0, 'A'), ('w', 2, 'p2', 2, 'C'), ('v', 1, 'p1', 0, 'A')) t(source, pageid, title, level, category)")
-def category_bfs(spark, d):
-    edges = spark.createDataFrame(EDGES, "source string, parent string, ns int, child string, pageid long")
-    return graph.category_pages(spark.createDataFrame([("w", "A"), ("v", "A")], "source string, category string"), edges)
+@query("download_remaining", "SELECT doc_id AS pageid, source FROM documents WHERE doc_id % 3 <> 0")
+def download_remaining(spark, d):
+    """What a download of the documents' pages has left to do, after a third was stored and a third failed."""
+    path = f"{work_dir(spark)}/download-{uuid.uuid4().hex}"
+    pages = read(spark, d, "documents").select(F.col("doc_id").alias("pageid"), "source")
+    outcome = F.when(F.col("pageid") % 6 == 0, "kept").when(F.col("pageid") % 6 == 3, "short").when(F.col("pageid") % 3 == 1, "failed")
+    log = pages.select("source", "pageid", outcome.alias("outcome"), F.lit("batch-0").alias("file")).where("outcome is not null")
+    log.write.json(f"{path}/progress")
+    return download.remaining(pages, path).select("pageid", "source")
 
 
-@query("page_dedup", "SELECT * FROM (VALUES ('w', 1::BIGINT, 'A'), ('w', 2, 'C'), ('v', 1, 'A')) t(source, pageid, parent)")
-def page_dedup(spark, d):
-    edges = spark.createDataFrame(EDGES, "source string, parent string, ns int, child string, pageid long").where("pageid is not null")
-    return stats.first_of(edges, ["source", "pageid"], [F.col("parent")]).select("source", "pageid", "parent")
+@query("fetch_dates", f"{STATE_SQL} SELECT url, strftime(make_timestamp(next_crawl_at * 1000000), '%Y-%m-%d %H:%M:%S') AS due_at, strftime(make_timestamp(fetched_at * 1000000), '%Y-%m-%d %H:%M:%S') AS fetched FROM st")
+def fetch_dates(spark, d):
+    utc = lambda c: F.date_format(F.to_utc_timestamp(F.timestamp_seconds(c), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    state = state_of(read(spark, d, "pages"))
+    same = F.date_format(F.timestamp_seconds("fetched_at"), "yyyy-MM-dd HH:mm:ss").eqNullSafe(date_of(F.col("fetched_at")))
+    return state.where(same).select("url", utc("next_crawl_at").alias("due_at"), utc("fetched_at").alias("fetched"))
+
+
+STORE_SQL = f"""{STATE_SQL}, nw AS (SELECT url, CASE WHEN page_id % 6 = 0 THEN 'done' ELSE status END AS status, CASE WHEN page_id % 6 = 0 THEN {NOW - 100} + page_id ELSE next_crawl_at END AS next_crawl_at FROM st)
+SELECT url, status, next_crawl_at FROM nw WHERE status = 'new' OR (status = 'done' AND next_crawl_at <= {NOW}) ORDER BY next_crawl_at, url LIMIT 100"""
+
+
+@query("store_queue", STORE_SQL)
+def store_queue(spark, d):
+    """The queue of a document store in its second version."""
+    path = f"{work_dir(spark)}/store-{uuid.uuid4().hex}"
+    state = saved(state_of(read(spark, d, "pages")), "state")
+    store.upsert(state, path, buckets=16)
+    later = {"status": F.lit("done"), "next_crawl_at": F.lit(NOW - 100) + F.col("page_id"), "fetched_at": F.lit(NOW).cast("long")}
+    store.upsert(state.where("page_id % 6 = 0").withColumns(later), path)
+    return crawl.queue(store.read_store(spark, path, columns=["url", "status", "next_crawl_at"]), NOW, 100)
 
 
 HUMAN = "CASE WHEN b < 1024 THEN printf('%.1f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END"

@@ -9,10 +9,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import InputPartition
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of "name kind, ..."; every column may be null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path in it) of a URI or a local path."""
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{os.path.abspath(uri)}")

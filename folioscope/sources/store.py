@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from folioscope.operators.crawl import COLUMNS, STATE
 from folioscope.operators.stats import first_of
-from folioscope.sources.shared import filesystem, listed, put
+from folioscope.sources.shared import arrow_schema, filesystem, listed, put
 
 BUCKETS = 64
 
@@ -68,6 +68,8 @@ class StoreReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path = options["path"]
         self.names = schema.fieldNames()
+        kinds = dict(c.split() for c in STATE.split(", "))
+        self.kinds = arrow_schema(", ".join(f"{c} {kinds[c]}" for c in self.names))
         version = options.get("version")
         self.manifest = manifest(self.path, None if version is None else int(version))
         self.url = options.get("url")
@@ -95,7 +97,8 @@ class StoreReader(DataSourceReader):
                     batch = batch.filter(pa.array(fresh)) if fresh else batch
                     batch = batch.filter(pa.compute.equal(batch.column("url"), self.url)) if self.url is not None else batch
                     if batch.num_rows:
-                        yield batch.select(self.names)
+                        # Files may differ in which columns they say are never null.
+                        yield pa.RecordBatch.from_arrays([batch.column(c) for c in self.names], schema=self.kinds)
 
 
 @dataclass

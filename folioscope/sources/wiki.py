@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from folioscope.sources.files import CORPUS
-from folioscope.sources.shared import LineRange, filesystem, line_ranges, listed, records_of
+from folioscope.sources.shared import LineRange, arrow_schema, filesystem, line_ranges, listed, records_of
 
 Fetch = Callable[[str, dict], dict]
 MEMBERS = "source string, parent string, ns int, child string, pageid long"
@@ -99,11 +99,6 @@ def in_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 100) -> Iter
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
-
-
 def page_outcomes(pages: DataFrame, apis: DataFrame, least: int = 300, fetch: Fetch = fetch_json, delay: float = 0.05) -> DataFrame:
     """``OUTCOMES`` of pages (pageid, title, lang, source), a row each; pages of unknown sources are left out.
 

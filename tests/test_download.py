@@ -6,7 +6,7 @@ import pytest
 
 from folioscope.sources import download, wiki
 from folioscope.sources.files import read_records, write_pages_array, write_pages_list
-from folioscope.sources.shared import LineRange, filesystem, line_ranges, lines_of, listed
+from folioscope.sources.shared import LineRange, arrow_schema, filesystem, line_ranges, lines_of, listed
 
 PAGES = "pageid long, title string, lang string, source string"
 
@@ -93,7 +93,7 @@ def test_a_task_takes_the_place_of_a_lost_one(spark, tmp_path):
         def partitionId(self):
             return 3
 
-    batches = lambda own: iter([pa.RecordBatch.from_pylist(own, wiki.arrow_schema(download.ASKED))])
+    batches = lambda own: iter([pa.RecordBatch.from_pylist(own, arrow_schema(download.ASKED))])
     with pytest.MonkeyPatch.context() as m:
         m.setattr(download, "TaskContext", Context)
         writer = download.BatchWriter(options, counting(log))
