@@ -13,7 +13,7 @@ from folioscope.functions.text import LOWER, SEARCH, UPPER, Tokenizer, date_of,
 from folioscope.functions.urls import normalize_url, seed_url
 from folioscope.operators import corpus, crawl, graph, index, lemmas, search, stats
 from folioscope.plans.query import all_terms, tree
-from folioscope.sources import download, store
+from folioscope.sources import download, footers, store
 from folioscope.sources.files import parse_freqs
 from folioscope.storage import saved, spread, work_dir
 
@@ -295,8 +295,7 @@ def golden_search(spark, d):
     """Several searches over one written index."""
     path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
     index.Index.build(lines_of(spark, d)).write(path)
-    at = index.Index.read(spark, path)
-    parts = [search.search(at, q).select(F.lit(q).alias("q"), "docid", F.round("score", 6).alias("score")) for q in GOLDEN]
+    parts = [search.search_path(spark, path, q).select(F.lit(q).alias("q"), "docid", F.round("score", 6).alias("score")) for q in GOLDEN]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -644,3 +643,14 @@ TEXT_COLUMNS = {
 )
 def table_stats(spark, d):
     return stats.table_stats({t: read(spark, d, t) for t in TEXT_COLUMNS})
+
+
+@query("storage_stats")
+def storage_stats(spark, d):
+    return footers.storage_stats({t: read(spark, d, t) for t in TEXT_COLUMNS})
+
+
+@query("storage_rows", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in TEXT_COLUMNS))
+def storage_rows(spark, d):
+    """The rows of tables by their footers alone."""
+    return storage_stats(spark, d).select("name", "n_rows")

@@ -5,6 +5,7 @@ A line is one row, so its tokens are grouped by term inside the row and no token
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,6 +115,17 @@ def vocab_offsets(post: DataFrame) -> DataFrame:
     return running_sum(terms, F.col("bytes"), [F.col("term")], "offset")
 
 
+#: A part's number in the name of a file that Spark has written.
+PART = r"^part-(\d+)"
+
+
+def of_parts(table: DataFrame, parts: set[int]) -> DataFrame:
+    """A written table's parts of these numbers, by their files' names; the others are not opened."""
+    files = [f for f in table.inputFiles() if (found := re.match(PART, f.rpartition("/")[2])) and int(found[1]) in parts]
+    reader = table.sparkSession.read.schema(table.schema)
+    return reader.parquet(*files) if files else table.sparkSession.createDataFrame([], table.schema)
+
+
 @dataclass
 class Index:
     """An index: ``postings`` (term, docid, tf, ...), ``vocab`` (term, df), ``docs`` (docid, ...)."""
@@ -130,16 +142,41 @@ class Index:
         return cls(post, vocab(post), docs_table(numbered))
 
     def write(self, path: str) -> None:
-        """Parquet tables under ``path``: postings by ranges of (term, docid), so that a lookup reads few row groups and a common term is many files'."""
-        order = ["term", "docid"]
+        """Parquet tables under ``path``: postings by ranges of (term, docid), so that a common term is many files'; the lexicon says in which parts.
+
+        ``vocab`` has (term, df, first, last): the numbers of the first and last part with the term's postings. ``ranges`` has (part, low, high): the
+        terms of each of the lexicon's parts, a row a file.
+        """
+        spark, order = self.postings.sparkSession, ["term", "docid"]
         self.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        part = F.regexp_extract("_metadata.file_name", PART, 1).cast("int")
+        written = spark.read.parquet(f"{path}/postings").select("term", part.alias("part"))
+        lexicon_ = written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("first"), F.max("part").alias("last"))
+        lexicon_.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        terms = spark.read.parquet(f"{path}/vocab").select("term", part.alias("part")).groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+        terms.coalesce(1).write.mode("overwrite").json(f"{path}/ranges")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "docs")))
 
+    @classmethod
+    def read_terms(cls, spark: SparkSession, path: str, terms: list[str]) -> Index:
+        """The written index as a query of ``terms`` needs it: of the lexicon the parts whose range holds a term, of the postings those that the lexicon names.
+
+        No other file is opened, and none of the postings for terms that are not there. What comes to the driver is a row for each
+        of the lexicon's parts, and one for each term.
+        """
+        whole = cls.read(spark, path)
+        ranges = spark.read.schema("part int, low string, high string").json(f"{path}/ranges")
+        held = F.exists(F.array(*map(F.lit, terms)), lambda t: (F.col("low") <= t) & (t <= F.col("high"))) if terms else F.lit(False)
+        parts = {r.part for r in ranges.where(held).collect()}
+        lexicon_ = of_parts(whole.vocab, parts).where(F.col("term").isin(terms) if terms else F.lit(False))
+        rows = lexicon_.collect()
+        own = spark.createDataFrame(rows, whole.vocab.schema)
+        return cls(of_parts(whole.postings, {p for r in rows for p in range(r["first"], r["last"] + 1)}), own, whole.docs)
+
     @classmethod
     def of_terms(cls, lines: DataFrame, terms: list[str], tokenizer: Tokenizer = SEARCH) -> Index:
         """What a query of ``terms`` needs, straight from lines (doc_id, line): of each line, how often it has each term.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.index import Index
@@ -38,6 +38,11 @@ def search(index: Index, query: str, limit: int | None = None) -> DataFrame:
     return ranked.limit(limit) if limit is not None else ranked
 
 
+def search_path(spark: SparkSession, path: str, query: str, limit: int | None = None) -> DataFrame:
+    """``search`` over the index written at ``path``, of which only the files with the query's terms are opened."""
+    return search(Index.read_terms(spark, path, all_terms(tree(query))), query, limit)
+
+
 def as_lines(found: DataFrame) -> DataFrame:
     """(line) of a result: docid, tab, and the score with six decimals."""
     return found.select(F.format_string("%d\t%.6f", "docid", "score").alias("line"))

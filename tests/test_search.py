@@ -177,3 +177,27 @@ def test_term_filter_is_below_the_aggregate(spark):
     lines = corpus.corpus_lines(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, line string"))
     plan = index.lexicon(lines, ["лес"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("filter(")
+
+
+def test_a_lookup_opens_the_files_of_its_terms(spark, tmp_path):
+    rows = [(i, " ".join(f"t{(i * k) % 97:02d}" for k in range(1, 12)) + " common") for i in range(400)]
+    lines = spark.createDataFrame(rows, "doc_id long, line string")
+    kept = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts stay apart
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        at = index.Index.build(lines)
+        at.write(str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept[0])
+        spark.conf.set("spark.sql.shuffle.partitions", kept[1])
+    whole = index.Index.read(spark, str(tmp_path))
+    every = len(whole.postings.inputFiles())
+    assert every >= 10 and whole.vocab.columns == ["term", "df", "first", "last"]
+    some = index.Index.read_terms(spark, str(tmp_path), ["t33"])
+    assert 1 <= len(some.postings.inputFiles()) <= 2 and some.postings.where("term = 't33'").count() == whole.postings.where("term = 't33'").count()
+    for absent in (["t335"], ["zzz"], [""], []):
+        assert index.Index.read_terms(spark, str(tmp_path), absent).postings.inputFiles() == []
+    for query in ("t33 && (t07 || !common)", "t01 t335", "!t05", "nothing", "common"):
+        found = search.search_path(spark, str(tmp_path), query)
+        assert found.collect() == search.search(at, query).collect()
