@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.storage import saved, spread, work_dir
 
-__all__ = ["held_out", "read", "saved", "small", "training_rows", "training_texts", "work_dir"]
+__all__ = ["held_out", "read", "saved", "small", "tidied", "training_rows", "training_texts", "work_dir"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,3 +56,21 @@ def training_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def small(df: DataFrame, limit: int) -> DataFrame:
     """``df``, a written table, marked for broadcast if it has at most ``limit`` rows; else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Batches) -> Batches:
+    """``run`` for mapInArrow, with what its tables took given back when it ends: Spark keeps Python workers for later tasks, and they what they once held."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own

@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioscope.llm.common import tidied
 from folioscope.llm.pieces import SPACE, Forward, Model, load
 from folioscope.llm.words import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a task remembers between batches.
-REMEMBERED = 150_000
+#: Words whose ids a task remembers between batches, and pairs of pieces of which it knows that they stay apart.
+REMEMBERED, PAIRS = 150_000, 500_000
 PART = 1 << 20
 LONE_BYTE = re.compile("[\udc80-\udcff]")
 
@@ -127,6 +128,8 @@ def encoder(model: Model):
                 split = [model.marked_words(t) for t in texts]
                 if len(known) > REMEMBERED:
                     known.clear()
+                if len(forward.apart) > PAIRS:
+                    forward.apart.clear()
                 known |= encode_words(list({w for words in split for w in words} - known.keys()), forward)
                 flat, lengths, exact = array("i"), [], []
                 for text, words in zip(texts, split):
@@ -153,7 +156,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     whatever their names, are not read. The model's tables, a few MB whatever the data, are read
     on the driver and travel with the tasks.
     """
-    return docs.select("doc_id", "text").mapInArrow(encoder(load(model_path)), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(encoder(load(model_path))), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import saved, small
+from folioscope.llm.common import saved, small, tidied
 from folioscope.llm.components import components
 from folioscope.llm.words import BASE, Words, distinct, lower_ascii, mix, pieces, runs_of
 
@@ -127,7 +127,7 @@ def shingle_table(ids: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -
     Up to ``broadcast_ids`` ids are broadcast to pick their texts; beyond, the texts are joined by id.
     """
     own = docs.join(small(saved(ids.distinct(), "ids"), broadcast_ids), "doc_id", "left_semi")
-    return saved(own.mapInArrow(full_sets(k), "doc_id long, shingles array<long>"), "sets")
+    return saved(own.mapInArrow(tidied(full_sets(k)), "doc_id long, shingles array<long>"), "sets")
 
 
 def in_blocks(star: DataFrame, broadcast_ids: int) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +215,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(docs.mapInArrow(sketch(k), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    rows = saved(docs.mapInArrow(tidied(sketch(k)), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
     some = rows.where("n > 0 and doc_id is not null")
     # Equal sets are one representative, told by size and two hashes.
     key = ["n", "k1", "k2"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import held_out, saved, training_rows, training_texts
+from folioscope.llm.common import held_out, saved, tidied, training_rows, training_texts
 from folioscope.llm.near_dedup import shingle_sets
 from folioscope.llm.words import Words, mix
 
@@ -148,6 +148,8 @@ class Lexicon:
 NEVER = 1 << 30
 #: States of the automaton that a task keeps; beyond, it makes them anew as words need them.
 MOST_STATES = 200_000
+#: Words that a task remembers to be in the lexicon or not.
+MOST_KNOWN = 150_000
 
 
 def copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def without_copies(train: DataFrame) -> DataFrame:
     smallest shingles are compared on their whole sets.
     """
     one = train.groupBy("text").agg(F.min("y").alias("y")).select("y", "text", F.xxhash64("text").alias("h"))
-    rows = saved(one.mapInArrow(copy_keys, "y int, text string, h long, keys array<long>, shingles array<long>"), "training-sets")
+    rows = saved(one.mapInArrow(tidied(copy_keys), "y int, text string, h long, keys array<long>, shingles array<long>"), "training-sets")
     each = rows.select("h", F.explode("keys").alias("k"))
     hubs = each.groupBy("k").agg(F.min("h").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "hub")
     met = each.join(F.broadcast(hubs), "k").where("h != hub").select("h", "hub").distinct()  # at most three hubs for two rows
@@ -232,7 +234,7 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio:
     prefixes of one word, the longest with nearly the same toxic documents, or most of them and
     half the clean ones, stands for the shorter ones, and a chosen stem for all that continue it.
     """
-    counts = train.select("y", "text").mapInArrow(prefix_counts, ", ".join(["prefix string", *(f"{c} long" for c in COUNTS)]))
+    counts = train.select("y", "text").mapInArrow(tidied(prefix_counts), ", ".join(["prefix string", *(f"{c} long" for c in COUNTS)]))
     counts = counts.groupBy("prefix").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
     def tells(toxic: str, clean: str) -> Column:
@@ -296,6 +298,20 @@ def window_features(found: list[tuple[int, int, int, bool]], weights: np.ndarray
     return math.log1p(best), math.log1p(total), math.sqrt(total / max(n_words, 1))
 
 
+class Finder:
+    """Finds lexicon words in texts; what it remembers of words and automata is forgotten when it has grown to a bound."""
+
+    def __init__(self, stems: list[str]):
+        self.stems, self.lexicon, self.known = stems, Lexicon(stems), {}
+
+    def find(self, low: str) -> list[tuple[int, int, int, bool]]:
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        if len(self.lexicon.states) > MOST_STATES:
+            self.lexicon = Lexicon(self.stems)
+        return occurrences(low, self.lexicon, self.known)
+
+
 @dataclass
 class Detector:
     stems: list[str]
@@ -352,49 +368,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     stems = learn_stems(own, n[1], n[0], least, ratio) if n[1] else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, known = Lexicon(stems), {}
+        finder = Finder(stems)
         for batch in batches:
             met: Counter = Counter()
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                met.update((y, *pair) for pair in pairs_of(occurrences(normal(text or ""), lexicon, known)))
+                met.update((y, *pair) for pair in pairs_of(finder.find(normal(text or ""))))
             rows = [(*k, v) for k, v in met.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["y", "stem", "edits", "n"])
 
     counts = np.zeros((2, max(len(stems), 1), 3))
-    for r in own.mapInArrow(count, "y long, stem long, edits long, n long").groupBy("y", "stem", "edits").agg(F.sum("n").alias("n")).collect():
+    for r in own.mapInArrow(tidied(count), "y long, stem long, edits long, n long").groupBy("y", "stem", "edits").agg(F.sum("n").alias("n")).collect():
         counts[r.y, r.stem, r.edits] = r.n
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, known = Lexicon(stems), {}
+        finder = Finder(stems)
         for batch in batches:
             x = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low = normal(text or "")
-                found = occurrences(low, lexicon, known)
+                found = finder.find(low)
                 weights = own_left_out(counts, n, y, pairs_of(found)) if found else counts
                 x.append((y, *window_features(found, weights, len(TOKEN.findall(low)) if found else 0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*x), [pa.int32(), *[pa.float64()] * 3])], ["y", "best", "total", "share"])
 
-    table = own.mapInArrow(describe, "y int, best double, total double, share double").collect()
+    table = own.mapInArrow(tidied(describe), "y int, best double, total double, share double").collect()
     x, y = np.array([r[1:] for r in table], float).reshape(-1, 3), np.array([r.y for r in table], float)
     return Detector(stems, log_odds(counts, n), logistic(x, y) if len(y) else np.zeros(4))
 
 
 def scorer(model: Detector):
     """A function from texts to (scores, numbers of terms), with one lexicon and memory for a task."""
-    lexicon, known = Lexicon(model.stems), {}
+    finder = Finder(model.stems)
 
     def score(texts: Iterator[str | None]) -> tuple[np.ndarray, list[int]]:
-        nonlocal lexicon
         x, n = [], []
         for text in texts:
             low = normal(text or "")
-            if len(known) > 150_000:
-                known.clear()
-            if len(lexicon.states) > MOST_STATES:
-                lexicon = Lexicon(model.stems)
-            found = occurrences(low, lexicon, known)
+            found = finder.find(low)
             n.append(len(found))
             x.append(window_features(found, model.weights, len(TOKEN.findall(low)) if found else 0))
         z = np.column_stack([np.ones(len(x)), np.array(x).reshape(-1, 3)]) @ model.coefficients
@@ -420,7 +431,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
             p, n = score(x.as_py() for x in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(n, pa.int64())], ["doc_id", "score", "n_terms"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double, n_terms long")
+    scored = docs.mapInArrow(tidied(run), "doc_id long, score double, n_terms long")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_terms")
 
 
@@ -442,4 +453,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
             p, _ = score(x.as_py() for x in batch.column(place))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
