@@ -4,9 +4,8 @@ Each distinct shingle falls into one of 128 bins by one hash and the smallest of
 kept; an empty bin takes the value of the bin that its own sequence of random bins reaches
 first. Groups of four slots are the keys of 32 buckets. In each bucket, the most central document
 is linked to all others, so candidates are as many as bucket members. Candidates are confirmed
-on their full shingle sets. What the stars leave apart is compared once more, members outside a
-star's largest component against all of the star, in blocks inside tasks that let only links
-out, so that no link between different texts is lost.
+on their full shingle sets. What the stars leave apart meets once more, under the rarest shingles of each
+document, of which similar ones share at least one, so that no link between different texts is lost.
 
 A link of similarity 0.8 is missed by all 32 buckets with a chance of about 5 in 10^8.
 """
@@ -29,6 +28,8 @@ BINS, BAND = 128, 4
 TRIES = 512
 #: Members of a star that meet one copy of its hub's set.
 MEMBERS = 256
+#: Members of a shingle that meet in pairs; more meet in blocks.
+FEW = 64
 #: Shingles of a block in the comparison of what the stars leave apart.
 BLOCK = 1 << 17
 
@@ -149,7 +150,7 @@ def confirmed(star: DataFrame, sets: DataFrame, num: int, den: int, broadcast_id
 
 
 def compare_blocks(num: int, den: int):
-    """For cogroups of (outsiders, members) of a hub: links between different components, confirmed on full sets.
+    """For cogroups of (outsiders, members) of a shingle: links between different components, confirmed on full sets.
 
     A small inverted index of the members' shingles counts what an outsider shares with each. Of
     the links of an outsider to one component, one goes out.
@@ -176,29 +177,78 @@ def compare_blocks(num: int, den: int):
     return run
 
 
-def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
-    """Links (hub, rep) between members of a star that confirmation left in different components.
+def residual(star: DataFrame, comps: DataFrame) -> DataFrame:
+    """(rep, comp): members of stars that confirmation left in several components.
 
-    Documents that share a bucket share its hub, so any pair of a bucket is a pair of a star. In
-    stars that hold several components, the members outside the largest one meet all members, in
-    blocks of about ``BLOCK`` shingles by as many that are dealt out by hub and block.
+    Documents that share a bucket share its hub, so any pair of a bucket that is still apart is a pair of these.
     """
     own = star.union(star.select("hub", "hub").distinct()).join(comps, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
-    per = own.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = per.groupBy("hub").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = small(saved(mixed.select("hub", F.col("top.comp").alias("main")), "mixed-stars"), broadcast_ids)
-    met = own.join(mixed, "hub").join(sets.withColumn("n", F.size("shingles")), F.col("rep") == F.col("doc_id")).drop("doc_id")
-    met = saved(met.dropDuplicates(["hub", "rep"]), "residual")
+    mixed = own.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return own.join(mixed, "hub").select("rep", "comp").distinct()
+
+
+def rare_shingles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, rep, comp, n, place): the rarest shingles of each member (rep, comp, shingles), as many as one of them must be shared.
+
+    In one order of all shingles, rarest among the members first, two sets of similarity num / den share one of their first
+    n - ceil(num * n / den) + 1. Shingles that one member alone has come first and cannot be shared, so they take places and no rows.
+    """
+    each = members.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = each.join(often, "shingle").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    first = F.col("n") - F.expr(f"CAST(({num} * CAST(n AS BIGINT) + {den - 1}) DIV {den} AS INT)") + 1
+    taken = ordered.withColumn("alone", alone).select("rep", "comp", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.greatest(first - alone, F.lit(0)))).alias("i", "x"))
+    return taken.select("x.shingle", "rep", "comp", "n", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def linked_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (hub, rep) between rows of a shingle with few members, confirmed on full sets.
+
+    Pairs go on if their sizes, and the places of the first shingle they share, leave room for the similarity.
+    """
+    one = rows.select("shingle", *(F.col(c).alias(f"{c}1") for c in ("rep", "comp", "n", "place")))
+    met = one.join(rows, "shingle").where((F.col("rep1") < F.col("rep")) & (F.col("comp1") != F.col("comp")))
+    room = 1 + F.least(F.col("n1") - F.col("place1"), F.col("n") - F.col("place")) - 1
+    met = met.where((num + den) * room.cast("long") >= num * (F.col("n1") + F.col("n")).cast("long")).select(F.col("rep1").alias("hub"), "rep").distinct()
+    met = met.join(sets.toDF("hub", "x"), "hub").join(sets.toDF("rep", "y"), "rep").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    united = F.size("x") + F.size("y") - F.col("shared")
+    return met.where(F.lit(den) * F.col("shared") >= F.lit(num) * united).select("hub", "rep")
+
+
+def linked_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
+    """Links (hub, rep) between rows of a shingle with many members: those outside its largest component meet all, in blocks.
+
+    Blocks of about ``BLOCK`` shingles meet as many, dealt out by shingle and block.
+    """
+    per = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+    met = rows.join(small(saved(per, "largest"), broadcast_ids), "shingle").join(sets.withColumn("n", F.size("shingles")).withColumnRenamed("doc_id", "rep"), "rep")
+    met = saved(met.select(F.col("shingle").alias("hub"), "rep", "comp", "main", "shingles", F.size("shingles").alias("n")), "residual")
     outside = F.col("comp") != F.col("main")
     blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(1)) / BLOCK).cast("int")
     sizes = met.groupBy("hub").agg(blocks(F.when(outside, F.col("n"))).alias("lefts"), blocks(F.col("n")).alias("rights"))
-    met = met.join(small(saved(sizes, "star-sizes"), broadcast_ids), "hub")
+    met = met.join(small(saved(sizes, "block-sizes"), broadcast_ids), "hub")
     spread = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cols, key = ["hub", "i", "j", "rep", "comp", "shingles"], ["hub", "i", "j"]
     left = met.where(outside).withColumn("i", spread("lefts")).withColumn("j", each("rights")).selectExpr(*cols)
     right = met.withColumn("j", spread("rights")).withColumn("i", each("lefts")).selectExpr(*(f"{c} as {c}" for c in cols))
-    return saved(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare_blocks(num, den), "hub long, rep long"), "rest")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare_blocks(num, den), "hub long, rep long")
+
+
+def rest(star: DataFrame, sets: DataFrame, comps: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
+    """Links (hub, rep) between documents that share a bucket, are similar, and that confirmation left in different components.
+
+    Only members that share one of their rarest shingles can be similar; they meet under it. Pages of one template have rare shingles
+    of their own, so however many there are, few meet.
+    """
+    members = saved(residual(star, comps).join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "shingles"), "members")
+    rows = saved(rare_shingles(members, num, den), "rare")
+    shared = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low != high")
+    rows = saved(rows.join(shared.select("shingle", "c"), "shingle"), "shared")
+    pairs = linked_pairs(rows.where(F.col("c") <= FEW), sets, num, den)
+    many = rows.where(F.col("c") > FEW)
+    return saved(pairs if many.isEmpty() else pairs.unionByName(linked_blocks(many.drop("n"), sets, num, den, broadcast_ids)), "rest")
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, broadcast_ids: int = 1_000_000) -> DataFrame:

@@ -66,8 +66,10 @@ def test_against_brute_force(spark, k):
     assert {r.doc_id for r in kept.collect()} == {d for d, _, c in brute(rows, k) if d == c}
 
 
-def test_links_beside_the_star(spark):
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_links_beside_the_star(spark, monkeypatch, few):
     """a-b and c-d are linked, b and c too, but only through documents that are no hub."""
+    monkeypatch.setattr(nd, "FEW", few)
     base = [f"x{i}" for i in range(200)]
     chain = []
     for step in range(12):
@@ -126,3 +128,34 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
     assert got == {i: 1000 for i in range(1000, 1065)} | {i: 5 for i in [5, *range(10, 60)]}
     assert components(links.where(F.lit(False)), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_rest_is_whole(spark, monkeypatch, few):
+    """All links between members of one star that are in different components, by any pair."""
+    monkeypatch.setattr(nd, "FEW", few)
+    rnd = random.Random(few)
+    base = list(range(60))
+    sets = [sorted(set(base[: rnd.randrange(30, 60)]) | {rnd.randrange(60, 80) for _ in range(rnd.randrange(12))}) for _ in range(40)]
+    sets += [sorted({x - rnd.randrange(2) for x in s}) for s in sets[:20]]
+    comp = [i // 2 for i in range(len(sets))]
+    frame = spark.createDataFrame(list(enumerate(sets)), "doc_id long, shingles array<long>")
+    star = spark.createDataFrame([(0, i) for i in range(1, len(sets))], "hub long, rep long")
+    comps = spark.createDataFrame([(i, c) for i, c in enumerate(comp)], "node long, component long")
+    got = {tuple(sorted(r)) for r in nd.rest(star, frame, comps, 80, 100, 1000).collect()}
+    good = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if comp[a] != comp[b] and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert got <= good and len(good) > 50
+    # Of links between two components one is enough.
+    tied = lambda pairs: {tuple(sorted((comp[a], comp[b]))) for a, b in pairs}
+    assert tied(got) == tied(good)
+
+
+def test_a_template_meets_under_few_shingles(spark):
+    """Pages of one template with texts of their own: as many as there are, none meets another."""
+    words = lambda a, n: [f"{a}.{i}" for i in range(n)]
+    rows = [(i, " ".join(words("t", 150) + words(f"d{i}", 60))) for i in range(300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "rep long, comp long")
+    sets = df.select("doc_id", "text").mapInArrow(nd.full_sets(4), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    assert nd.rare_shingles(members.join(sets, "rep"), 80, 100).count() == 0
+    assert nd.near_components(df, k=4).where("kept").count() == 300
