@@ -369,17 +369,23 @@ def crowded_anchors(docs: DataFrame, min_bytes: int, share: float, least: int) -
     """(anchor): anchors of so many different segments that one task should not gather them, or None.
 
     They are told from a sample of ``share`` of the documents, which decides only how rows are dealt out and
-    never what is found: in the sample, such an anchor has ``least`` segments or more and is on one
-    document in a thousand, so there are at most some thousands of them.
+    never what is found: in the sample, such an anchor has ``least`` segments or more, however many documents there are. So an anchor that
+    stays whole has some ``least`` / ``share`` segments at most, at any size of the table.
     """
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    n = sample.select("doc_id").count()
-    sample = sample.where("text is not null")
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000).where("text is not null")
     seen = sample.mapInArrow(find_segments(min_bytes), SEGMENTS).where("content is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    crowded = saved(seen.where(F.col("n") >= max(least, n / 1_000)).select(F.col("anchor").alias("_anchor")), "crowded")
+    crowded = saved(seen.where(F.col("n") >= least).select(F.col("anchor").alias("_anchor")), "crowded")
     return None if crowded.isEmpty() else crowded
 
 
+def dealt_out(rows: DataFrame, crowded: DataFrame | None, broadcast_ids: int) -> DataFrame:
+    """``rows`` with salt: rows meet by anchor and salt. Segments of a crowded anchor meet by their content alone, and go on as a hot anchor's."""
+    if crowded is None:
+        return rows.withColumn("salt", F.lit(0).cast("long"))
+    rows = rows.join(small(crowded, broadcast_ids), F.col("anchor") == F.col("_anchor"), "left")
+    return rows.withColumn("salt", F.when(F.col("_anchor").isNotNull(), F.coalesce("content", F.lit(0))).otherwise(0)).drop("_anchor")
+
+
 def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1_000_000, sample_share: float = 0.02, sample_least: int = 64) -> DataFrame:
     """(doc_id, version, start, end) of ``docs`` (doc_id, version, text): bytes covered by a string of ``min_bytes`` bytes that also starts earlier.
 
@@ -388,13 +394,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, broadcast_ids: int = 1
     """
     docs = docs.where("doc_id is not null")
     rows = docs.where("text is not null").mapInArrow(find_segments(min_bytes), SEGMENTS)
-    crowded = crowded_anchors(docs, min_bytes, sample_share, sample_least)
-    if crowded is None:
-        rows = rows.withColumn("salt", F.lit(0).cast("long"))
-    else:
-        # Segments of a crowded anchor meet by their content alone, and go on as a hot anchor's.
-        rows = rows.join(F.broadcast(crowded), F.col("anchor") == F.col("_anchor"), "left")
-        rows = rows.withColumn("salt", F.when(F.col("_anchor").isNotNull(), F.coalesce("content", F.lit(0))).otherwise(0)).drop("_anchor")
+    rows = dealt_out(rows, crowded_anchors(docs, min_bytes, sample_share, sample_least), broadcast_ids)
     same = Window.partitionBy("anchor", "salt", "content").orderBy("doc_id", "version", "start")
     of_anchor = Window.partitionBy("anchor", "salt")
     # A rank: rows that repeat an id and a text are at the same place, so none is later than the other.

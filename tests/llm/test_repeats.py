@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import repeats as rp
 
@@ -177,3 +178,19 @@ def test_maximal_repeats(seed):
 def test_merged():
     doc, start, end = rp.merged(np.array([2, 1, 1, 1]), np.array([0, 5, 0, 20]), np.array([3, 9, 5, 30]))
     assert list(zip(doc.tolist(), start.tolist(), end.tolist())) == [(1, 0, 9), (1, 20, 30), (2, 0, 3)]
+
+
+def test_no_window_partition_grows_with_the_table(spark):
+    """At two sizes of a table with one anchor on all documents, at most 120 segments meet under one key."""
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    core = letters(300)
+    for n in (400, 1200):
+        rows = [(i, 0, letters(80) + core[:120] + letters(80)) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, version long, text string").repartition(8)
+        found = docs.mapInArrow(rp.find_segments(100), rp.SEGMENTS)
+        most = lambda df: df.where("content is not null").groupBy("anchor", "salt").count().agg(F.max("count")).first()[0]
+        assert most(rp.dealt_out(found, None, 1000)) >= n // 4
+        crowded = rp.crowded_anchors(docs, 100, 1.0, 120)
+        for broadcast in (1000, 0):
+            assert most(rp.dealt_out(found, crowded, broadcast)) <= 120
