@@ -33,8 +33,8 @@ FRAGMENT = re.compile(r"[^\W_]+")
 READ_AS = str.maketrans("013457@$", "oieastas")
 #: Letters of a learned stem. Words that go on are found by how they begin.
 SHORTEST, LONGEST = 3, 20
-#: A stem in few toxic documents must tell the classes apart by this log likelihood ratio.
-EVIDENCE = 12.0
+#: By how much a stem's log likelihood ratio must exceed the logarithm of the number of prefixes tried: one in e^3 trials of a whole corpus has a stem by chance.
+EVIDENCE = 3.0
 WINDOW = 8
 QUOTED = 0.35
 OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
@@ -227,15 +227,16 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio: float) -> list[str]:
     """The stems of words in ``least`` toxic documents or more, ``ratio`` times as often as in clean ones.
 
-    Stems in less than a hundredth of the toxic documents need ``EVIDENCE`` that this is no chance.
-    Either documents with such words count or, for stems that clean text has by chance,
+    That this is no chance needs evidence: a log likelihood ratio of ``EVIDENCE`` beyond the logarithm of how many prefixes
+    are tried, each of which may seem to tell by chance. Either documents with such words count or, for stems that clean text has by chance,
     documents with several. Counts are summed by Spark; all candidates that pass come to the driver, which
     are few, as each needs ``least`` of the bounded training rows. Of the
     prefixes of one word, the longest with nearly the same toxic documents, or most of them and
     half the clean ones, stands for the shorter ones, and a chosen stem for all that continue it.
     """
     counts = train.select("y", "text").mapInArrow(tidied(prefix_counts), ", ".join(["prefix string", *(f"{c} long" for c in COUNTS)]))
-    counts = counts.groupBy("prefix").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counts = saved(counts.groupBy("prefix").agg(*[F.sum(c).alias(c) for c in COUNTS]).where(F.col("toxic") + F.col("clean") >= least), "prefixes")
+    needed = EVIDENCE + math.log(max(counts.count(), 1))
 
     def tells(toxic: str, clean: str) -> Column:
         odds = (F.col(toxic) + 0.5) / F.lit(n_toxic + 1.0) / ((F.col(clean) + 0.5) / F.lit(n_clean + 1.0))
@@ -243,7 +244,7 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, least: int, ratio:
         told = F.col(toxic) * F.log(F.col(toxic) / (n * share))
         if n_clean:
             told += F.when(F.col(clean) > 0, F.col(clean) * F.log(F.col(clean) / (n * (1 - share)))).otherwise(0.0)
-        return (F.col(toxic) >= least) & (odds >= ratio) & ((F.col(toxic) >= n_toxic / 100) | (told >= EVIDENCE))
+        return (F.col(toxic) >= least) & (odds >= ratio) & (told >= needed)
 
     found = counts.where(tells("toxic", "clean") | tells("toxic_twice", "clean_twice"))
     rows = found.select("prefix", "toxic", "clean").collect()
