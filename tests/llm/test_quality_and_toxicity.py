@@ -154,12 +154,14 @@ def plain_score(rows, held):
             c[0][y] += 1
             c[1][y] += sum(w.startswith(p) for w in words) > 1
 
+    tried = sum(sum(c[0]) >= 5 for c in counts.values())
+
     def tells(clean, toxic):
         if toxic < 5 or (toxic + 0.5) / (n[1] + 1) / ((clean + 0.5) / (n[0] + 1)) < 20:
             return False
         share, both = n[1] / sum(n), toxic + clean
         told = toxic * np.log(toxic / (both * share)) + (clean * np.log(clean / (both * (1 - share))) if clean else 0)
-        return toxic >= n[1] / 100 or told >= 12
+        return told >= 3 + np.log(tried)
 
     passed = {p: c[0] for p, c in counts.items() if tells(*c[0]) or tells(*c[1])}
     longer = lambda p: any(
@@ -283,6 +285,43 @@ def test_discriminant_against_the_density():
     assert np.allclose(m.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def plain_quality(docs, labels, shrink=0.3, ridge=0.01):
+    """The score of each text by the definition: plain statistics, covariances and densities with plain inverses."""
+    text = dict(docs)
+    truth = {}
+    for i, good, *_ in labels:
+        if i is not None and good is not None and zlib.crc32(str(i).encode()) % 5:
+            truth[i] = max(good, truth.get(i, 0))
+    x, y = np.array([plain_statistics(text[i] or "") for i in truth]), np.array(list(truth.values()))
+    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = (x - centre) / scale
+    pooled = sum(np.cov(z[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / len(y)
+    logs, asked = [], (np.array([plain_statistics(t or "") for _, t in docs]) - centre) / scale
+    for c in (0, 1):
+        s = (1 - shrink) * np.cov(z[y == c].T, bias=True) + shrink * pooled
+        s = (1 - ridge) * s + ridge * np.trace(s) / len(s) * np.eye(len(s))
+        d = asked - z[y == c].mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(((y == c).sum() + 1) / (len(y) + 2)))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+
+
+def test_whole_query_of_quality_against_the_definition(spark):
+    """Every score of the query, over texts and labels of all kinds."""
+    rnd = random.Random(12)
+    docs, labels = [], []
+    for i in range(300):
+        good = i % 3 != 0
+        words = [rnd.choice(WORDS) + rnd.choice(["", "", ",", ".", "\n", " "]) for _ in range(rnd.randint(0, 50))]
+        words = words if good else [rnd.choice([w.upper(), w, "$" + w, w + " " + w, "42é"]) for w in words]
+        docs.append((i, rnd.choice([" ".join(words), " ".join(words), None if i % 50 == 0 else "\n".join(words)])))
+        labels += [(i, rnd.choice([int(good), int(good), None]), 0)] + [(i, 1, 0)] * (i % 40 == 0)
+    df = spark.createDataFrame([(i, t, 1, 0.5) for i, t in docs], "doc_id long, text string, y int, score double").repartition(3)
+    got = {r.doc_id: r for r in q.quality_scores(df, spark.createDataFrame([*labels, (None, 1, 0)], LABELS)).collect()}
+    expected = plain_quality(docs, labels)
+    assert np.allclose([got[i].score for i, _ in docs], expected, atol=1e-9)
+    assert [got[i].predicted for i, _ in docs] == (expected >= 0.3).astype(int).tolist() and 0.2 < np.mean(expected >= 0.3) < 0.95
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = ["A b\nA b\n", "", "ÄÖ 12 x!", "word word", "\n\n"]
     words = Words()
