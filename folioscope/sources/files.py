@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.numbering import dense_ids
+from folioscope.sources.shared import filesystem
 from folioscope.storage import saved
 
 CORPUS = "pageid long, title string, lang string, source string, text string"
@@ -37,6 +39,18 @@ def crawl_config(settings: dict) -> CrawlConfig:
     )
 
 
+def read_config(path: str) -> CrawlConfig:
+    """The settings of a YAML file, or of JSON, which is YAML too; without a YAML reader only JSON is read."""
+    files, own = filesystem(path)
+    with files.open_input_stream(own) as f:
+        text = f.read().decode()
+    try:
+        import yaml
+    except ImportError:
+        return crawl_config(json.loads(text))
+    return crawl_config(yaml.safe_load(text))
+
+
 def read_records(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """JSON lines with a text; lines that are no such records are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("text is not null and text <> ''")
