@@ -27,15 +27,16 @@ class Tokenizer:
         """A run of letters and digits; a single - or _ between two of them joins."""
         return f"{LETTER}+(?:[-_]{LETTER}+)*" if self.keep_joiners else f"{LETTER}+"
 
-    def fold(self, text: Column) -> Column:
-        """Lower case for Latin and Russian letters alone, and е for ё if asked for."""
+    def fold(self, token: Column) -> Column:
+        """Lower case for Latin and Russian letters alone, and е for ё if asked for; no letter's size in bytes changes. Plain ASCII is told by its size."""
         lower = LOWER[:-1] + ("е" if self.fold_yo else "ё")
-        return F.translate(text, UPPER + ("ё" if self.fold_yo else ""), lower + ("е" if self.fold_yo else ""))
+        letters = F.translate(token, UPPER + ("ё" if self.fold_yo else ""), lower + ("е" if self.fold_yo else ""))
+        return F.when(F.octet_length(token) == F.length(token), F.lower(token)).otherwise(letters)
 
     def tokens(self, text: Column) -> Column:
         """The array of tokens in order; null gives none. Characters beyond ``max_bytes`` are left out one by one."""
-        found = F.regexp_extract_all(self.fold(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
-        return F.transform(found, lambda t: F.when(F.octet_length(t) > self.max_bytes, self._capped(t)).otherwise(t))
+        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        return F.transform(found, lambda t: F.when(F.octet_length(t) > self.max_bytes, self._capped(self.fold(t))).otherwise(self.fold(t)))
 
     def _capped(self, token: Column) -> Column:
         room = lambda a, c: F.octet_length(a) + F.octet_length(c) <= self.max_bytes
@@ -56,12 +57,12 @@ def frequency_tokens(text: Column, split_hyphen: bool = True, normalize_yo: bool
 
 
 def one_line(text: Column) -> Column:
-    return F.translate(text, "\n", " ")
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
 def is_blank(line: Column) -> Column:
-    """Nothing but spaces and tabs."""
-    return F.btrim(line, F.lit(" \t")) == ""
+    """Nothing but spaces and tabs, carriage returns aside."""
+    return F.btrim(line, F.lit(" \t\r")) == ""
 
 
 def title_bytes(line: Column, docid: Column) -> Column:

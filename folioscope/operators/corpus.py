@@ -16,8 +16,7 @@ def prepare_corpus(docs: DataFrame) -> DataFrame:
 
 def corpus_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, line) without carriage returns and without blank lines; doc_id is the source's key."""
-    clean = lines.select("doc_id", F.translate("line", "\r", "").alias("line"))
-    return clean.where(~is_blank(F.col("line")))
+    return lines.where(~is_blank(F.col("line"))).select("doc_id", F.replace("line", F.lit("\r"), F.lit("")).alias("line"))
 
 
 def line_order(tie: Column) -> list[Column]:

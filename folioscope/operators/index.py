@@ -104,13 +104,20 @@ def position_gaps(post: DataFrame) -> DataFrame:
 def vocab_offsets(post: DataFrame) -> DataFrame:
     """(term, df, bytes, offset): the size of each term's list with variable-byte gaps, and where it begins in byte order.
 
-    Positions become a size inside their row, and only that is kept of them.
+    Positions become a size inside their row, and only that is kept of them. Gaps are sized inside cells of docids, which end as a row
+    each; the gap into a cell is sized there.
     """
     gaps = F.transform("positions", lambda p, i: vbyte_length(p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0)))
-    inside = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = saved(post.select("term", "docid", (vbyte_length(F.col("tf")) + inside).alias("b")), "list-sizes")
-    rows = with_previous(sizes).select("term", (F.col("b") + vbyte_length(F.col("docid") - F.col("previous"))).alias("b"))
-    terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("b").alias("b"))
+    several = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+    inside = F.when(F.size("positions") == 1, vbyte_length(F.col("positions")[0])).otherwise(several)
+    rows = post.select("term", "docid", F.shiftright("docid", CELL_BITS).alias("_cell"), (vbyte_length(F.col("tf")) + inside).alias("b"))
+    gap = F.col("docid") - F.lag("docid").over(Window.partitionBy("term", "_cell").orderBy("docid"))
+    sized = rows.withColumn("b", F.col("b") + F.when(gap.isNull(), F.lit(0)).otherwise(vbyte_length(gap)))
+    cells = sized.groupBy("term", "_cell").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("b").alias("b"), F.min("docid").alias("first"), F.max("docid").alias("last")
+    )
+    into = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("_cell")), F.lit(0))
+    terms = cells.withColumn("b", F.col("b") + vbyte_length(into)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("b").alias("b"))
     terms = saved(terms.select("term", "df", (F.col("b") + vbyte_length(F.col("df"))).alias("bytes")), "term-sizes")
     return running_sum(terms, F.col("bytes"), [F.col("term")], "offset")
 
