@@ -173,6 +173,23 @@ def test_offsets(built):
         at += r.bytes
 
 
+def test_offsets_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(index, "CELL_BITS", 3)
+    size = lambda n: 1 if n < 128 else 2 if n < 16_384 else 3
+    lists = {t: {d: sorted({d % 5, 7, 200 + d}) for d in (1, 2, 7, 8, 9, 31, 300, 40_000)} for t in ("a", "ab", "b")}
+    lists["ab"] = {900: [3]}
+    rows = [(t, d, len(p), p) for t, own in lists.items() for d, p in own.items()]
+    post = spark.createDataFrame(rows, "term string, docid long, tf long, positions array<int>")
+    gaps = lambda ns: [b - a for a, b in zip([0, *ns], ns)]
+    expected, at = [], 0
+    for t, own in lists.items():
+        n = size(len(own)) + sum(map(size, gaps(list(own)))) + sum(size(len(p)) + sum(map(size, gaps(p))) for p in own.values())
+        expected.append((t, len(own), n, at))
+        at += n
+    found = index.vocab_offsets(post).select("term", "df", "bytes", "offset")
+    assert sorted(map(tuple, found.collect())) == expected
+
+
 def test_term_filter_is_below_the_aggregate(spark):
     lines = corpus.corpus_lines(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, line string"))
     plan = index.lexicon(lines, ["лес"])._jdf.queryExecution().optimizedPlan().toString()

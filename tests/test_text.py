@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.stem import stem
 from folioscope.functions.text import Tokenizer, frequency_tokens, human_size, title_bytes, vbyte_length
 from folioscope.functions.urls import normalize_url, seed_url
+from folioscope.operators.corpus import corpus_lines, prepare_corpus
 
 GOLDEN = [
     ("Hello, WORLD!", Tokenizer(False), "hello world"),
@@ -16,6 +17,8 @@ GOLDEN = [
     ("a" * 100, Tokenizer(False, True, 16), "a" * 16),
     ("a" * 15 + "яb", Tokenizer(False, True, 16), "a" * 15 + "b"),
     ("Ѐ І", Tokenizer(), "Ѐ І"),
+    ("a\u212aB \u0130X ÉTÉ Ёж", Tokenizer(), "a b x t еж"),  # a Kelvin sign and a dotted I are no letters, though their lower case is
+    ("Я" * 10, Tokenizer(False, True, 16), "я" * 8),
     ("", Tokenizer(), ""),
     (None, Tokenizer(), ""),
 ]
@@ -27,6 +30,13 @@ def test_tokens(spark, text, tokenizer, expected):
     assert df.select(tokenizer.tokens(F.col("line"))).first()[0] == expected.split()
 
 
+def test_lines_are_cleaned_and_blank_ones_go(spark):
+    texts = ["a\r\nb", " \t\r\n", "\r", "", None, "\u00a0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = corpus_lines(prepare_corpus(docs)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(0, "a b"), (5, "\u00a0")]
+
+
 def test_invalid_bytes_part_tokens(spark):
     df = spark.createDataFrame([(bytes([0x61, 0xFF, 0x62]),)], "b binary")
     text = F.make_valid_utf8(F.col("b").cast("string"))
