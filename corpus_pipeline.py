@@ -17,7 +17,7 @@ from folioscope.llm.toxicity import without_toxic
 
 
 #: The largest batch of rows that a Python worker is given, in bytes: its memory stays small beside the executor's heap.
-BATCH = "8m"
+BATCH = "2m"
 
 
 def small_batches(spark: SparkSession) -> None:

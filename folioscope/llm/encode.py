@@ -21,9 +21,9 @@ from folioscope.llm.pieces import SPACE, Forward, Model, load
 from folioscope.llm.words import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a task remembers between batches, and pairs of pieces of which it knows that they stay apart.
-REMEMBERED, PAIRS = 150_000, 500_000
-PART = 1 << 20
+#: Words whose ids a task remembers between batches.
+REMEMBERED = 60_000
+PART = 1 << 18
 LONE_BYTE = re.compile("[\udc80-\udcff]")
 
 
@@ -128,8 +128,6 @@ def encoder(model: Model):
                 split = [model.marked_words(t) for t in texts]
                 if len(known) > REMEMBERED:
                     known.clear()
-                if len(forward.apart) > PAIRS:
-                    forward.apart.clear()
                 known |= encode_words(list({w for words in split for w in words} - known.keys()), forward)
                 flat, lengths, exact = array("i"), [], []
                 for text, words in zip(texts, split):

@@ -19,6 +19,8 @@ import numpy as np
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NEVER = 1 << 60
+#: Pairs of pieces of which a task remembers whether they stay apart.
+PAIRS = 200_000
 
 
 def merge(text: str, rank: dict[str, int]) -> list[tuple[str, tuple[str, str] | None, int]]:
@@ -62,12 +64,19 @@ class Model:
     prefix: bool
     longest: int
     ranks: dict[str, int] = field(default_factory=dict)
-    #: Of a BPE piece: the parts that it has been on its right (left) edge, smallest first, with the time each is absorbed.
-    right_edge: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
-    left_edge: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
+    #: Of a BPE piece: the left and right part of its last merge and that merge's time; None for a character.
+    parts: dict[str, tuple[str, str, int] | None] = field(default_factory=dict)
     lines: bool = False
     spaced: bool = True
 
+    def edge(self, piece: str, side: int) -> list[tuple[str, int]]:
+        """The parts that a BPE piece has been on its left (0) or right (1) edge, smallest first, with the time each is absorbed."""
+        chain = [(piece, NEVER)]
+        while (made := self.parts[piece]) is not None:
+            piece = made[side]
+            chain.append((piece, made[2]))
+        return chain[::-1]
+
     def marked_words(self, text: str) -> list[str]:
         """Runs that no piece crosses, in order; together they are the marked text."""
         if not text:
@@ -101,7 +110,8 @@ def tables(proto) -> Model:
     if of("user") or of("unused"):
         raise ValueError("user-defined and unused pieces are not read")
     ids = {p.piece: i for i, p in of("normal")}
-    scores = {p.piece: p.score for _, p in of("normal")}
+    name = {p: p for p in ids}  # one string for each piece, whatever holds it
+    scores = {name[p.piece]: p.score for _, p in of("normal")}
     model = Model(trainer.model_type == 1, ids, scores, [i for i, _ in of("byte")], of("unknown")[0][0], normalizer.add_dummy_prefix, max(map(len, ids)))
     model.spaced = not any(SPACE in p.lstrip(SPACE) for p in ids)
     model.lines = model.spaced and not any("\n" in p for p in ids)
@@ -110,15 +120,7 @@ def tables(proto) -> Model:
         place = {s: i for i, s in enumerate(order)}
         model.ranks = {p: place[s] for p, s in scores.items()}
         made = {p: x[0] for p in ids if len(x := merge(p, model.ranks)) == 1}
-        for p in made:
-            for edge, side in ((model.right_edge, 1), (model.left_edge, 0)):
-                chain, at = [(p, NEVER)], p
-                while made[at][1] is not None:
-                    time, at = made[at][2], made[at][1][side]
-                    if at not in made:
-                        made[at] = merge(at, model.ranks)[0]
-                    chain.append((at, time))
-                edge[p] = chain[::-1]
+        model.parts = {p: m and (name[m[0]], name[m[1]], time) for p, (_, m, time) in made.items()}
     return model
 
 
@@ -135,8 +137,8 @@ class Forward:
 
     def _endings(self) -> dict[str, int]:
         """Every ending of a BPE piece, with the piece's id where it is a piece itself, else -1."""
-        out = {p[i:]: -1 for p in self.model.right_edge for i in range(1, len(p))}
-        return out | {p: self.model.ids[p] for p in self.model.right_edge if p in self.model.ids}
+        out = {p[i:]: -1 for p in self.model.parts for i in range(1, len(p))}
+        return out | {p: self.model.ids[p] for p in self.model.parts if p in self.model.ids}
 
     def _unit(self) -> int:
         """The length of the piece that long runs of spaces are cut into from the left; 0 where that is no rule.
@@ -157,7 +159,7 @@ class Forward:
         b's left edge. They would join if their union's rank came before what absorbs either;
         of equal ranks the leftmost merge is first.
         """
-        right, left = self.model.right_edge[self.names[a]], self.model.left_edge[self.names[b]]
+        right, left = self.model.edge(self.names[a], 1), self.model.edge(self.names[b], 0)
         ranks = self.model.ranks
         i = j = 0
         known = True
@@ -173,7 +175,7 @@ class Forward:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) >= 400_000:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         self.apart[a << 32 | b] = known
         return known

@@ -14,17 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscope.llm.encode import MODEL, PART, REMEMBERED
+from folioscope.llm.encode import MODEL
 from folioscope.llm.pieces import Forward, Model, load
 from folioscope.llm.words import pieces as runs
 
+#: Words whose counts a task remembers between batches, and bytes of text that it takes at once.
+REMEMBERED, PART = 150_000, 1 << 20
+
 
 def automaton(model: Model):
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for piece in model.ids:
-        if model.unigram or piece in model.right_edge:
+        if model.unigram or piece in model.parts:
             a.add_word(piece, (len(piece), model.ids[piece]))
     a.make_automaton()
     return a

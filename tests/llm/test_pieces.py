@@ -2,8 +2,10 @@ import math
 import os
 import random
 import time
+import tracemalloc
 
 import pytest
+from pyspark import cloudpickle
 
 from folioscope.llm import encode, pieces, token_counts
 
@@ -36,6 +38,24 @@ def test_bpe_equals_the_library():
         assert sum(token_counts.count_word(w, matches, forward) for w in words) == len(expected)
 
 
+def test_a_task_holds_a_small_model_and_forgets():
+    """What each Python worker has beside the executor's heap: the model's tables, and what it remembers of pairs."""
+    data = cloudpickle.dumps(pieces.load(encode.MODEL))
+    tracemalloc.start()
+    try:
+        model = cloudpickle.loads(data)
+        assert tracemalloc.get_traced_memory()[0] < 20 << 20
+    finally:
+        tracemalloc.stop()
+    assert all("".join(model.parts[p][:2]) == p for p in model.parts if len(p) > 1)
+    forward = pieces.Forward(model)
+    ids = [i for p, i in model.ids.items() if p in model.parts]
+    for a in ids[:1200]:
+        for b in ids[:200]:
+            forward.stay_apart(a, b)
+    assert len(forward.apart) <= 200_000
+
+
 def test_unigram_equals_the_library():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
