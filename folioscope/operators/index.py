@@ -1,6 +1,6 @@
 """The positional inverted index as tables: postings, vocab, docs.
 
-A line is one row, so its tokens are grouped by term inside the row and no token is moved before that.
+A line is one row, so its tokens are grouped by term inside its task and no token is moved before that.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from folioscope.functions.stem import stem_column
 from folioscope.functions.text import SEARCH, Tokenizer, vbyte_length
 from folioscope.operators.corpus import docs_table, line_order, numbered_lines
 from folioscope.operators.numbering import cells_before, dense_ids, running_sum
+from folioscope.operators.slices import count_rows, gap_rows, place_rows, postings_rows, size_rows
 from folioscope.storage import saved
 
 #: Docids of a cell, in bits: what one task has of a term's list at most.
@@ -34,25 +35,19 @@ def token_stems(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
 def postings(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
     """(term, docid, tf, positions) of numbered lines: one row for each term of each, positions ascending.
 
-    A row's tokens are put in order of term and place, and cut where the term changes; nothing is shuffled.
+    A task's lines are grouped as arrays, some at a time, and come out in order of term and docid; nothing is shuffled.
     """
-    placed = F.transform(tokenizer.tokens(F.col("line")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    rows = lines.select("docid", F.sort_array(placed).alias("s"))
-    rows = rows.withColumn("n", F.size("s"))
-    change = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
-    rows = rows.withColumn("b", F.filter(F.transform("s", lambda _, i: i), change))
-
-    def cut(i: Column, k: Column) -> Column:
-        own = F.slice("s", i + 1, F.coalesce(F.get("b", k + 1), F.col("n")) - i)
-        return F.struct(F.get("s", i)["term"].alias("term"), own["pos"].alias("positions"))
-
-    rows = rows.select("docid", F.explode(F.transform("b", cut)).alias("x"))
-    return rows.select("x.term", "docid", F.size("x.positions").cast("long").alias("tf"), "x.positions")
+    return cut(lines, tokenizer).mapInArrow(postings_rows, "term string, docid long, tf long, positions array<int>")
 
 
 def counts(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
     """(term, docid, tf) of numbered lines."""
-    return postings(lines, tokenizer).select("term", "docid", "tf")
+    return cut(lines, tokenizer).mapInArrow(count_rows, "term string, docid long, tf long")
+
+
+def cut(lines: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(docid, tokens) of numbered lines, as ``operators/slices.py`` takes them."""
+    return lines.select(F.col("docid").cast("long").alias("docid"), tokenizer.tokens(F.col("line")).alias("tokens"))
 
 
 def lexicon(lines: DataFrame, terms: list[str] | None = None, tokenizer: Tokenizer = SEARCH) -> DataFrame:
@@ -86,6 +81,18 @@ def posting_gaps(by_doc: DataFrame) -> DataFrame:
     return with_previous(by_doc).select("term", "docid", (F.col("docid") - F.col("previous")).alias("gap"))
 
 
+def line_gaps(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """``posting_gaps`` straight from numbered lines, whose docids are unique.
+
+    Gaps are taken inside slices of consecutive docids. Only a term's first row of each slice looks for the slice before it,
+    so what is shuffled is a row for each term of each slice.
+    """
+    rows = saved(cut(lines, tokenizer).mapInArrow(gap_rows, "term string, docid long, gap long, last long"), "gaps")
+    before = F.lag("last").over(Window.partitionBy("term").orderBy("docid"))
+    first = rows.where("gap is null").select("term", "docid", (F.col("docid") - F.coalesce(before, F.lit(0))).alias("gap"))
+    return rows.where("gap is not null").select("term", "docid", "gap").unionByName(first)
+
+
 def gaps_to_docids(gaps: DataFrame) -> DataFrame:
     """(term, docid) back from (term, docid, gap), by sums of gaps alone; docid tells order and cell."""
     rows = gaps.withColumn("_cell", F.shiftright("docid", CELL_BITS))
@@ -101,6 +108,11 @@ def position_gaps(post: DataFrame) -> DataFrame:
     return post.select("term", "docid", F.explode(gap).alias("x")).select("term", "docid", "x.pos", "x.gap")
 
 
+def line_position_gaps(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """``position_gaps`` straight from numbered lines, without the arrays between."""
+    return cut(lines, tokenizer).mapInArrow(place_rows, "term string, docid long, pos long, gap long")
+
+
 def vocab_offsets(post: DataFrame) -> DataFrame:
     """(term, df, bytes, offset): the size of each term's list with variable-byte gaps, and where it begins in byte order.
 
@@ -122,6 +134,16 @@ def vocab_offsets(post: DataFrame) -> DataFrame:
     return running_sum(terms, F.col("bytes"), [F.col("term")], "offset")
 
 
+def line_offsets(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
+    """``vocab_offsets`` straight from numbered lines, whose docids are unique: lists are sized inside slices of consecutive docids, which end as a row
+    for each of their terms; the gap into a slice is sized here."""
+    parts = cut(lines, tokenizer).mapInArrow(size_rows, "term string, df long, b long, first long, last long")
+    into = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("first")), F.lit(0))
+    terms = parts.withColumn("b", F.col("b") + vbyte_length(into)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("b").alias("b"))
+    terms = saved(terms.select("term", "df", (F.col("b") + vbyte_length(F.col("df"))).alias("bytes")), "term-sizes")
+    return running_sum(terms, F.col("bytes"), [F.col("term")], "offset")
+
+
 #: A part's number in the name of a file that Spark has written.
 PART = r"^part-(\d+)"
 

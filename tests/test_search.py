@@ -1,11 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscope.operators import corpus, index, search
+from folioscope.operators import corpus, index, search, slices
 from folioscope.operators.numbering import dense_ids
 from folioscope.plans import query as q
 
@@ -150,6 +151,26 @@ def test_postings_against_a_loop(spark):
     assert stems.columns == ["docid", "pos", "stem"] and stems.count() == index.tokens(lines.limit(3)).count()
 
 
+def sliced_lines(spark, step=1):
+    """Numbered lines in two parts, with lines without tokens, and with docids that are consecutive or not."""
+    rnd = random.Random(4)
+    rows = [(i * step + 1, " ".join(rnd.choice("ab cd efg h Жук a-b".split()) for _ in range(rnd.choice([0, 3, 40, 200])))) for i in range(300)]
+    return spark.createDataFrame(rows, "docid long, line string").repartition(2)
+
+
+def test_postings_come_in_runs_of_terms(spark):
+    rows = index.postings(sliced_lines(spark).repartition(1).sortWithinPartitions("docid")).collect()
+    assert [(r.term, r.docid) for r in rows] == sorted((r.term, r.docid) for r in rows)
+
+
+def test_slices_hold_whole_lines_with_consecutive_docids(monkeypatch):
+    monkeypatch.setattr(slices, "SLICE", 4)
+    lists = [["a", "b"], ["a"], [], ["c"] * 9, ["a", "b"], ["b"], ["d"] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5, 7, 6]), pa.array(lists)], ["docid", "tokens"])
+    own = [(d.tolist(), t.to_pylist()) for d, _, t in slices.slices(batch)]
+    assert own == [([1, 2, 3], ["a", "b", "a"]), ([4], ["c"] * 9), ([5], ["a", "b"]), ([7], ["b"]), ([6], ["d"] * 4)]
+
+
 def test_gaps_over_cells(spark, monkeypatch):
     monkeypatch.setattr(index, "CELL_BITS", 3)
     rows = [(t, d) for t in "ab" for d in (1, 2, 7, 8, 9, 31, 32, 1000)]
