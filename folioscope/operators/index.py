@@ -11,11 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.stem import stem_column
 from folioscope.functions.text import SEARCH, Tokenizer, vbyte_length
 from folioscope.operators.corpus import docs_table, line_order, numbered_lines
 from folioscope.operators.numbering import cells_before, dense_ids, running_sum
-from folioscope.operators.slices import count_rows, gap_rows, place_rows, postings_rows, size_rows
+from folioscope.operators.slices import count_rows, gap_rows, place_rows, postings_rows, size_rows, stem_rows
 from folioscope.storage import saved
 
 #: Docids of a cell, in bits: what one task has of a term's list at most.
@@ -29,7 +28,7 @@ def tokens(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
 
 def token_stems(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:
     """(docid, pos, stem): the stem of every token of numbered lines, in place of its term."""
-    return tokens(lines, tokenizer).select("docid", "pos", stem_column("term").alias("stem"))
+    return cut(lines, tokenizer).mapInArrow(stem_rows, "docid long, pos int, stem string")
 
 
 def postings(lines: DataFrame, tokenizer: Tokenizer = SEARCH) -> DataFrame:

@@ -163,6 +163,15 @@ def test_postings_come_in_runs_of_terms(spark):
     assert [(r.term, r.docid) for r in rows] == sorted((r.term, r.docid) for r in rows)
 
 
+def test_each_distinct_token_is_stemmed_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(slices, "stem", lambda t: asked.append(t) or t[:2])
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 9]), pa.array([["лес", "леса", "лес"], [], ["лес", "x"]])], ["docid", "tokens"])
+    rows = [r for b in slices.stem_rows(iter([batch])) for r in b.to_pylist()]
+    assert rows == [{"docid": d, "pos": p, "stem": t} for d, p, t in [(5, 0, "ле"), (5, 1, "ле"), (5, 2, "ле"), (9, 0, "ле"), (9, 1, "x")]]
+    assert sorted(asked) == ["x", "лес", "лес", "леса"]  # docids 5 and 6 are one slice, 9 another
+
+
 def test_slices_hold_whole_lines_with_consecutive_docids(monkeypatch):
     monkeypatch.setattr(slices, "SLICE", 4)
     lists = [["a", "b"], ["a"], [], ["c"] * 9, ["a", "b"], ["b"], ["d"] * 4]
