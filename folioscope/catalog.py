@@ -191,7 +191,7 @@ tt AS (SELECT term, df, CAST(b + {VBYTE.format("df")} AS BIGINT) AS bytes FROM t
 
 @query("vocab_offsets", f"{BASE}{OFFSETS} SELECT term, df, bytes, CAST(coalesce(sum(bytes) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM tt")
 def vocab_offsets(spark, d):
-    return index.vocab_offsets(postings_of(spark, d))
+    return index.line_offsets(numbered_of(spark, d))
 
 
 NUMBER = "(coalesce(n_chars, 0) << CAST(doc_id % 18 AS INT)) & 4294967295"

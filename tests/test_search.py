@@ -180,6 +180,12 @@ def test_slices_hold_whole_lines_with_consecutive_docids(monkeypatch):
     assert own == [([1, 2, 3], ["a", "b", "a"]), ([4], ["c"] * 9), ([5], ["a", "b"]), ([7], ["b"]), ([6], ["d"] * 4)]
 
 
+@pytest.mark.parametrize("step", [1, 3])
+def test_offsets_of_lines(spark, step):
+    lines = sliced_lines(spark, step)
+    assert sorted(map(tuple, index.line_offsets(lines).collect())) == sorted(map(tuple, index.vocab_offsets(index.postings(lines)).collect()))
+
+
 def test_gaps_over_cells(spark, monkeypatch):
     monkeypatch.setattr(index, "CELL_BITS", 3)
     rows = [(t, d) for t in "ab" for d in (1, 2, 7, 8, 9, 31, 32, 1000)]
