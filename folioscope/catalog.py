@@ -173,7 +173,7 @@ GAPS = "docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0)"
 
 @query("posting_gaps", f"{BASE} SELECT term, docid, {GAPS} AS gap FROM po")
 def posting_gaps(spark, d):
-    return index.posting_gaps(saved(index.counts(numbered_of(spark, d)), "counts"))
+    return index.line_gaps(numbered_of(spark, d))
 
 
 @query("position_gaps", BASE + " SELECT term, docid, pos, pos - coalesce(lag(pos) OVER (PARTITION BY term, docid ORDER BY pos), 0) AS gap FROM tk")

@@ -186,6 +186,14 @@ def test_offsets_of_lines(spark, step):
     assert sorted(map(tuple, index.line_offsets(lines).collect())) == sorted(map(tuple, index.vocab_offsets(index.postings(lines)).collect()))
 
 
+@pytest.mark.parametrize("step", [1, 3])
+def test_gaps_of_lines(spark, step):
+    lines = sliced_lines(spark, step)
+    gaps = index.line_gaps(lines)
+    assert sorted(map(tuple, gaps.collect())) == sorted(map(tuple, index.posting_gaps(index.counts(lines)).collect()))
+    assert index.line_gaps(lines.limit(0)).count() == 0
+
+
 def test_gaps_over_cells(spark, monkeypatch):
     monkeypatch.setattr(index, "CELL_BITS", 3)
     rows = [(t, d) for t in "ab" for d in (1, 2, 7, 8, 9, 31, 32, 1000)]
