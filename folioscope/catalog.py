@@ -178,7 +178,7 @@ def posting_gaps(spark, d):
 
 @query("position_gaps", BASE + " SELECT term, docid, pos, pos - coalesce(lag(pos) OVER (PARTITION BY term, docid ORDER BY pos), 0) AS gap FROM tk")
 def position_gaps(spark, d):
-    return index.position_gaps(postings_of(spark, d))
+    return index.line_position_gaps(numbered_of(spark, d))
 
 
 OFFSETS = f""",

@@ -194,6 +194,11 @@ def test_gaps_of_lines(spark, step):
     assert index.line_gaps(lines.limit(0)).count() == 0
 
 
+def test_position_gaps_of_lines(spark):
+    lines = sliced_lines(spark)
+    assert sorted(map(tuple, index.line_position_gaps(lines).collect())) == sorted(map(tuple, index.position_gaps(index.postings(lines)).collect()))
+
+
 def test_gaps_over_cells(spark, monkeypatch):
     monkeypatch.setattr(index, "CELL_BITS", 3)
     rows = [(t, d) for t in "ab" for d in (1, 2, 7, 8, 9, 31, 32, 1000)]
